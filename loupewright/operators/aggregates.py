@@ -23,10 +23,12 @@ def pivot_zero(
 ) -> DataFrame:
     """Sum of ``value`` per key with one column per listed code, 0 for gaps.
 
-    ``columns`` maps a code to its column name. The code list is given, so no job looks for it.
+    ``columns`` maps a code to its column name. The code list is given, so no job looks for it, and
+    one conditional sum per code needs one shuffle where ``pivot`` takes two.
     """
-    pivoted = df.groupBy(*keys).pivot(code, list(columns)).agg(F.sum(value))
-    return pivoted.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in columns.items()])
+    return df.groupBy(*keys).agg(
+        *[sum_where(F.col(code) == c, F.col(value)).alias(n) for c, n in columns.items()]
+    )
 
 
 def count_by_status(df: DataFrame, status: str, columns: Mapping[str, str]) -> DataFrame:

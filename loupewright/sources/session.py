@@ -31,6 +31,7 @@ def local_session(cpus: str | int = "*", app: str = "loupewright", **conf: str)
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
     )
