@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("orders",)
+_MODULES = ("orders", "materials")
 
 
 def _load():

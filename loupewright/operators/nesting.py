@@ -40,6 +40,28 @@ def collect_children(
     return child.join(big, list(keys), "left").groupBy(*keys, part.alias("part")).agg(entry)
 
 
+def nest_many(
+    parent: DataFrame,
+    children: Sequence[tuple[DataFrame, Sequence[str], str]],
+    keys: Sequence[str],
+    limit: int = CHILD_LIMIT,
+    bounded: bool = False,
+) -> DataFrame:
+    """Parents with several child tables as arrays; an empty array where there are no children.
+
+    ``children`` lists (table, fields, array name). A parent with more than ``limit`` children of a
+    kind appears once per ``part``, which together hold all its children.
+    """
+    arrays, types = None, {}
+    for child, fields, name in children:
+        packed = collect_children(child, keys, fields, name, limit, bounded)
+        types[name] = packed.schema[name].dataType
+        arrays = packed if arrays is None else arrays.join(packed, [*keys, "part"], "full")
+    joined = parent.join(arrays, list(keys), "left")
+    filled = {name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in types.items()}
+    return joined.withColumns({**filled, "part": F.coalesce(F.col("part"), F.lit(0))})
+
+
 def nest(
     parent: DataFrame,
     child: DataFrame,
@@ -49,15 +71,8 @@ def nest(
     limit: int = CHILD_LIMIT,
     bounded: bool = False,
 ) -> DataFrame:
-    """Parents with their children as an array; an empty array where there are none.
-
-    A parent with more than ``limit`` children appears once per part (column ``<name>_part``).
-    """
-    arrays = collect_children(child, keys, fields, name, limit, bounded)
-    arrays = arrays.withColumnRenamed("part", f"{name}_part")
-    joined = parent.join(arrays, list(keys), "left")
-    empty = F.array().cast(arrays.schema[name].dataType)
-    return joined.withColumns({name: F.coalesce(F.col(name), empty), f"{name}_part": F.coalesce(F.col(f"{name}_part"), F.lit(0))})
+    """Parents with one child table as an array."""
+    return nest_many(parent, [(child, fields, name)], keys, limit, bounded)
 
 
 def column_to_array(df: DataFrame, keys: Sequence[str], column: str, name: str, limit: int = CHILD_LIMIT) -> DataFrame:
@@ -70,3 +85,9 @@ def column_to_array(df: DataFrame, keys: Sequence[str], column: str, name: str,
 def row_span(*arrays: Column) -> Column:
     """Rows a report needs for parallel lists: the longest one, and at least one row."""
     return F.greatest(*[F.size(a) for a in arrays], F.lit(1))
+
+
+def children_text(array: Column, *fields: str) -> Column:
+    """The children as one text, ``field:field`` per child, for flat files and comparisons."""
+    entry = lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields])
+    return F.array_join(F.transform(array, entry), ",")
