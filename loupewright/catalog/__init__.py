@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("orders", "materials")
+_MODULES = ("orders", "materials", "quality")
 
 
 def _load():
