@@ -213,12 +213,14 @@ def worker_weight(
     returned: DataFrame,
     job_order: DataFrame,
     employee: DataFrame,
-    receivers: Sequence,
     bill_from: date,
     bill_to: date,
+    receivers: Sequence | None = None,
 ) -> DataFrame:
     """Metal loss per worker bill item: (sent + material - returned) as a percentage of returned."""
-    bills = worker_bill.where(in_padded(F.col("Receiver"), receivers) & F.col("BillDate").between(bill_from, bill_to))
+    bills = worker_bill.where(F.col("BillDate").between(bill_from, bill_to))
+    if receivers is not None:
+        bills = bills.where(in_padded(F.col("Receiver"), receivers))
     back = returned.groupBy("Bill_ID", "ItemNo").agg(F.sum("RvTotalWeight").alias("return_weight"))
     names = employee.select(F.col("EmpCode").alias("Receiver"), F.col("EmpFullName").alias("receiver_name"))
     rows = (
