@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "orders", "materials", "quality", "upkeep")
+_MODULES = ("basics", "joining", "summing", "orders", "materials", "quality", "upkeep")
 
 
 def _load():
