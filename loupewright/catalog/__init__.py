@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("basics", "joining", "summing", "orders", "materials", "quality", "upkeep")
+_MODULES = (
+    "basics", "joining", "summing", "changing", "metering", "orders", "materials", "quality", "upkeep",
+)
 
 
 def _load():

@@ -333,6 +333,10 @@ PROXIES: dict[str, str] = {
         from $nation join $region on n_regionkey = r_regionkey""",
     "department": "select n_nationkey as DepartmentCode, n_name as DepartmentName from $nation",
     "staff_position": "select r_regionkey as PositionCode, r_name as PositionName from $region",
+    "water_limit": """
+        select concat('WT-', lpad(cast(n_nationkey as string), 2, '0')) as deviceCode, 10 as exrate,
+               260 + 10 * n_nationkey as rateLimit, concat('floor ', cast(n_nationkey % 8 as string)) as position
+        from $nation where n_nationkey between 1 and 14""",
     "water_log": """
         select concat('WT-', lpad(cast(user_id % 12 + 1 as string), 2, '0')) as deviceCode, ts as transDate
         from $events""",
