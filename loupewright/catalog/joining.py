@@ -181,7 +181,7 @@ def cumulative_asof_sum(t):
     lines = t.lineitem.where(F.col("l_returnflag") == "R").join(t.order_master, F.col("l_orderkey") == F.col("OrderKey"))
     facts = lines.select("OrderNumber", F.to_date("l_shipdate").alias("day"), F.col("l_quantity").cast("int").alias("v"))
     targets = t.due_fac_to_qa.select("OrderNumber", "DueDate", "HistoryNo", "Qty")
-    return joins.cum_upto(targets, facts, "OrderNumber", "DueDate", "day", "v", "returned").select(
+    return joins.cum_upto(targets, "OrderNumber", "DueDate", {"returned": (facts, "day", "v")}).select(
         F.col("OrderNumber").alias("order_number"), F.col("DueDate").alias("due_date"),
         F.col("HistoryNo").alias("revision"), F.col("Qty").alias("qty"), "returned",
     )

@@ -17,8 +17,11 @@ from loupewright.sources.tables import SCHEMAS, load
 
 
 def order_number(key: str) -> str:
-    """Order number text of an order key: four classes by the last digit, at least eight digits."""
-    digits = f"lpad(cast({key} as string), cast(greatest(8, length(cast({key} as string))) as int), '0')"
+    """Order number text of an order key: four classes by the last digit, and fifteen digits.
+
+    Adding 10^15 gives the leading zeros with a single cast; this text is built for every line item.
+    """
+    digits = f"substring(cast({key} + 1000000000000000 as string), 2)"
     prefix = f"case {key} % 10 when 0 then 'CH-M-' when 1 then 'CH-TEST' when 2 then 'XX-' else 'CH-' end"
     return f"concat({prefix}, {digits})"
 

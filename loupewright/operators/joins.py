@@ -103,23 +103,27 @@ def count_between(df: DataFrame, cumulative: DataFrame, low: Column, high: Colum
 
 
 def cum_upto(
-    targets: DataFrame, facts: DataFrame, key: str, target_day: str, fact_day: str, value: str, name: str
+    targets: DataFrame, key: str, target_day: str, facts: Mapping[str, tuple[DataFrame, str, str]]
 ) -> DataFrame:
-    """For each target: the total of ``facts`` dated up to and including the target day.
+    """For each target: totals of the fact tables dated up to and including the target day.
 
-    Both sides are first reduced to one row per (key, day), so a key never brings more rows into the
-    window than there are days, however many facts it has. The result returns to the targets through
-    an equality join.
+    ``facts`` maps an output column to (table, day column, value column). All tables are first reduced
+    to one row per (key, day), so a key never brings more rows into the window than there are days,
+    however many facts it has; one window then serves all of them, and an equality join brings the
+    totals back to the targets.
     """
-    daily = facts.groupBy(key, F.col(fact_day).alias("_day")).agg(F.sum(value).alias("_v"))
-    wanted = targets.select(key, F.col(target_day).alias("_day")).distinct().withColumn("_v", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    names = list(facts)
+    marks = targets.select(key, F.col(target_day).alias("_day")).distinct().select(key, "_day", *[zero.alias(n) for n in names])
+    rows = marks
+    for name, (table, day, value) in facts.items():
+        daily = table.groupBy(key, F.col(day).alias("_day")).agg(F.sum(value).alias("_v"))
+        rows = rows.unionByName(daily.select(key, "_day", *[(F.col("_v") if n == name else zero).alias(n) for n in names]))
     upto = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = (
-        daily.unionByName(wanted.select(key, "_day", "_v"))
-        .groupBy(key, "_day")
-        .agg(F.sum("_v").alias("_v"))
-        .withColumn(name, F.sum("_v").over(upto))
-        .select(F.col(key), F.col("_day").alias(target_day), name)
+        rows.groupBy(key, "_day")
+        .agg(*[F.sum(n).alias(n) for n in names])
+        .select(F.col(key), F.col("_day").alias(target_day), *[F.sum(n).over(upto).alias(n) for n in names])
     )
     return targets.join(running, [key, target_day], "left")
 

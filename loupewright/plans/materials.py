@@ -12,7 +12,7 @@ from loupewright.functions import labels as L
 from loupewright.functions.dates import days_until, unset_before
 from loupewright.functions.text import clock_text, display_name, picture_url
 from loupewright.operators.filters import ALL_BILL_TEAMS, in_padded, live_orders
-from loupewright.operators.joins import left_default, lookup_agg, role_join
+from loupewright.operators.joins import left_default, role_join
 from loupewright.operators.nesting import nest, nest_many
 
 # Stands for an unknown date; dates before the year count as not set.
@@ -73,11 +73,25 @@ def material_plan_list(
     )
 
 
+def _purchases(purchase_status: DataFrame) -> DataFrame:
+    """Purchase totals per (order, material); with a supplier name column, also the first name."""
+    totals = [
+        F.max("FactDueDate").alias("_fact_max"),
+        F.min("FactDueDate").alias("_fact_min"),
+        F.max("SupDueDate").alias("sup_due"),
+        F.sum("QtyPurchase").alias("qty_purchase"),
+    ]
+    if "SupplierName" in purchase_status.columns:
+        place = F.when(F.col("SupplierName").isNotNull(), F.struct("MP_ItemNo", "SupplierName"))
+        totals.append(F.min_by("SupplierName", place).alias("_supplier"))
+    return purchase_status.groupBy("OrderNumber", "InvCode").agg(*totals)
+
+
 def _item_materials(
     mpp_status_product: DataFrame,
     inv_master: DataFrame,
     order_detail: DataFrame,
-    purchase_status: DataFrame,
+    purchases: DataFrame,
     as_of: date,
     groups: Sequence[str],
     unknown: date,
@@ -88,18 +102,7 @@ def _item_materials(
     stones = inv_master.where(F.col("InvGroupCode").isin(list(groups))).select("InvCode")
     items = order_detail.groupBy("OrderNumber", F.col("ItemNo").alias("OrderItemNo")).agg(F.sum("Qty").alias("_ordered"))
     rows = mpp_status_product.join(stones, "InvCode", "left_semi").join(items, ["OrderNumber", "OrderItemNo"], "left")
-    rows = lookup_agg(
-        rows,
-        purchase_status.select("OrderNumber", "InvCode", "FactDueDate", "SupDueDate", "QtyPurchase"),
-        ["OrderNumber", "InvCode"],
-        {
-            "_fact_max": F.max("FactDueDate"),
-            "_fact_min": F.min("FactDueDate"),
-            "sup_due": F.max("SupDueDate"),
-            "qty_purchase": F.sum("QtyPurchase"),
-        },
-        {"sup_due": unknown, "qty_purchase": 0},
-    )
+    rows = left_default(rows, purchases, ["OrderNumber", "InvCode"], {"sup_due": unknown, "qty_purchase": 0})
     got, need, bought, due = F.col("QtyFacReceive"), F.col("qty_stone"), F.col("qty_purchase"), F.col("sup_due")
     short = (bought > 0) & (due > F.lit(set_after)) & (got < need)
     return (
@@ -136,17 +139,17 @@ def material_by_item(
     set_after: date = SET_AFTER,
 ) -> DataFrame:
     """Billed materials of each item: need, received, first and last due date, deferral, lateness, status."""
-    rows = _item_materials(
-        mpp_status_product, inv_master, order_detail, purchase_status, as_of, groups, unknown, unset, set_after
-    )
     material = ["OrderNumber", "InvCode"]
-    named = purchase_status.join(supplier, "SupplierCode")
-    first_supplier = named.groupBy(*material).agg(F.min_by("SupplierName", F.struct("MP_ItemNo", "SupplierName")).alias("_supplier"))
     deferred = (
         purchase_history.where(F.col("HistoryTypeCode") == DEFERRAL)
         .groupBy(*material)
         .agg(F.min("FacFromDate").alias("_deferred_from"), F.lit(1).alias("is_deferred"))
     )
+    # The two per-material tables meet first, on the partitioning they share.
+    purchases = _purchases(purchase_status.join(supplier, "SupplierCode", "left")).join(deferred, material, "full")
+    rows = _item_materials(
+        mpp_status_product, inv_master, order_detail, purchases, as_of, groups, unknown, unset, set_after
+    )
     item = ["OrderNumber", "OrderItemNo", "InvCode"]
     billed = (
         bill_master.select("Bill_ID", "OrderNumber", "BillDate")
@@ -156,7 +159,7 @@ def material_by_item(
         .groupBy(*item)
         .agg(F.max("BillDate").alias("max_bill"))
     )
-    rows = rows.join(billed, item).join(first_supplier, material, "left").join(deferred, material, "left")
+    rows = rows.join(billed, item)
     first_due = F.coalesce(F.col("_deferred_from"), F.col("_fact_min"))
     return rows.select(
         F.col("OrderNumber").alias("order_number"),
@@ -194,7 +197,7 @@ def items_by_material_status(
 ) -> DataFrame:
     """Order items with a material in one of the statuses."""
     rows = _item_materials(
-        mpp_status_product, inv_master, order_detail, purchase_status, as_of, groups, unknown, unset, set_after
+        mpp_status_product, inv_master, order_detail, _purchases(purchase_status), as_of, groups, unknown, unset, set_after
     )
     kept = rows.where(in_padded(F.col("status"), statuses))
     return kept.select(F.col("OrderNumber").alias("order_number"), F.col("OrderItemNo").alias("item_no")).distinct()

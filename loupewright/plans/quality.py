@@ -50,8 +50,8 @@ def promised_targets(due_fac_to_qa: DataFrame, qa_bill_master: DataFrame, qa_bil
         qa_bill_detail.select("qaBill_ID", "Qty"), "qaBill_ID"
     )
     wanted = current.where(F.col("Qty") > 0)
-    rows = cum_upto(wanted, current, "OrderNumber", "due_date", "due_date", "Qty", "current_qty")
-    return cum_upto(rows, billed, "OrderNumber", "due_date", "_day", "Qty", "qty_bill").select(
+    facts = {"current_qty": (current, "due_date", "Qty"), "qty_bill": (billed, "_day", "Qty")}
+    return cum_upto(wanted, "OrderNumber", "due_date", facts).select(
         F.col("OrderNumber").alias("order_number"), "due_date", F.col("Qty").alias("qty"), "qty_bill", "current_qty"
     )
 
