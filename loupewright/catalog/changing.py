@@ -8,7 +8,11 @@ from loupewright.catalog.registry import query
 from loupewright.operators import changes as C
 from loupewright.operators.nesting import nest
 
-_COUNT = F.count(F.lit(1))
+
+
+def _count():
+    return F.count(F.lit(1))
+
 
 
 @query(
@@ -60,7 +64,7 @@ def deletes(t):
     tables = {"master": t.orders, "detail": detail, "returned": detail.where(F.col("l_returnflag") == "R")}
     result = None
     for name, kept in C.cascade_delete(tables, gone, ["o_orderkey"]).items():
-        part = kept.agg(_COUNT.alias("n"), F.sum("o_orderkey").alias("key_sum")).select(F.lit(name).alias("part"), "n", "key_sum")
+        part = kept.agg(_count().alias("n"), F.sum("o_orderkey").alias("key_sum")).select(F.lit(name).alias("part"), "n", "key_sum")
         result = part if result is None else result.union(part)
     return result
 
@@ -167,7 +171,7 @@ _TRANSITIONS = """with known as (select OrderNo, ItemNo, count(*) as n from $mol
 
 def _transition(t):
     keys = ["OrderNo", "ItemNo"]
-    old = t.mold_history.where(F.col("StatusFrom") < 3).groupBy(*keys).agg(_COUNT.alias("UpdateNo"))
+    old = t.mold_history.where(F.col("StatusFrom") < 3).groupBy(*keys).agg(_count().alias("UpdateNo"))
     new = t.mold_history.where(F.col("StatusFrom") >= 3)
     snapshot = t.mpp_status.select(F.col("OrderNumber").alias("OrderNo"), F.col("OrderItemNo").alias("ItemNo"), "MoldStatus")
     return C.transition(snapshot, new, old, keys, ["UpdateDate", "Reference", "Updater", "Qty"], "MoldStatus", "StatusTo")

@@ -13,7 +13,6 @@ from loupewright.functions.text import display_name
 from loupewright.operators import joins
 from loupewright.operators.nesting import children_text, nest, nest_many, row_span
 
-_ONE = F.lit(1)
 
 
 @query(
@@ -40,7 +39,7 @@ def join_inner(t):
 )
 def join_left_default(t):
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        F.count(_ONE).alias("n_lines"), F.max("l_returnflag").alias("last_flag")
+        F.count(F.lit(1)).alias("n_lines"), F.max("l_returnflag").alias("last_flag")
     )
     heads = t.orders.select(F.col("o_orderkey").alias("order_key"))
     return joins.left_default(heads, lines, ["order_key"], {"n_lines": 0, "last_flag": "-"})
@@ -58,7 +57,7 @@ def join_composite_key(t):
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part_key"),
         F.col("l_suppkey").alias("supp_key"), F.col("l_quantity").cast("int").alias("qty"),
     )
-    pairs = lines.groupBy("part_key", "supp_key").agg(F.count(_ONE).alias("pair_lines"), F.sum("qty").alias("pair_qty"))
+    pairs = lines.groupBy("part_key", "supp_key").agg(F.count(F.lit(1)).alias("pair_lines"), F.sum("qty").alias("pair_qty"))
     return lines.join(pairs, ["part_key", "supp_key"])
 
 
@@ -91,7 +90,7 @@ def join_on_expression(t):
     rows = t.repair_document.select(
         "BillID", F.substring("RepairBillNo", 2, 2).alias("PDProcessCode"), F.to_date("JobDate").alias("day")
     )
-    daily = t.repair_document.groupBy(F.to_date("JobDate").alias("day")).agg(F.count(_ONE).alias("bills_of_day"))
+    daily = t.repair_document.groupBy(F.to_date("JobDate").alias("day")).agg(F.count(F.lit(1)).alias("bills_of_day"))
     return rows.join(t.pd_process, "PDProcessCode").join(daily, "day").select(
         F.col("BillID").alias("bill_id"), F.col("PDProcessName").alias("process"), "bills_of_day"
     )

@@ -15,8 +15,15 @@ from loupewright.operators.filters import year_cmp
 from loupewright.operators.joins import left_default
 from loupewright.operators.ranked import number_rows, running_total
 
-_COUNT = F.count(F.lit(1))
-_QTY = F.col("l_quantity").cast("int")
+
+
+def _count():
+    return F.count(F.lit(1))
+
+
+def _qty():
+    return F.col("l_quantity").cast("int")
+
 
 
 @query(
@@ -24,7 +31,7 @@ _QTY = F.col("l_quantity").cast("int")
     """select l_partkey as part_key, l_suppkey as supp_key, cast(sum(cast(l_quantity as int)) as bigint) as qty from lineitem group by 1, 2""",
 )
 def group_sum(t):
-    return t.lineitem.groupBy(F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key")).agg(F.sum(_QTY).alias("qty"))
+    return t.lineitem.groupBy(F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key")).agg(F.sum(_qty()).alias("qty"))
 
 
 @query(
@@ -35,7 +42,7 @@ def group_sum(t):
 def group_min_max_count(t):
     day = F.to_date("l_shipdate")
     return t.lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.year(day).alias("y"), F.month(day).alias("m")).agg(
-        F.min(day).alias("first_day"), F.max(day).alias("last_day"), _COUNT.alias("n")
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"), _count().alias("n")
     )
 
 
@@ -47,7 +54,7 @@ def group_min_max_count(t):
 def global_count(t):
     status = F.col("qaBillStatus")
     return t.qa_bill_master.agg(
-        agg.count_where(status == "").alias("to_receive"), agg.count_where(status == "3").alias("finished"), _COUNT.alias("bills")
+        agg.count_where(status == "").alias("to_receive"), agg.count_where(status == "3").alias("finished"), _count().alias("bills")
     )
 
 
@@ -60,7 +67,7 @@ def global_count(t):
 def conditional_sum(t):
     flag = F.col("l_returnflag")
     return t.lineitem.groupBy(F.col("l_partkey").alias("part_key")).agg(
-        agg.sum_where(flag.isin("A", "N"), _QTY).alias("kept"), agg.sum_where(flag == "R", _QTY).alias("returned")
+        agg.sum_where(flag.isin("A", "N"), _qty()).alias("kept"), agg.sum_where(flag == "R", _qty()).alias("returned")
     )
 
 
@@ -74,7 +81,7 @@ _LINES = {n: f"p{n}" for n in range(1, 8)}
     + " from lineitem group by 1",
 )
 def pivot_sum_zero(t):
-    rows = t.lineitem.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", _QTY.alias("qty"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", _qty().alias("qty"))
     return agg.pivot_zero(rows, ["order_key"], "l_linenumber", _LINES, "qty")
 
 
@@ -105,7 +112,7 @@ def distinct_then_count(t):
 )
 def two_level_rollup(t):
     returned = t.cast_repair.groupBy("OrderNumber").agg(F.sum("ReturnQty").alias("r"))
-    items = t.job_order.groupBy("OrderNumber").agg(F.sum("JobQty").alias("qty"), _COUNT.alias("n_items"))
+    items = t.job_order.groupBy("OrderNumber").agg(F.sum("JobQty").alias("qty"), _count().alias("n_items"))
     rows = left_default(items, returned, ["OrderNumber"], {"r": 0})
     state = F.when(F.col("r") == 0, "none").when(F.col("r") < F.col("qty"), "part").otherwise("all")
     return rows.select(F.col("OrderNumber").alias("order_number"), "qty", "n_items", state.alias("state"))
@@ -120,7 +127,7 @@ def two_level_rollup(t):
 def percent_int(t):
     flag = F.col("l_returnflag")
     sums = t.lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        agg.sum_where(flag == "A", _QTY).alias("kept"), agg.sum_where(flag != "N", _QTY).alias("total")
+        agg.sum_where(flag == "A", _qty()).alias("kept"), agg.sum_where(flag != "N", _qty()).alias("total")
     )
     return sums.select("order_key", int_percent(F.col("kept"), F.col("total")).alias("percent"))
 
@@ -160,7 +167,7 @@ def fanout_sum_guard(t):
     ordered = t.order_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("qty"))
     teams = t.order_master.select("OrderNumber", F.col("ProductionTeam").alias("team"))
     rows = days.join(ordered, "OrderNumber").join(teams, "OrderNumber")
-    return rows.groupBy("day", "team").agg(F.sum("qty").alias("total_qty"), _COUNT.alias("n_orders"))
+    return rows.groupBy("day", "team").agg(F.sum("qty").alias("total_qty"), _count().alias("n_orders"))
 
 
 # --- windows -----------------------------------------------------------------------------------
@@ -191,7 +198,7 @@ def row_number_display(t):
 )
 def balance(t):
     lines = t.lineitem.select(
-        F.col("l_orderkey").alias("order_key"), F.to_date("l_shipdate").alias("day"), _QTY.alias("qty"), "l_returnflag"
+        F.col("l_orderkey").alias("order_key"), F.to_date("l_shipdate").alias("day"), _qty().alias("qty"), "l_returnflag"
     )
     starts = lines.groupBy("order_key").agg(F.sum("qty").alias("ordered"))
     return running_balance(lines.where(F.col("l_returnflag") != "N"), starts, "order_key", "day", "qty", "ordered")
@@ -215,7 +222,7 @@ def _fifo(t):
         F.call_function("div", F.col("l_quantity").cast("bigint") * (F.col("l_linenumber") % 3), F.lit(2)).alias("qty_to_fact"),
     )
     returned = t.lineitem.where(F.col("l_returnflag") == "R").groupBy(F.col("l_partkey").alias("part_key"))
-    receipts = returned.agg(F.call_function("div", F.sum(_QTY), F.lit(2)).alias("received"))
+    receipts = returned.agg(F.call_function("div", F.sum(_qty()), F.lit(2)).alias("received"))
     return fifo_allocate(receipts, lines, ["part_key"], _FIFO_ORDER)
 
 
@@ -238,7 +245,7 @@ def fifo(t):
 )
 def fifo_rest(t):
     result = _fifo(t)
-    touched = result["history"].groupBy("part_key").agg(_COUNT.alias("n_history"), F.sum("allocated").alias("allocated"))
+    touched = result["history"].groupBy("part_key").agg(_count().alias("n_history"), F.sum("allocated").alias("allocated"))
     parts = t.lineitem.select(F.col("l_partkey").alias("part_key")).distinct()
     rows = left_default(parts, touched, ["part_key"], {"n_history": 0, "allocated": 0})
     return left_default(rows, result["rest"], ["part_key"], {"rest": 0})
@@ -275,7 +282,7 @@ def revisions(t):
 )
 def running(t):
     rows = t.lineitem.select("l_returnflag", "l_orderkey", *_TOTAL_ORDER)
-    return running_total(rows, ["l_returnflag"], ["l_orderkey", *_TOTAL_ORDER], _QTY, "upto").select(
+    return running_total(rows, ["l_returnflag"], ["l_orderkey", *_TOTAL_ORDER], _qty(), "upto").select(
         F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key"), "upto",
     )
