@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from loupewright.catalog.materials import HOLIDAYS, holidays
 from loupewright.catalog.registry import AS_OF, D, query
-from loupewright.functions import labels as L
-from loupewright.functions.text import display_name
 from loupewright.operators import joins
 from loupewright.operators.nesting import children_text, nest, nest_many, row_span
 
