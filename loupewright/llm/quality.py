@@ -64,7 +64,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "2 * n_symbols > n_words",
+    "symbols": "4 * n_symbols > n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 30 * n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
