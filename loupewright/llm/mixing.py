@@ -78,12 +78,14 @@ def with_copies(docs: DataFrame, seed: str = SEED, weight=cycled_weight, most: i
     result. Columns of the input that are called like the new ones are replaced.
     """
     plain = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count())
-    key, size, target = fresh(plain, "_source", "source_size", "target")
+    key, size, target, drawn = fresh(plain, "_source", "source_size", "target", "_drawn")
     targets = source_targets(plain.select("source", "size"), weight, most).toDF(key, size, target)
     rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + F.when(chance("doc_id", "text", seed) < rate - whole, 1).otherwise(0)
-    return plain.join(targets, F.col("source").eqNullSafe(F.col(key))).drop(key).withColumn("copies", copies.cast("bigint"))
+    copies = (whole + F.when(F.col(drawn) < rate - whole, 1).otherwise(0)).cast("bigint")
+    # Drawn before the join, so a caller that needs no texts does not shuffle any.
+    rated = plain.withColumn(drawn, chance("doc_id", "text", seed)).join(targets, F.col("source").eqNullSafe(F.col(key)))
+    return rated.withColumn("copies", copies).drop(key, drawn)
 
 
 def mix(docs: DataFrame, seed: str = SEED, weight=cycled_weight, most: int = MOST_REPEATS) -> DataFrame:

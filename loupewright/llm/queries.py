@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loupewright.llm import mixing, quality
+from loupewright.llm import mixing, neighbours, quality, toxicity
 
 QUERIES = {
     "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
