@@ -65,15 +65,21 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarra
     return weights(np.arange(1 << BITS))
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> dict[int, float]:
-    """Weights by coordinate, from rows with doc_id, text and toxic; empty without rows of both labels.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> dict[int, float]:
+    """Weights by coordinate, from texts (doc_id, text) and labels (doc_id, toxic).
 
-    Null labels take no part. At most ``sample`` rows are read, spread evenly over the shards.
+    Null labels and labels without a text take no part; an id with several labels counts as toxic if
+    one says so, and of several texts of an id the least is read. ``sample`` ids are chosen while rows
+    are still narrow. Without rows of both labels the result is empty.
     """
-    known = labelled.where(F.col("toxic").isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
-    chosen = known.orderBy("_h", "doc_id").limit(sample).select("_h", "toxic", whole_text().alias("bytes"))
-    shards = max(1, -(-min(sample, known.select("doc_id").count()) // shard_rows))
-    made = map_rows(chosen, ["bytes"], lambda texts: [[np.unique(features(t)) for t in texts]], "places array<int>")
+    by_id = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    hashed = by_id.withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
+    chosen = hashed.orderBy("_h", "doc_id").limit(sample)
+    shards = max(1, -(-chosen.count() // shard_rows))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("_h", "toxic").agg(F.min("text").alias("text"))
+    made = map_rows(
+        texts.select("_h", "toxic", whole_text().alias("bytes")), ["bytes"], lambda b: [[np.unique(features(t)) for t in b]], "places array<int>"
+    )
     spread = made.select("_h", "toxic", "places", F.pmod("_h", F.lit(shards)).cast("int").alias("shard"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -114,10 +120,7 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").where(remainder("doc_id") != 0)
-    chosen = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE)
-    weights = learn(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    weights = learn(docs, table(spark, folder, "labels").where(remainder("doc_id") != 0))
     held = score(docs.select("doc_id", "text"), weights)
     return held.select(
         "doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
