@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,35 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(arrays, names=keep + new)
 
     return frame.mapInArrow(batches, StructType(frame.schema.fields + added.fields))
+
+
+def parts_of(spark: SparkSession, per_partition: int = 4) -> int:
+    """How many parts packed values are dealt to: some for each shuffle partition, so that they even out."""
+    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Split columns by part number; the order within a part is kept."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]])):
+        if b > a:
+            yield int(part[a]), [c[a:b] for c in columns]
+
+
+def packed_batch(rows: list[tuple[int, list[np.ndarray]]], names: Sequence[str]) -> pa.RecordBatch:
+    """Rows (part, one binary per column) for the parts that :func:`dealt` gives."""
+    columns = {"part": pa.array([part for part, _ in rows], pa.int32())}
+    for k, name in enumerate(names):
+        columns[name] = pa.array([arrays[k].tobytes() for _, arrays in rows], pa.binary())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    """All packed columns of a partition, put together."""
+    found: dict[str, list[bytes]] = {name: [] for name in kinds}
+    for batch in batches:
+        for name in kinds:
+            found[name] += batch.column(name).to_pylist()
+    return {name: np.frombuffer(b"".join(found[name]), kind) for name, kind in kinds.items()}

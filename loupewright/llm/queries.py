@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loupewright.llm import mixing, neighbours, prefix_bpe, quality, token_counts, token_files, toxicity
+from loupewright.llm import mixing, neighbours, prefix_bpe, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op2_prefix_bpe": prefix_bpe.op2_prefix_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_token_files": token_files.op4_token_files,
     "op5_quality": quality.op5_quality,
+    "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
