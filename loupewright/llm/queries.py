@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loupewright.llm import mixing, neighbours, prefix_bpe, quality, simhash, token_counts, token_files, toxicity
+from loupewright.llm import mixing, neighbours, prefix_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op2_prefix_bpe": prefix_bpe.op2_prefix_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
 }
