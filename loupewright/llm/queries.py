@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loupewright.llm import mixing, neighbours, prefix_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from loupewright.llm import hpylm, mixing, neighbours, prefix_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_hpylm": hpylm.op1_hpylm,
     "op2_prefix_bpe": prefix_bpe.op2_prefix_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_token_files": token_files.op4_token_files,
