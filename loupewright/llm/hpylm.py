@@ -97,9 +97,11 @@ def _put_together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _by_pair(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of n for each (token, context), in ascending order of both."""
     order = np.lexsort((context, token))
-    token, context = token[order], context[order]
-    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])]))
-    return token[first], context[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+    token, context, n = token[order], context[order], n[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
+    first = np.flatnonzero(new)
+    return token[first], context[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _starts(token: np.ndarray) -> np.ndarray:

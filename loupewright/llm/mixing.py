@@ -89,10 +89,10 @@ def with_copies(docs: DataFrame, seed: str = SEED, weight=cycled_weight, most: i
 
 
 def mix(docs: DataFrame, seed: str = SEED, weight=cycled_weight, most: int = MOST_REPEATS) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the input's columns."""
-    counted = with_copies(docs, seed, weight, most)
-    repeated = counted.where(F.col("copies") > 0).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns) if "size" not in docs.columns else repeated
+    """The mixed corpus: every document as often as the mix takes it, with the input's columns as they were."""
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    counted = with_copies(whole, seed, weight, most).where(F.col("copies") > 0)
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op10_mixing(spark, folder):

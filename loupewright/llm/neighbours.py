@@ -7,7 +7,7 @@ crossed). The candidates of all tables are merged, their exact scores computed,
 shard merged over the shards.
 
 Largest inner products are least distances once every vector gets one more component that brings
-it to the largest norm, while queries get 0 there.
+it to the largest norm, while queries are scaled to that norm and get 0 there.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from loupewright.llm.common import table
 
 TABLES, PROJECTIONS = 4, 7
-#: Bucket width in standard deviations of a projection, and buckets visited per table.
+#: Bucket width in deviations of a projection between a query and a vector (over the root of two), and
+#: buckets visited per table.
 WIDTH, PROBES = 1.6, 900
 #: Vectors of the sample that sets the width, and vectors and queries in one block.
 SAMPLE, SHARD, BLOCK = 4096, 16_384, 4096
@@ -40,7 +41,8 @@ class Tables:
         rng = np.random.default_rng(SEED)
         self.norm = norm
         self.axes = rng.standard_normal((dimension + 1, TABLES * PROJECTIONS))
-        spread = (self.lift(sample) @ self.axes).std(axis=0) if len(sample) > 1 else np.ones(TABLES * PROJECTIONS)
+        apart = (self.lift(sample) - np.roll(self.aim(sample), 1, axis=0)) @ self.axes
+        spread = np.sqrt((apart**2).mean(axis=0) / 2) if len(sample) > 1 else np.ones(TABLES * PROJECTIONS)
         self.width = WIDTH * np.where(spread > 0, spread, 1.0)
         self.shift = rng.random(TABLES * PROJECTIONS)
 
@@ -48,6 +50,10 @@ class Tables:
         rest = np.sqrt(np.maximum(0.0, self.norm**2 - (vectors**2).sum(axis=1)))
         return np.column_stack([vectors, rest])
 
+    def aim(self, queries: np.ndarray) -> np.ndarray:
+        """Queries at the largest norm; their length changes no ranking."""
+        return np.column_stack([queries * (self.norm / np.sqrt((queries**2).sum(axis=1)))[:, None], np.zeros(len(queries))])
+
     def places(self, lifted: np.ndarray) -> np.ndarray:
         """Position along each projection in bucket widths: rows x tables x projections."""
         return (lifted @ self.axes / self.width + self.shift).reshape(len(lifted), TABLES, PROJECTIONS)
@@ -59,7 +65,7 @@ class Tables:
 
     def probes(self, query: np.ndarray, count: int) -> list[np.ndarray]:
         """For each table the codes of the buckets to visit, best first."""
-        at = self.places(np.append(query, 0.0)[None])[0]
+        at = self.places(self.aim(query[None]))[0]
         cells, within = np.floor(at), at - np.floor(at)
         cost = (within**2) @ _DOWN.T + ((1 - within) ** 2) @ _UP.T
         found = []

@@ -35,14 +35,14 @@ def split(text: str) -> list[str]:
 class Remembered(dict):
     """Ids of pieces, as packed unsigned 32-bit integers, by piece; bounded in size."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def learn(self, pieces: list[str]) -> None:
         missing = [p for p in set(pieces) if p not in self]
         if missing:
-            if len(self) + len(missing) > REMEMBERED:
+            if len(self) + len(missing) > self.most:
                 self.clear()
                 missing = list(set(pieces))
             for piece, ids in zip(missing, self.encode(missing)):

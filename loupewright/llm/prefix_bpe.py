@@ -20,8 +20,8 @@ from loupewright.llm.common import map_rows, table
 from loupewright.llm.pieces import Remembered, split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Token pairs whose compatibility a worker remembers before it starts over.
-PAIRS = 500_000
+#: Pieces, and token pairs with their compatibility, that a worker remembers before it starts over.
+PIECES, PAIRS = 250_000, 150_000
 
 
 class PrefixCoder:
@@ -31,7 +31,7 @@ class PrefixCoder:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.memory = Remembered(lambda new: [self.encode_piece(p.encode()) for p in new])
+        self.memory = Remembered(lambda new: [self.encode_piece(p.encode()) for p in new], PIECES)
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short string: merge the neighbours of least rank until none can be merged."""

@@ -110,6 +110,8 @@ def links(nodes: DataFrame, limit: int, tile: int = TILE) -> DataFrame:
 
     def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
+            if not batch.num_rows:
+                continue
             node = np.array(batch.column(0).to_pylist(), np.uint64)
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(node), -1)
             salt = np.arange(words.shape[1] * len(MASKS), dtype=np.uint64).reshape(words.shape[1], -1)
@@ -143,6 +145,8 @@ def links(nodes: DataFrame, limit: int, tile: int = TILE) -> DataFrame:
     def compared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in stream:
+            if not batch.num_rows:
+                continue
             key, place, node = (batch.column(i).to_numpy() for i in range(3))
             words = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(node), -1)
             now = [key, place, node, words]

@@ -278,6 +278,8 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             texts = batch.column(1).to_pylist()
+            if not texts:
+                continue
             got = [anchors(data, inside)[1] for data, _, _, inside in _blocks(list(range(len(texts))), texts)]
             hashes, n = np.unique(np.concatenate(got), return_counts=True)
             part = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64) % parts
@@ -447,10 +449,11 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of their texts; characters cut in two are dropped."""
-    cut = without_repeats(docs.select(*[F.col(c).alias(f"{c}") for c in docs.columns]))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    cut = without_repeats(docs.select("text", *[F.col(c).alias(n) for c, n in names.items()]))
     clean = map_rows(cut, ["kept"], lambda kept: [[k.decode("utf-8", "ignore") for k in kept]], "clean_text string")
-    whole = F.when(F.col("n_removed") > 0, F.col("clean_text")).otherwise(F.col("text")).alias("text")
-    return clean.select(*[whole if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("n_removed") > 0, F.col("clean_text")).otherwise(F.col("text")).alias("text")
+    return clean.select(*[text if c == "text" else F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
