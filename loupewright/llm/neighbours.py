@@ -91,9 +91,8 @@ def _in_shard(tables: Tables, base: pd.DataFrame, queries: pd.DataFrame, k: int,
             right = np.searchsorted(sorted_codes[:, t], wanted, "right")
             for a, b in zip(left[right > left], right[right > left]):
                 hit[orders[a:b, t]] = True
-        at = np.flatnonzero(hit)
-        if len(at) == 0:
-            continue
+        # Where the visited buckets hold too few, the rest of the shard is visited too.
+        at = np.flatnonzero(hit) if hit.sum() >= k else np.arange(len(vectors))
         rough = vectors[at] @ query
         if len(at) > k + 8:
             at = at[np.argpartition(-rough, k + 8)[: k + 8]]
