@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupewright.llm.common import dealt, map_rows, packed_batch, parts_of, stored, table, unpacked, whole_text
+from loupewright.llm.common import dealt, map_rows, packed_batch, parts_of, table, unpacked, whole_text
 
 LENGTH, KGRAM = 200, 40
 _WINDOW = LENGTH - KGRAM + 1
@@ -347,7 +347,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         settled = _ranges(row[~alone], local[~alone])
         nothing = np.zeros(0)
         if len(settled[0]):
-            yield _tagged("range", [(0, [nothing, nothing, settled[0], settled[1], nothing, nothing, settled[2]])])
+            yield _tagged("range", [(int(settled[0][0] % parts), [nothing, nothing, *settled[:2], nothing, nothing, settled[2]])])
         owner = np.where(alone, row, -1)[first]  # no owner: at least two that are settled already
         part = (h1[first] % np.uint64(parts)).astype(np.int64)
         out = [(n, [a, b, r, w, nothing, nothing, nothing]) for n, (a, b, r, w) in dealt(part, h1[first], h2[first], owner, local[first])]
@@ -358,10 +358,27 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)), *batch.columns], names=["kind", *batch.schema.names])
 
     schema = "kind string, part int, " + ", ".join(f"{name} binary" for name in _PACKED)
-    pieces = stored(docs.select("row", "bytes").mapInArrow(cut, schema), "surroundings")
+    pieces = docs.select("row", "bytes").mapInArrow(cut, schema).repartition("part")
 
-    def sorted_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpacked(stream, _KINDS)
+    def gathered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All that came to this partition, by kind; the parts of a kind belong together."""
+        held: dict[str, dict[str, list[bytes]]] = {"context": {}, "window": {}}
+        for batch in stream:
+            kinds = batch.column(0).to_pylist()
+            for name in _PACKED:
+                for kind, value in zip(kinds, batch.column(batch.schema.get_field_index(name)).to_pylist()):
+                    if kind in held:
+                        held[kind].setdefault(name, []).append(value)
+            for i, kind in enumerate(kinds):
+                if kind == "range":
+                    low, row, high = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("low", "row", "data"))
+                    yield _range_batch(row, low, high)
+        for kind, work in (("window", counted_windows), ("context", sorted_groups)):
+            if held[kind]:
+                columns = held.pop(kind)
+                yield from work({name: np.frombuffer(b"".join(columns.pop(name)), _KINDS[name]) for name in _PACKED})
+
+    def sorted_groups(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         size = got["before"].astype(np.int64) - got["after"] + LENGTH
         offset = np.cumsum(size) - size
         order = np.argsort(got["hash"], kind="stable")
@@ -385,8 +402,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
             yield _range_batch(*_ranges(row[member], (low + before)[member] - distance))
             at = stop
 
-    def counted_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpacked(stream, {k: _KINDS[k] for k in ("hash", "second", "row", "low")})
+    def counted_windows(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((got["second"], got["hash"]))
         h1, h2, row, low = (got[k][order] for k in ("hash", "second", "row", "low"))
         if len(h1):
@@ -395,15 +411,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
             hit = (weight[group_of] >= 2) & (row >= 0)
             yield _range_batch(*_ranges(row[hit], low[hit]))
 
-    def settled_ranges(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpacked(stream, {"row": np.int64, "low": np.int64, "data": np.int64})
-        yield _range_batch(got["row"], got["low"], got["data"])
-
-    out = "row long, low long, high long"
-    of = lambda kind, *names: pieces.where(F.col("kind") == kind).select("part", *names)
-    contexts = of("context", *_PACKED).repartition("part").mapInArrow(sorted_groups, out)
-    windows = of("window", "hash", "second", "row", "low").repartition("part").mapInArrow(counted_windows, out)
-    return contexts.union(windows).union(of("range", "row", "low", "data").mapInArrow(settled_ranges, out))
+    return pieces.mapInArrow(gathered, "row long, low long, high long")
 
 
 def _without(text: bytes, low: list | None, high: list | None) -> tuple[bytes, int]:
