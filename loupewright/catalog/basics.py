@@ -72,13 +72,13 @@ def key_set_restrict(t):
 
 @query(
     "column_to_array",
-    """select l_returnflag as flag, 0 as part, count(*) as n_days, string_agg(cast(day as string), ',' order by day) as days
+    """select l_returnflag as flag, count(*) as n_days, string_agg(cast(day as string), ',' order by day) as days
     from (select distinct l_returnflag, cast(l_shipdate as date) as day from lineitem) a group by 1""",
 )
 def to_array(t):
     days = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"))
     arrays = column_to_array(days, ["flag"], "day", "days")
-    return arrays.select("flag", "part", F.size("days").alias("n_days"), F.array_join(F.col("days").cast("array<string>"), ",").alias("days"))
+    return arrays.select("flag", F.size("days").alias("n_days"), F.array_join(F.col("days").cast("array<string>"), ",").alias("days"))
 
 
 @query(
@@ -283,8 +283,8 @@ def sort_case_priority(t):
 
 @query(
     "sort_numeric_suffix",
-    """select p_partkey as part_key, cast(substring(p_brand, 7, 2) as int) as brand_no,
-      row_number() over (order by cast(substring(p_brand, 7, 2) as int), p_partkey) as place from part""",
+    """select p_partkey as part_key, cast(regexp_extract(p_brand, '^.{6}(\\d+)', 1) as bigint) as brand_no,
+      row_number() over (order by cast(regexp_extract(p_brand, '^.{6}(\\d+)', 1) as bigint), p_partkey) as place from part""",
 )
 def sort_numeric_suffix(t):
     rows = t.part.select(F.col("p_partkey").alias("part_key"), sorting.numeric_suffix(F.col("p_brand"), 7).alias("brand_no"))
@@ -300,9 +300,9 @@ def sort_numeric_suffix(t):
 def top_n(t):
     columns = [F.col("OrderNumber").alias("order_number"), F.col("DueDate").alias("due_date")]
     order = [F.col("DueDate"), F.col("OrderNumber")]
-    first = sorting.top_n(t.order_master, order, filtered=False).select(F.lit("none").alias("filter"), *columns)
+    first = sorting.top_n(t.order_master, order, limit=100).select(F.lit("none").alias("filter"), *columns)
     found = t.order_master.where(flt.contains_text(F.col("OrderNumber"), "77"))
-    return first.union(sorting.top_n(found, order, filtered=True).select(F.lit("text").alias("filter"), *columns))
+    return first.union(sorting.top_n(found, order, limit=None).select(F.lit("text").alias("filter"), *columns))
 
 
 @query(
@@ -402,7 +402,7 @@ def fn_string(t):
     )
 
 
-_URL = "'https://pictures.example/' || replace(replace(substring({c}, 4, 200), chr(92), '/'), '#', '%23')"
+_URL = "'https://pictures.example/' || replace(replace(substring({c}, 4), chr(92), '/'), '#', '%23')"
 
 
 @query(
@@ -435,11 +435,12 @@ def fn_time_string(t):
 
 @query(
     "fn_zero_pad",
-    "select o_orderkey as k, right('00000' || o_orderkey, 5) as five, right('000' || o_orderkey, 3) as three from orders",
+    """select o_orderkey as k, lpad(o_orderkey::varchar, greatest(5, length(o_orderkey::varchar))::int, '0') as five,
+      right('000' || o_orderkey, 3) as three from orders""",
 )
 def fn_zero_pad(t):
     key = F.col("o_orderkey")
-    return t.orders.select(key.alias("k"), ft.zero_pad(key, 5).alias("five"), ft.zero_pad(key, 3).alias("three"))
+    return t.orders.select(key.alias("k"), ft.zero_pad(key, 5).alias("five"), ft.zero_pad(key, 3, cut=True).alias("three"))
 
 
 @query("fn_display_name", "select EmpCode as k, EmpFName || ' (' || NickName || ')' as name from $employee")

@@ -106,7 +106,8 @@ def densify_cross(t):
         F.col("l_orderkey").alias("order_key"), F.col("l_returnflag").alias("code"), F.col("l_quantity").cast("int").alias("qty")
     )
     heads = t.orders.select(F.col("o_orderkey").alias("order_key"))
-    return joins.densify(heads, ["A", "N", "R"], "code", facts, ["order_key"], ["qty"])
+    flags = t.spark.createDataFrame([("A",), ("N",), ("R",)], "code string")
+    return joins.densify(heads, flags, "code", facts, ["order_key"], ["qty"])
 
 
 @query(
@@ -162,7 +163,7 @@ def correlated_lookup_first(t):
     HOLIDAYS,
 )
 def range_count_join(t):
-    cumulative = joins.cumulative_days(holidays(t.spark), "HolidayDate", date(1995, 1, 1), date(2002, 12, 31))
+    cumulative = joins.cumulative_days(holidays(t.spark), "HolidayDate")
     rows = t.order_master.select(F.col("OrderNumber").alias("order_number"), F.col("DueDate").alias("due_date"))
     return joins.count_between(rows, cumulative, F.lit(AS_OF), F.col("due_date"), "n_holidays")
 
@@ -210,7 +211,7 @@ def semi_join_in(t):
 
 @query(
     "nest_children",
-    """select o_orderkey as order_key, 0 as part, (select count(*) from lineitem where l_orderkey = o_orderkey) as n,
+    """select o_orderkey as order_key, (select count(*) from lineitem where l_orderkey = o_orderkey) as n,
       coalesce((select string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || cast(l_quantity as int), ','
         order by l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int)) from lineitem where l_orderkey = o_orderkey), '') as lines
     from orders""",

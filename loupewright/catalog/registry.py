@@ -59,7 +59,9 @@ def query(name: str, oracle: str | None = None, extra: dict[str, str] | None = N
         QUERIES[name] = lambda spark, folder: build(Workshop(spark, folder))
         if oracle is not None:
             narrow = ", ".join(f"cast({c} as int) as {c}" for c in INT_COLUMNS.get(name, "").split())
-            text = duckdb_sql(oracle, extra)
+            # The factory tables come as common tables of the statement, so its own go one level down.
+            own = oracle.lstrip().startswith("with ")
+            text = duckdb_sql(f"select * from ({oracle}) own" if own else oracle, extra)
             ORACLES[name] = f"select * replace ({narrow}) from ({text}) typed" if narrow else text
         return build
 

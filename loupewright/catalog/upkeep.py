@@ -10,7 +10,7 @@ from loupewright.catalog.registry import AS_OF, D, METER_NOW, NOW, case_sql, que
 from loupewright.functions import labels as L
 from loupewright.plans import upkeep as U
 
-_URL = "'https://pictures.example/' || replace(replace(substring({c}, 4, 200), chr(92), '/'), '#', '%23')"
+_URL = "'https://pictures.example/' || replace(replace(substring({c}, 4), chr(92), '/'), '#', '%23')"
 _PERSON = "{e}.EmpFName || ' (' || {e}.NickName || ')'"
 _DOW = "dayofweek({}) + 1"
 _PLACES = """{how} join $job_type jt on d.JobTypeCode = jt.JobTypeCode

@@ -35,7 +35,7 @@ def picture_url(path: Column, base: str = PICTURE_BASE, default: str | None = No
 
     With ``default`` set, an unset path yields the default picture instead of NULL.
     """
-    relative = F.substring(path, 4, 200)
+    relative = F.substring(path, F.lit(4), F.char_length(path))
     link = F.concat(F.lit(base), F.replace(F.replace(relative, F.lit("\\"), F.lit("/")), F.lit("#"), F.lit("%23")))
     if default is None:
         return link
@@ -57,9 +57,16 @@ def clock_minutes(moment: Column) -> Column:
     return F.date_format(moment, "HH:mm")
 
 
-def zero_pad(number: Column, width: int) -> Column:
-    """The last ``width`` digits of a number, zero filled on the left."""
-    return F.right(F.concat(F.lit("0" * width), number.cast("string")), F.lit(width))
+def zero_pad(number: Column, width: int, cut: bool = False) -> Column:
+    """A number with at least ``width`` digits, zero filled on the left.
+
+    A number that needs more digits has more; with ``cut`` it loses the leading ones instead, so
+    that different numbers can look alike.
+    """
+    digits = number.cast("string")
+    if cut:
+        return F.right(F.concat(F.lit("0" * width), digits), F.lit(width))
+    return F.when(F.char_length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
 
 
 def display_name(first: Column, nick: Column) -> Column:

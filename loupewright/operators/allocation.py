@@ -47,7 +47,7 @@ def fifo_allocate(
     running = running_total(lines.withColumn("_open", open_quantity), keys, order, "_open", "_upto")
     filled = left_default(running, summed, keys, {"_received": 0})
     left_over = F.col("_received") - (F.col("_upto") - F.col("_open"))
-    allocated = F.greatest(F.lit(0), F.least(F.col("_open"), left_over)).cast("bigint")
+    allocated = F.greatest(F.lit(0), F.least(F.col("_open"), left_over))
     result = (
         filled.withColumn("allocated", allocated)
         .withColumn("new_delivered", F.col(delivered) + F.col("allocated"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,28 +55,30 @@ def role_join(df: DataFrame, dim: DataFrame, key: str, roles: Mapping[str, tuple
 
 def densify(
     left: DataFrame,
-    codes: Sequence[str],
+    dimension: DataFrame,
     code_column: str,
     facts: DataFrame,
     keys: Sequence[str],
     measures: Sequence[str],
 ) -> DataFrame:
-    """Every left row with every code, measures from ``facts``, 0 where there are none.
+    """Every left row with every code of a dimension table, measures from ``facts``, 0 where there are none.
 
-    The code list is a fixed short list, exploded from an array literal in the row itself.
+    The codes come as one array in one row, so each left row is spread in place without a shuffle.
     """
-    spread = left.withColumn(code_column, F.explode(F.array(*[F.lit(c) for c in codes])))
+    codes = dimension.agg(F.array_sort(F.collect_set(code_column)).alias("_codes"))  # exactly one row
+    spread = left.join(F.broadcast(codes)).withColumn(code_column, F.explode("_codes")).drop("_codes")
     summed = facts.groupBy(*keys, code_column).agg(*[F.sum(m).alias(m) for m in measures])
     return left_default(spread, summed, [*keys, code_column], {m: 0 for m in measures})
 
 
-def cumulative_days(days: DataFrame, day: str, low: date, high: date) -> DataFrame:
-    """Per calendar day from ``low`` to ``high``: listed days up to and including it, and its own flag.
+def cumulative_days(days: DataFrame, day: str) -> DataFrame:
+    """Per calendar day: listed days up to and including it, and its own flag.
 
-    One row per calendar day, so the running sum has a bounded size.
+    The calendar runs from the day before the first listed day to the day after the last, so the
+    running sum has one row per day of that time, and its ends stand for all days before and after.
     """
-    spark = days.sparkSession
-    calendar = spark.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("day"))
+    ends = days.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).where(F.col("lo").isNotNull())
+    calendar = ends.select(F.explode(F.sequence(F.date_sub("lo", 1), F.date_add("hi", 1))).alias("day"))
     flags = days.select(F.col(day).alias("day")).distinct().withColumn("flag", F.lit(1))
     ordered = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return left_default(calendar, flags, ["day"], {"flag": 0}).select(
@@ -86,19 +87,23 @@ def cumulative_days(days: DataFrame, day: str, low: date, high: date) -> DataFra
 
 
 def count_between(df: DataFrame, cumulative: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
-    """Listed days in the closed interval between two dates, in either direction.
+    """Listed days in the closed interval between two dates, in either direction; NULL if one is unknown.
 
     Works on the running count of :func:`cumulative_days`: two equality joins and a subtraction
-    instead of a range join.
+    instead of a range join. Dates outside the calendar count as its nearest end, which is no listed day.
     """
+    edges = cumulative.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))  # exactly one row
     ends = cumulative.select(F.col("day").alias("_hi"), F.col("cum").alias("_hi_cum"))
     starts = cumulative.select(F.col("day").alias("_lo"), F.col("cum").alias("_lo_cum"), F.col("flag").alias("_lo_flag"))
+    inside = lambda c: F.least(F.greatest(c, F.col("_first")), F.col("_last"))
+    counted = F.coalesce(F.col("_hi_cum") - F.col("_lo_cum") + F.col("_lo_flag"), F.lit(0))
     return (
-        df.withColumns({"_a": F.least(low, high), "_b": F.greatest(low, high)})
+        df.join(F.broadcast(edges))
+        .withColumns({"_a": inside(F.least(low, high)), "_b": inside(F.greatest(low, high))})
         .join(starts, F.col("_a") == F.col("_lo"), "left")
         .join(ends, F.col("_b") == F.col("_hi"), "left")
-        .withColumn(name, F.col("_hi_cum") - F.col("_lo_cum") + F.col("_lo_flag"))
-        .drop("_a", "_b", "_lo", "_hi", "_lo_cum", "_hi_cum", "_lo_flag")
+        .withColumn(name, F.when(low.isNotNull() & high.isNotNull(), counted))
+        .drop("_first", "_last", "_a", "_b", "_lo", "_hi", "_lo_cum", "_hi_cum", "_lo_flag")
     )
 
 

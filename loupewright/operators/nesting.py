@@ -7,79 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most children one array should hold; a parent with more gets several rows.
-CHILD_LIMIT = 100_000
+from loupewright.operators.ranked import number_rows
 
 
-def collect_children(
-    child: DataFrame,
-    keys: Sequence[str],
-    fields: Sequence[str],
-    name: str,
-    limit: int = CHILD_LIMIT,
-    bounded: bool = False,
-) -> DataFrame:
-    """One row per key and part, with the children as a sorted array of structs.
+def long_form(child: DataFrame, keys: Sequence[str], fields: Sequence[str], ordinal: str = "ordinal") -> DataFrame:
+    """The children of every key in order, one row each: keys, ``ordinal`` from 1, ``fields``.
+
+    This is the form for children of any number: nothing is gathered into an array, and a key's rows
+    spread over many tasks.
+    """
+    return number_rows(child.select(*keys, *fields), keys, list(fields), ordinal).select(*keys, ordinal, *fields)
+
 
-    Arrays are ordered by ``fields`` from left to right. A key with more than ``limit`` children is
-    spread by hash over enough parts to keep each array near the limit, so no task has to hold all
-    children of a huge parent and none is dropped; ``part`` numbers the arrays, and is 0 for all
-    ordinary parents. ``bounded`` skips the count for children that were already grouped to a key of
-    a few values per parent.
+def collect_children(child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
+    """One row per key, with the children as an array of structs sorted by ``fields`` from left to right.
+
+    An array is one value of one row: use it where the key bounds the number of children (items of a
+    bill, days of a calendar, processes of a job), and :func:`long_form` where it does not.
     """
-    entry = F.array_sort(F.collect_list(F.struct(*fields))).alias(name)
-    if bounded:
-        return child.groupBy(*keys).agg(entry).withColumn("part", F.lit(0))
-    big = (
-        child.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_parts")), F.lit(0)).cast("int")
-    return child.join(big, list(keys), "left").groupBy(*keys, part.alias("part")).agg(entry)
+    return child.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
 def nest_many(
-    parent: DataFrame,
-    children: Sequence[tuple[DataFrame, Sequence[str], str]],
-    keys: Sequence[str],
-    limit: int = CHILD_LIMIT,
-    bounded: bool = False,
+    parent: DataFrame, children: Sequence[tuple[DataFrame, Sequence[str], str]], keys: Sequence[str]
 ) -> DataFrame:
-    """Parents with several child tables as arrays; an empty array where there are no children.
+    """Each parent once, with several child tables as arrays; an empty array where there are no children.
 
-    ``children`` lists (table, fields, array name). A parent with more than ``limit`` children of a
-    kind appears once per ``part``, which together hold all its children.
+    ``children`` lists (table, fields, array name). Each child table is read once.
     """
-    arrays, types = None, {}
+    nested = parent
     for child, fields, name in children:
-        packed = collect_children(child, keys, fields, name, limit, bounded)
-        types[name] = packed.schema[name].dataType
-        arrays = packed if arrays is None else arrays.join(packed, [*keys, "part"], "full")
-    joined = parent.join(arrays, list(keys), "left")
-    filled = {name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in types.items()}
-    return joined.withColumns({**filled, "part": F.coalesce(F.col("part"), F.lit(0))})
-
-
-def nest(
-    parent: DataFrame,
-    child: DataFrame,
-    keys: Sequence[str],
-    fields: Sequence[str],
-    name: str,
-    limit: int = CHILD_LIMIT,
-    bounded: bool = False,
-) -> DataFrame:
-    """Parents with one child table as an array."""
-    return nest_many(parent, [(child, fields, name)], keys, limit, bounded)
+        packed = collect_children(child, keys, fields, name)
+        kind = packed.schema[name].dataType
+        nested = nested.join(packed, list(keys), "left")
+        nested = nested.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+    return nested
+
+
+def nest(parent: DataFrame, child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
+    """Each parent once, with one child table as an array."""
+    return nest_many(parent, [(child, fields, name)], keys)
 
 
-def column_to_array(df: DataFrame, keys: Sequence[str], column: str, name: str, limit: int = CHILD_LIMIT) -> DataFrame:
-    """Distinct values of a column per key as one sorted array."""
-    distinct = df.select(*keys, column).distinct()
-    arrays = collect_children(distinct, keys, [column], "_e", limit)
-    return arrays.select(*keys, "part", F.transform("_e", lambda e: e[column]).alias(name))
+def column_to_array(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """Distinct values of a column per key as one sorted array; for columns of few different values."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(column)).alias(name))
 
 
 def row_span(*arrays: Column) -> Column:

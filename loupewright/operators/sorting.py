@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: rows of a list that was asked for without a filter.
-UNFILTERED_LIMIT = 100
-
-
 def status_rank(status: Column, first: Sequence[str]) -> Column:
     """Place of a status in ``first``, counted from 1; all others come after."""
     rank = F.lit(len(first) + 1)
@@ -19,18 +15,19 @@ def status_rank(status: Column, first: Sequence[str]) -> Column:
     return rank
 
 
-def numeric_suffix(code: Column, start: int = 2, length: int = 2) -> Column:
-    """The number inside a code such as ``A10``."""
-    return F.substring(code, start, length).cast("int")
+def numeric_suffix(code: Column, start: int = 2) -> Column:
+    """The number in a code such as ``A10``: all digits from place ``start`` on, NULL without any."""
+    digits = F.regexp_extract(code, rf"^.{{{start - 1}}}(\d+)", 1)
+    return F.when(digits != "", digits.cast("bigint"))
 
 
-def top_n(df: DataFrame, order: Sequence[Column], filtered: bool, limit: int = UNFILTERED_LIMIT) -> DataFrame:
-    """Sorted list, cut to ``limit`` rows only when the caller gave no filter.
+def top_n(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Sorted list, cut to ``limit`` rows where the caller asks for that (a list without a filter).
 
     ``order`` must be a total order so that the cut always keeps the same rows.
     """
     ordered = df.orderBy(*order)
-    return ordered if filtered else ordered.limit(limit)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sort_children(array: Column, field: str) -> Column:

@@ -342,7 +342,6 @@ def bill_receipt(
     items = items.select(
         "Bill_ID",
         F.col("ItemNo").alias("item_no"),
-        "part",
         F.col("OrderItemNo").alias("order_item_no"),
         F.col("JobNumber").alias("job_number"),
         F.col("ProductCode").alias("product_code"),
@@ -367,7 +366,7 @@ def bill_receipt(
         F.coalesce("receiver_name", F.lit("")).alias("receiver_name"),
         F.coalesce("receiver_picture", F.lit("")).alias("receiver_picture"),
     )
-    fields = ["item_no", "part", "order_item_no", "job_number", "product_code", "materials"]
+    fields = ["item_no", "order_item_no", "job_number", "product_code", "materials"]
     children = [(items, fields, "products"), (sums, ["inv_code", "sum_qty"], "sum_inv")]
     return nest_many(header, children, ["Bill_ID"]).withColumnRenamed("Bill_ID", "bill_id")
 

@@ -14,7 +14,7 @@ from loupewright.functions.numbers import guarded_ratio, int_percent, zero_if_nu
 from loupewright.functions.text import picture_url, trimmed_length
 from loupewright.operators.aggregates import pivot_zero, sum_where
 from loupewright.operators.filters import ALL_TEAMS, in_padded, live_orders
-from loupewright.operators.joins import left_default, lookup_agg
+from loupewright.operators.joins import densify, left_default, lookup_agg, restrict
 
 #: One output column per production process.
 PROCESS_COLUMNS = {code: f"p{int(code)}" for code in L.PROCESS_CODES}
@@ -47,6 +47,8 @@ def order_status(
     """Live orders due in a range, with days left, inspection progress, work in process and status."""
     orders = live_orders(order_master, exclude_test=False, order_year=order_year)
     orders = orders.where(F.col("DueDate").between(due_from, due_to)).join(customer, "CusCode")
+    # Only the wanted orders' jobs and bills are pivoted and summed.
+    job_order, qa_bill_detail = (restrict(x, orders, ["OrderNumber"]) for x in (job_order, qa_bill_detail))
     wip = _job_wip(job_order, job_status, ["OrderNumber"])
     ordered = job_order.groupBy("OrderNumber").agg(F.sum("JobQty").alias("total_qty"))
     billed = qa_bill_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_qa"))
@@ -176,10 +178,10 @@ def _in_process() -> Column:
 def process_totals(pd_process: DataFrame, job_order: DataFrame, job_status: DataFrame) -> DataFrame:
     """Each process of each order that has jobs, with the pieces in it; processes without pieces show 0."""
     jobs = job_order.join(job_status, "JobNumber")
-    totals = jobs.groupBy("OrderNumber", "PDProcessCode").agg(F.sum(_in_process()).alias("total"))
-    codes = F.explode(F.array(*[F.lit(c) for c in L.PROCESS_CODES])).alias("PDProcessCode")
-    every = job_order.select("OrderNumber").distinct().select("OrderNumber", codes)
-    filled = left_default(every, totals, ["OrderNumber", "PDProcessCode"], {"total": 0})
+    every = job_order.select("OrderNumber").distinct()
+    filled = densify(
+        every, pd_process, "PDProcessCode", jobs.withColumn("total", _in_process()), ["OrderNumber"], ["total"]
+    )
     return filled.join(pd_process, "PDProcessCode").select(
         F.col("OrderNumber").alias("order_number"),
         F.col("PDProcessCode").alias("process_code"),
@@ -317,6 +319,7 @@ def casting_repair_order(
     Only work on a known job counts, so the job key filters the facts before they are summed.
     """
     orders = order_master.where((F.col("Status") == status) & F.col("OrderDate").between(order_from, order_to))
+    job_order = restrict(job_order, orders, ["OrderNumber"])
     known = job_order.select("OrderNumber", "JobNumber")
     on = ["OrderNumber", "JobNumber"]
     repair = cast_repair.join(known, on, "left_semi").groupBy("OrderNumber").agg(

@@ -31,10 +31,17 @@ def _person() -> Column:
 
 def live_with_customer(
     order_master: DataFrame, customer: DataFrame, as_of: date, teams: Sequence | None = None,
-    sales_teams: Sequence | None = None, number_part: str = "",
+    sales_teams: Sequence | None = None, number_part: str = "", due_from: date | None = None, due_to: date | None = None,
 ) -> DataFrame:
-    """Live orders due this year or later, with the sales team of their customer."""
+    """Live orders due this year or later, with the sales team of their customer.
+
+    ``due_from`` and ``due_to`` restrict the sales due date.
+    """
     orders = live_orders(order_master, due_year_floor=as_of.year)
+    if due_from is not None:
+        orders = orders.where(F.col("DueDate") >= F.lit(due_from))
+    if due_to is not None:
+        orders = orders.where(F.col("DueDate") <= F.lit(due_to))
     if number_part:
         orders = orders.where(contains_text(F.col("OrderNumber"), number_part))
     if teams is not None:
@@ -66,9 +73,13 @@ def qa_master(
     qa_repair_master: DataFrame,
     qa_repair_detail: DataFrame,
     as_of: date,
-    filtered: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Inspection progress of each order. Without a filter only the first 100 by due date."""
+    """Inspection progress of each order. With ``limit`` only the first by due date."""
+    wanted = orders.select("OrderNumber")
+    of_orders = lambda facts: facts.join(wanted, "OrderNumber", "left_semi")
+    order_detail, qa_bill_detail, qa_bill_master = (of_orders(x) for x in (order_detail, qa_bill_detail, qa_bill_master))
+    qa_finish_master, qa_repair_master = of_orders(qa_finish_master), of_orders(qa_repair_master)
     sums = [
         order_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_order")),
         qa_bill_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_bill")),
@@ -90,7 +101,7 @@ def qa_master(
         "total_order", "total_bill", "total_finish", "in_repair", "open_bills",
         F.when(F.col("total_order") > F.col("total_bill"), L.QA_IN_PRODUCTION).otherwise(L.QA_ALL_SENT).alias("status"),
     )
-    return top_n(rows, [F.col("sales_due_diff"), F.col("order_number")], filtered)
+    return top_n(rows, [F.col("sales_due_diff"), F.col("order_number")], limit)
 
 
 def with_targets(master: DataFrame, targets: DataFrame) -> DataFrame:
@@ -164,14 +175,14 @@ def bill_keys(
     bill_from: date,
     bill_to: date,
     statuses: Sequence[str],
-    filtered: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
     """Inspection bills of the given orders and dates; only the first 100 by status without a filter."""
     bills = qa_bill_master.where(
         date_between(F.col("billDate"), bill_from, bill_to) & in_padded(F.col("qaBillStatus"), statuses)
     )
     bills = bills.join(orders.select("OrderNumber"), "OrderNumber", "left_semi")
-    return top_n(bills.select("qaBill_ID", "qaBillStatus"), [F.col("qaBillStatus"), F.col("qaBill_ID")], filtered).select("qaBill_ID")
+    return top_n(bills.select("qaBill_ID", "qaBillStatus"), [F.col("qaBillStatus"), F.col("qaBill_ID")], limit).select("qaBill_ID")
 
 
 def qa_bills(
@@ -265,17 +276,18 @@ def repair_keys(
     qa_repair_detail: DataFrame,
     repair_from: date,
     repair_to: date,
-    filtered: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
     """Unfinished repair bills in a date range or still open, by urgency of status and date."""
     stamp = F.col("repairDate")
     chosen = qa_repair_master.where(
         open_or_between(date_between(stamp, repair_from, repair_to, "raw"), F.col("qaRepairStatus"), OPEN_REPAIR)
     ).join(orders.select("OrderNumber"), "OrderNumber", "left_semi")
-    sums = qa_repair_detail.groupBy("qaRepair_ID").agg(F.sum("RepairFinish").alias("_done"), F.sum("Qty").alias("_qty"))
+    lines = qa_repair_detail.join(chosen.select("qaRepair_ID"), "qaRepair_ID", "left_semi")
+    sums = lines.groupBy("qaRepair_ID").agg(F.sum("RepairFinish").alias("_done"), F.sum("Qty").alias("_qty"))
     unfinished = chosen.join(sums, "qaRepair_ID").where(F.col("_done") < F.col("_qty"))
     order = [status_rank(F.col("qaRepairStatus"), OPEN_REPAIR), stamp, F.col("qaRepair_ID")]
-    return top_n(unfinished, order, filtered).select("qaRepair_ID")
+    return top_n(unfinished, order, limit).select("qaRepair_ID")
 
 
 def repair_reason_rows(reasons: DataFrame, types: DataFrame, type_details: DataFrame) -> DataFrame:
@@ -349,7 +361,7 @@ def repair_bills(
         F.col("repairType").alias("repair_type"), F.col("reasonType").alias("reason"), F.col("Qty").alias("qty"),
     )
     items = nest(items, named, ["repair_id", "repair_item"], ["repair_type", "reason", "qty"], "reasons")
-    fields = ["repair_item", "part", *[c for c in items.columns if c not in ("repair_id", "repair_item", "part")]]
+    fields = ["repair_item", *[c for c in items.columns if c not in ("repair_id", "repair_item")]]
     return nest(rows, items, ["repair_id"], fields, "items")
 
 
@@ -417,7 +429,9 @@ def factory_to_qa(
     ``daily`` has one row per order and bill day. It is small against the bills, and the base of
     ``orders`` and ``line_chart``. An order's quantity counts once per day on which it sent a bill.
     """
-    bills = qa_bill_master.where(date_between(F.col("billDate"), bill_from, bill_to))
+    of_orders = lambda facts: facts.join(orders.select("OrderNumber"), "OrderNumber", "left_semi")
+    bills = of_orders(qa_bill_master.where(date_between(F.col("billDate"), bill_from, bill_to)))
+    order_detail, qa_finish_master = of_orders(order_detail), of_orders(qa_finish_master)
     keyed = orders.select("OrderNumber", F.col("ProductionTeam").alias("team"), F.col("CusStatus").alias("sales_team"))
     daily = (
         bills.select("qaBill_ID", "OrderNumber", F.to_date("billDate").alias("day"))
@@ -502,7 +516,7 @@ def factory_to_qa_day(
         F.col("OrderItemNo").alias("item_no"),
         F.col("ProductCode").alias("product_code"),
         F.col("Qty").alias("qty"),
-        "fac_send", "qa_pass", "qa_repair", "part",
+        "fac_send", "qa_pass", "qa_repair",
         row_span(F.col("fac_send"), F.col("qa_pass"), F.col("qa_repair")).alias("row_span"),
     )
 

@@ -37,8 +37,6 @@ def wip_master(
     remarks: DataFrame,
     finishes: DataFrame,
     as_of: date,
-    due_from: date,
-    due_to: date,
     keep_days: int = 7,
 ) -> DataFrame:
     """Board lines: days and working days to due, quantity, remarks and the finish flag.
@@ -46,12 +44,10 @@ def wip_master(
     A finished order stays for ``keep_days``. Working days keep the sign of the days left and are 0
     for an order due today.
     """
-    low, high = min(due_from, as_of), max(due_to, as_of)
-    ordered = order_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_qty"))
+    wanted = order_detail.join(orders.select("OrderNumber"), "OrderNumber", "left_semi")
+    ordered = wanted.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_qty"))
     rows = orders.join(ordered, "OrderNumber")
-    rows = count_between(
-        rows, cumulative_days(holidays, "HolidayDate", low, high), F.lit(as_of), F.col("DueDate"), "_holidays"
-    )
+    rows = count_between(rows, cumulative_days(holidays, "HolidayDate"), F.lit(as_of), F.col("DueDate"), "_holidays")
     rows = left_default(rows, remarks, ["OrderNumber"], {"PlanDes": "", "QaDes": ""})
     rows = left_default(rows, finishes, ["OrderNumber"], {"isFinish": 0})
     rows = rows.where(F.col("FinishDate").isNull() | (F.col("FinishDate") >= F.lit(as_of - timedelta(days=keep_days))))
@@ -180,8 +176,8 @@ def process_dense_orders(
     facts = job_order.select("JobNumber", "OrderNumber").join(
         job_status.select("JobNumber", "PDProcessCode", _pieces()), "JobNumber"
     )
-    codes = [c for c in L.PROCESS_CODES if c not in hidden]
-    dense = densify(orders.select("OrderNumber"), codes, "PDProcessCode", facts, ["OrderNumber"], ["in_process"])
+    shown = pd_process.where(~F.col("PDProcessCode").isin(*hidden))
+    dense = densify(orders.select("OrderNumber"), shown, "PDProcessCode", facts, ["OrderNumber"], ["in_process"])
     return _named(dense, pd_process).select(
         F.col("OrderNumber").alias("order_number"),
         F.col("PDProcessCode").alias("process_code"),
@@ -194,9 +190,9 @@ def process_dense_jobs(
     job_order: DataFrame, job_status: DataFrame, pd_process: DataFrame, hidden: Sequence[str] = L.JOB_PROCESSES_HIDDEN
 ) -> DataFrame:
     """Every job with every shown process, 0 where it has no pieces."""
-    codes = [c for c in L.PROCESS_CODES if c not in hidden]
+    shown = pd_process.where(~F.col("PDProcessCode").isin(*hidden))
     facts = job_status.select("JobNumber", "PDProcessCode", _pieces())
-    dense = densify(job_order.select("OrderNumber", "JobNumber"), codes, "PDProcessCode", facts, ["JobNumber"], ["in_process"])
+    dense = densify(job_order.select("OrderNumber", "JobNumber"), shown, "PDProcessCode", facts, ["JobNumber"], ["in_process"])
     return _named(dense, pd_process).select(
         F.col("OrderNumber").alias("order_number"),
         F.col("JobNumber").alias("job_number"),
@@ -300,10 +296,10 @@ def order_document(
         (months, ["month_no", "month", "days"], "months"),
         (processes, ["process_code", "process_name", "in_process"], "processes"),
     ]
-    document = nest_many(master, children, key, bounded=True)
+    document = nest_many(master, children, key)
     document = _with_material_state(document.join(targets, key, "left"), materials, key)
     sent = F.aggregate("calendar", F.lit(0).cast("bigint"), lambda total, e: total + e["to_qa"])
-    return document.drop("part").withColumn("total_to_qa", sent)
+    return document.withColumn("total_to_qa", sent)
 
 
 def job_document(
@@ -320,5 +316,5 @@ def job_document(
     )
     jobs = left_default(jobs, remarks, ["order_number", "item_no"], {"qa_spec": ""})
     keys = ["order_number", "job_number"]
-    document = nest(jobs, processes, keys, ["process_code", "process_name", "in_process"], "processes", bounded=True)
-    return _with_material_state(document, materials, keys).drop("part")
+    document = nest(jobs, processes, keys, ["process_code", "process_name", "in_process"], "processes")
+    return _with_material_state(document, materials, keys)

@@ -22,9 +22,13 @@ WATERMARK = "1 hour"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """The event table as a file stream."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 1000) -> DataFrame:
+    """The event table, one file or a folder of part files, as a file stream with bounded batches.
+
+    The path is written as a pattern that only it matches: a stream takes a plain path for a folder.
+    """
+    path = f"{folder}/[{name[0]}]{name[1:]}.parquet"
+    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def stamped(pulses: DataFrame, watermark: str = WATERMARK) -> DataFrame:

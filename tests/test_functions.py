@@ -41,7 +41,9 @@ def test_text(spark):
     assert one(spark, text.picture_url(F.lit(None).cast("string"), base="x/", default="none.png")) == "x/none.png"
     assert one(spark, text.picture_url(F.lit(None).cast("string"), base="x/")) is None
     assert one(spark, text.zero_pad(F.lit(42), 5)) == "00042"
-    assert one(spark, text.zero_pad(F.lit(123456), 5)) == "23456"
+    assert one(spark, text.zero_pad(F.lit(123456), 5)) == "123456"
+    assert one(spark, text.zero_pad(F.lit(123456), 5, cut=True)) == "23456"
+    assert one(spark, text.picture_url(F.lit("D:\\" + "a" * 300), base="x/")) == "x/" + "a" * 300
     assert one(spark, text.clock_text(F.lit("093007"))) == "09:30:07"
 
 

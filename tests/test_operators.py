@@ -82,9 +82,9 @@ def test_fifo_allocate(spark, seed):
 def test_count_between_both_directions(spark):
     holidays = [date(2024, 1, 1) + timedelta(days=7 * i) for i in range(20)]
     days = table(spark, "d date", *[(h,) for h in holidays])
-    cumulative = joins.cumulative_days(days, "d", date(2023, 12, 1), date(2024, 6, 30))
+    cumulative = joins.cumulative_days(days, "d")
     as_of = date(2024, 2, 5)
-    dues = [as_of + timedelta(days=k) for k in (-40, -7, -1, 0, 1, 7, 30)]
+    dues = [as_of + timedelta(days=k) for k in (-9999, -40, -7, -1, 0, 1, 7, 30, 9999)]
     df = table(spark, "due date", *[(d,) for d in dues])
     got = {r.due: r.n for r in joins.count_between(df, cumulative, F.lit(as_of), F.col("due"), "n").collect()}
     assert got == {d: sum(min(d, as_of) <= h <= max(d, as_of) for h in holidays) for d in dues}
@@ -101,7 +101,7 @@ def test_cum_upto_counts_ties_and_missing_keys(spark):
 def test_densify_and_latest_and_first(spark):
     left = table(spark, "k string", ("a",), ("b",))
     facts = table(spark, "k string, c string, q bigint", ("a", "01", 2), ("a", "01", 3), ("b", "99", 7))
-    got = joins.densify(left, ["01", "02"], "c", facts, ["k"], ["q"])
+    got = joins.densify(left, table(spark, "c string", ("01",), ("02",)), "c", facts, ["k"], ["q"])
     assert rows(got, "k", "c", "q") == [("a", "01", 5), ("a", "02", 0), ("b", "01", 0), ("b", "02", 0)]
     revisions = table(spark, "k string, rev int, x int", ("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 4))
     assert rows(joins.latest(revisions, ["k"], "rev"), "x") == [(2,), (3,), (4,)]
@@ -109,27 +109,32 @@ def test_densify_and_latest_and_first(spark):
     assert rows(first, "k", "first") == [("a", 1), ("b", 4)]
 
 
-def test_nest_keeps_all_children_of_a_big_parent(spark):
-    children = [("big", i) for i in range(250)] + [("small", 1)]
-    parent = table(spark, "k string", ("big",), ("small",), ("none",))
-    child = spark.createDataFrame(children, "k string, v bigint")
-    got = nesting.nest(parent, child, ["k"], ["v"], "items", limit=100).collect()
-    by_key = defaultdict(list)
-    for r in got:
-        assert [e.v for e in r["items"]] == sorted(e.v for e in r["items"])
-        by_key[r.k].extend(e.v for e in r["items"])
-    assert sum(1 for r in got if r.k == "big") == 3
-    assert {k: sorted(v) for k, v in by_key.items()} == {"big": list(range(250)), "small": [1], "none": []}
+def test_nest_gives_one_row_per_parent_of_any_size(spark):
+    children = [("big", i) for i in range(2500)] + [("equal", 7)] * 9 + [("small", 1)]
+    parent = table(spark, "k string", ("big",), ("equal",), ("small",), ("none",))
+    child = spark.createDataFrame(children, "k string, v bigint").repartition(7)
+    got = nesting.nest(parent, child, ["k"], ["v"], "items")
+    assert got.columns == ["k", "items"]
+    found = {r.k: [e.v for e in r["items"]] for r in got.collect()}
+    assert found == {"big": list(range(2500)), "equal": [7] * 9, "small": [1], "none": []}
+    assert got.count() == 4
+    ordinals = sorted((r.k, r.ordinal, r.v) for r in nesting.long_form(child, ["k"], ["v"]).collect())
+    assert ordinals == sorted((k, i + 1, v) for k in found for i, v in enumerate(found[k]))
 
 
-def test_nest_many_lines_up_parts(spark):
+def test_nest_reads_each_child_once(spark, tmp_path):
+    spark.range(50).selectExpr("id % 5 as k", "id as v").write.parquet(str(tmp_path / "child"))
+    child = spark.read.parquet(str(tmp_path / "child"))
+    nested = nesting.nest(spark.range(5).toDF("k"), child, ["k"], ["v"], "items")
+    assert nested._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_nest_many_gives_each_child_its_array(spark):
     parent = table(spark, "k int", (1,), (2,))
     a = spark.createDataFrame([(1, i) for i in range(30)], "k int, v int")
     b = spark.createDataFrame([(1, 5), (2, 6)], "k int, w int")
-    got = nesting.nest_many(parent, [(a, ["v"], "a"), (b, ["w"], "b")], ["k"], limit=10).collect()
-    assert sorted(e.v for r in got if r.k == 1 for e in r.a) == list(range(30))
-    assert [e.w for r in got if r.k == 1 for e in r.b] == [5]
-    assert [(len(r.a), [e.w for e in r.b]) for r in got if r.k == 2] == [(0, [6])]
+    got = nesting.nest_many(parent, [(a, ["v"], "a"), (b, ["w"], "b")], ["k"]).collect()
+    assert {r.k: ([e.v for e in r.a], [e.w for e in r.b]) for r in got} == {1: (list(range(30)), [5]), 2: ([], [6])}
 
 
 def test_row_span_and_sorting(spark):
@@ -137,11 +142,11 @@ def test_row_span_and_sorting(spark):
     assert [r[0] for r in df.select(nesting.row_span(F.col("a"), F.col("b"))).collect()] == [2, 1]
     status = table(spark, "s string", ("3",), ("",), ("2",), (None,))
     assert [r[0] for r in status.select(sorting.status_rank(F.col("s"), ("", "2"))).collect()] == [3, 1, 2, 3]
-    codes = table(spark, "c string", ("A10",), ("A9",))
-    assert [r[0] for r in codes.select(sorting.numeric_suffix(F.col("c"))).collect()] == [10, 9]
+    codes = table(spark, "c string", ("A100",), ("A9",))
+    assert [r[0] for r in codes.select(sorting.numeric_suffix(F.col("c"))).collect()] == [100, 9]
     many = spark.range(150)
-    assert sorting.top_n(many, [F.col("id")], filtered=False).count() == 100
-    assert sorting.top_n(many, [F.col("id")], filtered=True).count() == 150
+    assert sorting.top_n(many, [F.col("id")], limit=100).count() == 100
+    assert sorting.top_n(many, [F.col("id")], limit=None).count() == 150
 
 
 def test_aggregates(spark):

@@ -1,7 +1,4 @@
-"""Registered queries against their DuckDB statements on the smallest data set.
-
-By default one query of each kind runs; set LOUPEWRIGHT_ALL=1 for all of them (or use check.py).
-"""
+"""All queries of the catalog against their DuckDB statements on the smallest data set."""
 
 from __future__ import annotations
 
@@ -10,16 +7,12 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from loupewright.catalog import all_oracles, all_queries
 from check import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = """
-rpt_order_status rpt_product_price rpt_wip_master rpt_qa_calendar rpt_material_by_item rpt_qa_master rpt_repair_bills
-rpt_factory_to_qa rpt_mould_loans json_document_sink append_history cumulative_asof_sum range_count_join nest_children
-fifo_allocate sort_multi status_rollup assign_document_numbers explode_document threshold_alert_batch usage_day_month
-""".split()
-KEYS = sorted(queries()) if os.environ.get("LOUPEWRIGHT_ALL") else SAMPLE
+KEYS = sorted(all_queries())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
@@ -34,10 +27,10 @@ def duck():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query(spark, duck, key):
-    frame = queries()[key](spark, FOLDER)
+    frame = all_queries()[key](spark, FOLDER)
     found = frame.collect()
-    if key in oracle_sql():
-        result = duck.execute(oracle_sql()[key])
+    if key in all_oracles():
+        result = duck.execute(all_oracles()[key])
         names = [d[0] for d in result.description]
         assert sorted(names) == sorted(frame.columns)
         assert rows_of(frame.columns, found) == rows_of(names, result.fetchall())
@@ -48,4 +41,4 @@ def test_entry(spark):
 
 
 def test_only_documents_have_no_statement():
-    assert set(queries()) - set(oracle_sql()) == {"rpt_order_document", "rpt_order_document_jobs"}
+    assert set(all_queries()) - set(all_oracles()) == {"rpt_order_document", "rpt_order_document_jobs"}

@@ -62,7 +62,7 @@ def test_wip_master_days(spark):
         ("CH-3", 1, date(2022, 6, 8)), ("CH-4", 1, date(2022, 6, 7)),
     )
     board = wip.board_orders(master, date(2022, 6, 1), date(2022, 6, 30), due_year_above=2021)
-    got = wip.wip_master(board, detail, holidays, remarks, finish, AS_OF, date(2022, 6, 1), date(2022, 6, 30))
+    got = wip.wip_master(board, detail, holidays, remarks, finish, AS_OF)
     assert rows(got, "order_number", "total_days", "working_days", "total_qty", "plan_remark", "qa_remark", "is_finish") == [
         ("CH-1", 10, 8, 10, "rush", "", 0),
         ("CH-2", 1, 0, 4, "", "", 0),
@@ -79,7 +79,7 @@ def test_order_due_today_has_no_working_days(spark):
     empty = table(spark, "OrderNumber string, PlanDes string, QaDes string")
     finish = table(spark, "OrderNumber string, isFinish int, FinishDate date")
     holidays = table(spark, "HolidayDate date", (AS_OF,))
-    got = wip.wip_master(master, detail, holidays, empty, finish, AS_OF, AS_OF, AS_OF).first()
+    got = wip.wip_master(master, detail, holidays, empty, finish, AS_OF).first()
     assert (got.total_days, got.working_days) == (0, 0)
 
 
