@@ -29,7 +29,8 @@ BLOCKS, AGREE = 6, 2
 #: Members of a key that are compared in one task.
 TILE = 2048
 #: Five-word fingerprints of 8 x 64 bits: texts whose shingle sets have a similarity of 0.8 differ in
-#: about 80 of the 512 bits, with a deviation of about 8; unrelated texts in about 256.
+#: about 80 of the 512 bits, with a deviation of about 8; unrelated texts in about 256. The limit is set
+#: to miss few pairs of 0.8, so pairs somewhat below that (0.73 and more, as measured) can be linked too.
 WIDE_WORDS, WIDE_SHINGLE, WIDE_LIMIT = 8, 5, 86
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
