@@ -333,29 +333,41 @@ class _Seats:
         self.r = got["r"].reshape(-1, SEATINGS)[first].astype(np.int64)
         self.n = np.bincount(share.of_token, share.n, len(token)).astype(np.int64)
         self.pair_key = share.of_token * _CONTEXTS + share.context
+        # Per kept seating: what customers of their own give a token in context, parent and root, and what
+        # each context and parent passes on from above.
+        t = totals
+        da, db, dr = (t.discount(k) for k in range(3))
+        self.own, self.middle, self.root, self.pass_a, self.pass_b, self.size_b = [], [], [], [], [], []
+        self.size_a = 1 / (THETA[0] + t.size)
+        for k in range(SEATINGS):
+            ta, tb, tr = t.tables_a[k], t.tables_b[k], t.tables_r[k]
+            sb, sr = ta.reshape(_PARENTS, -1).sum(axis=1), tb.sum()
+            cb, cr = share.customers(self.a[:, k]), share.root_customers(self.b[:, k])
+            self.own.append(share.n - da * self.a[:, k])
+            self.middle.append(cb - db * self.b[:, k])
+            new = (THETA[2] + dr * tr) / (t.vocabulary + 1)
+            self.root.append(np.append(cr - dr * self.r[:, k] + new, new) / (THETA[2] + sr))  # the last: unknown tokens
+            self.pass_a.append((THETA[0] + da * ta) * self.size_a)
+            self.pass_b.append((THETA[1] + db * tb) / (THETA[1] + sb))
+            self.size_b.append(1 / (THETA[1] + sb))
 
     def probabilities(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Averaged predictive probability, and training count, of each token in its context."""
-        t, s = self.totals, self.share
         context = context.astype(np.int64)
+        up = context >> _WITHIN
         which, known = _find(self.token, token)
-        pair, seen = _find(self.pair_key, np.where(known, which, 0) * _CONTEXTS + context)
-        seen &= known
-        above, met = _find(s.parent_key, np.where(known, which, 0) * _PARENTS + (context >> _WITHIN))
-        met &= known
-        da, db, dr = (t.discount(k) for k in range(3))
-        total = np.zeros(len(token))
-        take = lambda values, at, on: np.where(on, values[np.where(on, at, 0)], 0) if len(values) else np.zeros(len(at))
+        at = np.where(known, which, 0)
+        pair, seen = _find(self.pair_key, at * _CONTEXTS + context)
+        above, met = _find(self.share.parent_key, at * _PARENTS + up)
+        seen, met = np.flatnonzero(seen & known), np.flatnonzero(met & known)
+        at = np.where(known, which, len(self.token))
+        size_a, total = self.size_a[context], np.zeros(len(token))
         for k in range(SEATINGS):
-            ta, tb, tr = t.tables_a[k], t.tables_b[k], t.tables_r[k]
-            sb = ta.reshape(_PARENTS, -1).sum(axis=1)
-            cb, cr = s.customers(self.a[:, k]), s.root_customers(self.b[:, k])
-            root = (take(cr - dr * self.r[:, k], which, known) + (THETA[2] + dr * tr) / (t.vocabulary + 1)) / (THETA[2] + tb.sum())
-            up = context >> _WITHIN
-            middle = (take(cb - db * self.b[:, k], above, met) + (THETA[1] + db * tb)[up] * root) / (THETA[1] + sb)[up]
-            own = take(s.n - da * self.a[:, k], pair, seen)
-            total += (own + (THETA[0] + da * ta)[context] * middle) / (THETA[0] + t.size)[context]
-        return total / SEATINGS, take(self.n, which, known).astype(np.int64)
+            middle = self.pass_b[k][up] * self.root[k][at]
+            middle[met] += self.middle[k][above[met]] * self.size_b[k][up[met]]
+            total += self.pass_a[k][context] * middle
+            total[seen] += self.own[k][pair[seen]] * size_a[seen]
+        return total / SEATINGS, np.append(self.n, 0)[at]
 
 
 def _find(ascending: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -439,17 +451,22 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 empty = pa.array([None] * docs_.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([columns[0], *columns[1:], *[empty] * 4], names=_ANSWER)
         seats = _Seats(unpacked(iter(held["seats"]), _KINDS), totals)
-        for batch in held["asked"]:
-            for i in range(batch.num_rows):
-                one = unpacked(iter([batch.slice(i, 1)]), {k: _KINDS[k] for k in ("token", "pairs", "context", "number", "count")})
-                token = np.repeat(one["token"], one["pairs"])
-                p, n = seats.probabilities(token, one["context"])
-                texts, back = np.unique(one["number"], return_inverse=True)
-                base = np.log10((n + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
-                add = lambda x: np.bincount(back, x * one["count"], len(texts))  # noqa: B023, E731
-                arrays = [texts.astype(np.int32), add(np.log10(p)), add(base), add(n > 0).astype(np.int32)]
-                row = [batch.column(1)[i].as_py(), None, None, None, *[x.tobytes() for x in arrays]]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=_ANSWER)
+        for batch in (b.slice(i, 64) for b in held["asked"] for i in range(0, b.num_rows, 64)):
+            got = unpacked(iter([batch]), {k: _KINDS[k] for k in ("token", "pairs", "context", "number", "count")})
+            p, n = seats.probabilities(np.repeat(got["token"], got["pairs"]), got["context"])
+            base = np.log10((n + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
+            values = [x * got["count"] for x in (np.log10(p), base, n > 0)]
+            rows, at = [], 0
+            for size in (len(x) // 4 for x in batch.column(batch.schema.get_field_index("number")).to_pylist()):
+                here = slice(at, at + size)
+                texts, back = np.unique(got["number"][here], return_inverse=True)
+                sums = [np.bincount(back, v[here], len(texts)) for v in values]
+                rows.append([texts.astype(np.int32).tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.int32).tobytes()])
+                at += size
+            empty = pa.array([None] * len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), empty, empty, empty, *[pa.array(c, pa.binary()) for c in zip(*rows)]], names=_ANSWER
+            )
 
     def together(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, list] = {}
