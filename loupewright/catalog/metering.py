@@ -110,30 +110,31 @@ def silences(t):
     return meters.silences(t.water_log, METER_NOW)
 
 
+_FOLLOWED = """(select deviceCode as device, transDate as pulse,
+        lead(transDate) over (partition by deviceCode order by transDate) as following from $water_log) a"""
+
+
 @query(
     "stream_offline_device",
-    """select device, 'offline' as notice, pulse as noticed_at from (select deviceCode as device, transDate as pulse,
-        lead(transDate) over (partition by deviceCode order by transDate) as following from $water_log) a
-      where following - interval 25 minute >= pulse and following < timestamp '2024-01-28'
-    union all select device, 'online', following from (select deviceCode as device, transDate as pulse,
-        lead(transDate) over (partition by deviceCode order by transDate) as following from $water_log) a
-      where following - interval 25 minute >= pulse and following < timestamp '2024-01-28'""",
+    f"""select device, 'offline' as notice, pulse as noticed_at from {_FOLLOWED}
+      where following is null or following - interval 25 minute >= pulse
+    union all select device, 'online', following from {_FOLLOWED} where following - interval 25 minute >= pulse""",
 )
 def offline(t):
-    """Notices of the stateful stream for silences that ended before the last days.
-
-    The stream keeps the last hours open until the watermark passes them, so the comparison stops
-    where all slots are surely closed.
-    """
+    """All notices of the stateful stream: it reads the log, and then the passing of time after its end."""
     folder = _run_folder(t)
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    live.write_notices(live.stream_silences(_pulses(t)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    notices = t.spark.read.schema(live.NOTICE).parquet(f"{folder}/out")
-    online = notices.where((F.col("notice") == "online") & (F.col("at") < F.lit(datetime(2024, 1, 28))))
-    last = online.groupBy("device").agg(F.max("at").alias("_end"))
-    before = notices.where(F.col("notice") == "offline").join(last, "device").where(F.col("at") < F.col("_end"))
-    both = online.unionByName(before.drop("_end"))
-    return both.select("device", "notice", F.col("at").cast("timestamp_ntz").alias("noticed_at"))
+    key, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set(key, live.STATE_STORE)
+    try:
+        pulses = _pulses(t).unionByName(live.closing_stream(t.spark, f"{folder}/closing"))
+        for ended in (False, True):
+            if ended:
+                live.close_log(t.spark, f"{folder}/closing", datetime(2100, 1, 1))
+            live.write_notices(live.stream_silences(pulses), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        t.spark.conf.set(key, before)
+    notices = t.spark.read.schema(live.NOTICE).parquet(f"{folder}/out").where("device <> ''")
+    return notices.select("device", "notice", F.col("at").cast("timestamp_ntz").alias("noticed_at"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """The meter jobs as Structured Streaming queries.
 
-Events more than an hour late are dropped (the watermark); a batch job over the same log counts them.
+Daily totals take pulses up to 30 days late, notices of silence up to an hour (the watermarks); a batch
+job over the same log counts all.
 Sinks write one folder per micro-batch and overwrite it when a batch is run again, so a restart after
 a lost executor or driver neither loses nor doubles rows.
 """
@@ -8,6 +9,7 @@ a lost executor or driver neither loses nor doubles rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from loupewright.sources.tables import SCHEMAS
 from loupewright.streaming.meters import SILENCE_MINUTES, counts_by_meter, daily_counts_wide
 
-WATERMARK = "1 hour"
+#: How late a pulse may come: for notices of silence, and for daily totals, which keep one state row per
+#: device and day for so long.
+WATERMARK, TOTALS_OPEN = "1 hour", "30 days"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,7 +42,7 @@ def stamped(pulses: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 def stream_daily_usage(pulses: DataFrame, limits: DataFrame) -> DataFrame:
     """Litres per device and day as a running aggregate; write it in update mode."""
-    counted = stamped(pulses).groupBy(F.window("transDate", "1 day").alias("_day"), "deviceCode").agg(
+    counted = stamped(pulses, TOTALS_OPEN).groupBy(F.window("transDate", "1 day").alias("_day"), "deviceCode").agg(
         F.count(F.lit(1)).alias("pulses")
     )
     rates = limits.select("deviceCode", "exrate")
@@ -49,7 +53,7 @@ def stream_daily_usage(pulses: DataFrame, limits: DataFrame) -> DataFrame:
 
 def stream_wide(pulses: DataFrame) -> DataFrame:
     """Pulses per day with one column per meter, as a running aggregate: one state row per day."""
-    wide = daily_counts_wide(stamped(pulses), F.window("transDate", "1 day"))
+    wide = daily_counts_wide(stamped(pulses, TOTALS_OPEN), F.window("transDate", "1 day"))
     return wide.withColumn("day", F.to_date(F.col("day.start")))
 
 
@@ -138,6 +142,8 @@ class SilenceWatch(StatefulProcessor):
         self.state = handle.getValueState("silence", "last_ms bigint, offline boolean")
 
     def _rows(self, device: str, notices: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if not notices:
+            return
         yield pd.DataFrame(
             {
                 "device": [device] * len(notices),
@@ -175,6 +181,26 @@ class SilenceWatch(StatefulProcessor):
         pass
 
 
+CLOSING = T.StructType([T.StructField("deviceCode", T.StringType()), T.StructField("transDate", T.TimestampNTZType())])
+
+
+def closing_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Pulses of no device that :func:`close_log` writes when a log has ended; until then nothing."""
+    spark.createDataFrame([], CLOSING).write.mode("ignore").parquet(folder)
+    return spark.readStream.schema(CLOSING).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def close_log(spark: SparkSession, folder: str, after: datetime) -> None:
+    """Let time pass in a log that gets no more pulses, so that the last silences are noticed.
+
+    Each operator of a chain sees the time that the one before it had in the last batch, so there is a
+    batch for each and one more.
+    """
+    for days in range(1, 4):
+        pulse = [("", after + timedelta(days=days))]
+        spark.createDataFrame(pulse, CLOSING).coalesce(1).write.mode("append").parquet(folder)
+
+
 def stream_silences(pulses: DataFrame, minutes: int = SILENCE_MINUTES) -> DataFrame:
     """Offline and online notices of each device; write it in append mode."""
     slot = F.window("transDate", f"{minutes} minutes")
