@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from functools import cached_property
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from loupewright.llm.pieces import Remembered, split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces, and token pairs with their compatibility, that a worker remembers before it starts over.
-PIECES, PAIRS = 250_000, 150_000
+PIECES, PAIRS = 400_000, 300_000
 
 
 class PrefixCoder:
@@ -30,55 +31,103 @@ class PrefixCoder:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.sizes = {rank: len(token) for rank, token in self.tokens.items()}
+        self._pairs: dict[int, bool] = {}
+        self._made: dict[bytes, tuple[bytes, bytes] | None | bool] = {}  # at most one entry per token
         self.memory = Remembered(lambda new: [self.encode_piece(p.encode()) for p in new], PIECES)
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a short string: merge the neighbours of least rank until none can be merged."""
+    @cached_property
+    def endings(self) -> dict[bytes, int]:
+        """All ends of tokens, with the rank where the end is a token itself and -1 where not."""
+        return {t[i:]: -1 for t in self.ranks for i in range(1, len(t))} | self.ranks
+
+    def merge(self, data: bytes, least: int = 1) -> list[bytes]:
+        """Plain BPE of a short string: merge the neighbours of least rank while there are more than ``least``."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 40:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        """Whether BPE keeps the two tokens side by side; an empty left asks for the token alone."""
-        pair = (left, right)
-        known = self._pairs.get(pair)
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[pair] = self.merge(left + right) == ([left, right] if left else [right])
+    def last_merge(self, token: bytes) -> tuple[bytes, bytes] | None | bool:
+        """The two parts that BPE merges last into a token; None for a byte, False if BPE never makes it."""
+        known = self._made.get(token, 0)
+        if known == 0:
+            known = None
+            if len(token) > 1:
+                parts = self.merge(token, 2)
+                known = len(parts) == 2 and parts[0] + parts[1] in self.ranks and tuple(parts)
+            self._made[token] = known
         return known
 
+    def compatible(self, left: bytes, right: bytes) -> bool:
+        """Whether BPE keeps the two tokens side by side.
+
+        BPE is run backwards at the border: of the two parts that meet there, the one merged later is
+        taken apart, until both are bytes. The tokens would not stay apart if at some time the parts at
+        the border had a merge of their own due before the next merge of either.
+        """
+        ranks, due = self.ranks, 1 << 40
+        while True:
+            across = ranks.get(left + right)
+            if across is not None and across < due:
+                return False
+            a, b = self.last_merge(left), self.last_merge(right)
+            if a and (not b or ranks[left] > ranks[right]):
+                due, left = ranks[left], a[1]
+            elif b:
+                due, right = ranks[right] + 1, b[0]  # of equal ranks the left one is merged first
+            else:
+                return True
+
     def extend(self, data: bytes, last: list[int], end: int | None = None) -> None:
-        """Append to ``last`` (length of the last token of each prefix) up to the prefix of ``end`` bytes."""
-        ranks, compatible = self.ranks, self.compatible
+        """Append to ``last`` (rank of the last token of each prefix) up to the prefix of ``end`` bytes."""
+        endings, sizes, pairs = self.endings, self.sizes, self._pairs
         for stop in range(len(last), (len(data) if end is None else end) + 1):
-            for start in range(max(0, stop - self.longest), stop):
-                token = data[start:stop]
-                if token in ranks and compatible(data[start - last[start] : start], token):
-                    last.append(stop - start)
-                    break
+            # Tokens that end here, shortest first; nothing longer can once the bytes end no token.
+            fitting, start = [], stop - 1
+            while start >= 0 and (rank := endings.get(data[start:stop])) is not None:
+                if rank >= 0:
+                    fitting.append(rank)
+                start -= 1
+            for rank in reversed(fitting):
+                before = last[stop - sizes[rank]]
+                if before < 0:
+                    if self.last_merge(self.tokens[rank]) is False:
+                        continue
+                else:
+                    pair = before << 32 | rank
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.last_merge(self.tokens[rank]) is not False and self.compatible(
+                            self.tokens[before], self.tokens[rank]
+                        )
+                    if not fits:
+                        continue
+                last.append(rank)
+                break
             else:
                 raise ValueError(f"no token of the vocabulary ends at byte {stop}")
 
-    def walk(self, data: bytes, last: list[int]) -> list[int]:
-        ids, stop = [], len(data)
+    def walk(self, last: list[int]) -> list[int]:
+        """The tokens from the end to the start, turned round."""
+        ids, stop = [], len(last) - 1
         while stop:
-            ids.append(self.ranks[data[stop - last[stop] : stop]])
-            stop -= last[stop]
+            ids.append(last[stop])
+            stop -= self.sizes[last[stop]]
         return ids[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
         """A piece that is a token as a whole is that token, whether merges reach it or not."""
         if data in self.ranks:
             return [self.ranks[data]]
-        last = [0]
+        last = [-1]
         self.extend(data, last)
-        return self.walk(data, last)
+        return self.walk(last)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed little-endian unsigned 32-bit integers."""
@@ -89,10 +138,10 @@ class PrefixCoder:
 
 
 class PrefixState:
-    """One unsplit byte string with the last token of each of its prefixes."""
+    """One unsplit byte string with the last token of each of its prefixes (-1 for the empty one)."""
 
     def __init__(self, coder: PrefixCoder, data: bytes = b""):
-        self.coder, self.data, self.last = coder, b"", [0]
+        self.coder, self.data, self.last = coder, b"", [-1]
         self.append(data)
 
     def append(self, data: bytes) -> None:
@@ -115,7 +164,7 @@ class PrefixState:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        return self.coder.walk(self.data, self.last)
+        return self.coder.walk(self.last)
 
 
 class EncodedText:
