@@ -265,3 +265,12 @@ def news(t):
         F.when(F.col("event_type") == "error", "1").otherwise("0").alias("postStatus"),
     )
     return U.news(posts, t.employee, METER_NOW, days=12)
+
+
+@query(
+    "rpt_categories",
+    r"""select JobTypeCode as job_type_code, CategoryCode as category_code, CategoryName as category,
+      cast(regexp_extract(CategoryCode, '^.(\d+)', 1) as bigint) as sort_no from $category""",
+)
+def categories(t):
+    return U.categories(t.category)
