@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ LENGTH, KGRAM = 200, 40
 _WINDOW = LENGTH - KGRAM + 1
 #: Anchors of one k-gram that may be sorted in one task.
 GROUP = 4096
-#: Bits of the two fixed-size maps of k-grams that are sent to all tasks (4 MB each). A bit set by
-#: another k-gram only costs work.
-MAP_BITS = 25
+#: The two fixed-size maps of k-grams that are sent to all tasks have 2^MAP_BITS bits (8 MB each), and a
+#: k-gram has two of them. Bits set by other k-grams only cost work.
+MAP_BITS = 26
+#: Surroundings that are put together, and compressed, before they are sent.
+GATHER = 8 << 20
 _SEGMENT = 1 << 20
 _PLACE_BITS = np.uint64(21)
 
@@ -240,13 +243,20 @@ def repeated_windows(groups, before, after, offsets, data) -> np.ndarray:
     return found
 
 
-def _map_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def _map_of(hashes: np.ndarray) -> list[np.ndarray]:
+    """The two places of each k-gram in a map."""
+    low = np.uint64((1 << MAP_BITS) - 1)
+    return [(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64), (hashes & low).astype(np.int64)]
 
 
 def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _map_of(hashes)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    one, two = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in _map_of(hashes))
+    return one & two
+
+
+def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches, one after the other."""
+    return data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
 def _ranges(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +292,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 continue
             got = [anchors(data, inside)[1] for data, _, _, inside in _blocks(list(range(len(texts))), texts)]
             hashes, n = np.unique(np.concatenate(got), return_counts=True)
-            part = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64) % parts
+            part = (hashes % np.uint64(parts)).astype(np.int64)
             yield packed_batch(list(dealt(part, hashes, n.astype(np.int64))), ["hash", "n"])
 
     def several(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +300,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         hashes, back = np.unique(got["hash"], return_inverse=True)
         n = np.zeros(len(hashes), np.int64)
         np.add.at(n, back, got["n"])
-        places = [np.unique(_map_of(hashes[n > least])).astype(np.int32).tobytes() for least in (1, group)]
+        places = [np.unique(np.concatenate(_map_of(hashes[n > least]))).astype(np.int32).tobytes() for least in (1, group)]
         yield pa.RecordBatch.from_pydict({"repeated": [places[0]], "crowded": [places[1]]})
 
     counts = docs.select("row", "bytes").mapInArrow(counted, "part int, hash binary, n binary").repartition("part")
@@ -305,6 +315,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         repeated, crowded = sent.value
         for batch in stream:
             rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            held: list[list[np.ndarray]] = []
             for data, row, starts, inside in _blocks(rows, texts):
                 place, hashes, low, high = anchors(data, inside)
                 keep = _holds(repeated, hashes)
@@ -313,22 +324,29 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
                     continue
                 doc = np.searchsorted(starts, place, "right") - 1
                 crowd = _holds(crowded, hashes)
-                yield from _contexts(data, ~crowd, place, hashes, low, high, row[doc], starts[doc])
+                held.append(_contexts(data, ~crowd, place, hashes, low, high, row[doc], starts[doc]))
+                if sum(len(h[-1]) for h in held) > GATHER:
+                    yield from _sent(held)
+                    held = []
                 yield from _windows(data, crowd, low, high, row[doc], starts[doc])
+            yield from _sent(held)
 
     def _contexts(data, on, place, hashes, low, high, row, start):
         place, hashes, low, high, row, start = (c[on] for c in (place, hashes, low, high, row, start))
-        part = (hashes % np.uint64(parts)).astype(np.int64)
+        text = _cut_out(data, low, high - low + LENGTH)
+        return [hashes, row, low - start, (place - low).astype(np.int16), (place - high).astype(np.int16), text]
+
+    def _sent(held):
+        if not held:
+            return
+        hashes, row, low, before, after, text = (np.concatenate(c) for c in zip(*held))
+        size = before.astype(np.int64) - after + LENGTH
+        start = np.cumsum(size) - size
+        pack, nothing = zstandard.ZstdCompressor(level=1), np.zeros(0)
         out = []
-        for number, (index,) in dealt(part, np.arange(len(part))):
-            size = high[index] - low[index] + LENGTH
-            offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            columns = [
-                hashes[index], np.zeros(0, np.uint64), row[index], low[index] - start[index],
-                (place - low)[index].astype(np.int16), (place - high)[index].astype(np.int16),
-                data[np.repeat(low[index], size) + offset],
-            ]
-            out.append((number, columns))
+        for number, (index,) in dealt((hashes % np.uint64(parts)).astype(np.int64), np.arange(len(hashes))):
+            own = np.frombuffer(pack.compress(_cut_out(text, start[index], size[index]).tobytes()), np.uint8)
+            out.append((number, [hashes[index], nothing, row[index], low[index], before[index], after[index], own]))
         if out:
             yield _tagged("context", out)
 
@@ -363,11 +381,14 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     def gathered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All that came to this partition, by kind; the parts of a kind belong together."""
         held: dict[str, dict[str, list[bytes]]] = {"context": {}, "window": {}}
+        unpack = zstandard.ZstdDecompressor()
         for batch in stream:
             kinds = batch.column(0).to_pylist()
             for name in _PACKED:
                 for kind, value in zip(kinds, batch.column(batch.schema.get_field_index(name)).to_pylist()):
                     if kind in held:
+                        if name == "data" and kind == "context":
+                            value = unpack.decompress(value)
                         held[kind].setdefault(name, []).append(value)
             for i, kind in enumerate(kinds):
                 if kind == "range":
@@ -394,9 +415,8 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 stop += 1
             some = order[at:stop]
             n = size[some]
-            where = np.repeat(offset[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             before, after = got["before"][some].astype(np.int64), got["after"][some].astype(np.int64)
-            found = repeated_windows(group_of[at:stop], before, after, np.cumsum(n) - n, got["data"][where])
+            found = repeated_windows(group_of[at:stop], before, after, np.cumsum(n) - n, _cut_out(got["data"], offset[some], n))
             member, distance = np.nonzero(found)
             row, low = got["row"][some], got["low"][some]
             yield _range_batch(*_ranges(row[member], (low + before)[member] - distance))
