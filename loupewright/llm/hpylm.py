@@ -350,6 +350,7 @@ class _Seats:
             self.pass_a.append((THETA[0] + da * ta) * self.size_a)
             self.pass_b.append((THETA[1] + db * tb) / (THETA[1] + sb))
             self.size_b.append(1 / (THETA[1] + sb))
+        del self.a, self.b, self.r
 
     def probabilities(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Averaged predictive probability, and training count, of each token in its context."""
@@ -438,20 +439,28 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     yield _tagged("seats", 0, rows[k : k + 8])
 
     def answered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows stay packed until their part's turn, so one part's seats are unpacked at a time.
         totals = sent.value[0]
-        held: dict[str, list[pa.RecordBatch]] = {"seats": [], "asked": []}
+        held: dict[int, dict[str, list[pa.RecordBatch]]] = {}
         for batch in stream:
-            kinds = np.array(batch.column(0).to_pylist(), object)
-            for name in held:
-                if (on := kinds == name).any():
-                    held[name].append(batch.filter(pa.array(on)))
+            kinds, numbers = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(2).to_pylist())
+            for part in np.unique(numbers):
+                for kind in ("seats", "asked"):
+                    if (on := (kinds == kind) & (numbers == part)).any():
+                        held.setdefault(int(part), {"seats": [], "asked": []})[kind].append(batch.filter(pa.array(on)))
             if (on := kinds == "docs").any():
                 docs_ = batch.filter(pa.array(on))
                 columns = [docs_.column(docs_.schema.get_field_index(c)) for c in ("batch", "n", "docs", "number")]
                 empty = pa.array([None] * docs_.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([columns[0], *columns[1:], *[empty] * 4], names=_ANSWER)
-        seats = _Seats(unpacked(iter(held["seats"]), _KINDS), totals)
-        for batch in (b.slice(i, 64) for b in held["asked"] for i in range(0, b.num_rows, 64)):
+                yield pa.RecordBatch.from_arrays([*columns, *[empty] * 4], names=_ANSWER)
+        for part in list(held):
+            own = held.pop(part)
+            if own["asked"]:
+                yield from _answers(_Seats(unpacked(iter(own["seats"]), _KINDS), totals), own["asked"])
+
+    def _answers(seats: _Seats, asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = seats.totals
+        for batch in (b.slice(i, 64) for b in asked for i in range(0, b.num_rows, 64)):
             got = unpacked(iter([batch]), {k: _KINDS[k] for k in ("token", "pairs", "context", "number", "count")})
             p, n = seats.probabilities(np.repeat(got["token"], got["pairs"]), got["context"])
             base = np.log10((n + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
