@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +21,5 @@ def clamp_at_zero(value: Column) -> Column:
     return F.when(value < 0, F.lit(0).cast("bigint")).otherwise(value)
 
 
-def add_all(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def zero_if_null(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
