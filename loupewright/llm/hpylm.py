@@ -38,7 +38,7 @@ BURN_IN, SEATINGS = 3, 3
 #: Concentrations of contexts, parents and root.
 THETA = (1.0, 1.0, 1.0)
 #: Bytes of text that are put together in one step of a task.
-STEP = 6 << 20
+STEP = 4 << 20
 SEED = 1
 #: Customers of a token that are seated one by one; more are seated in blocks of an eighth of those seated.
 ONE_BY_ONE = 64
@@ -453,29 +453,37 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 columns = [docs_.column(docs_.schema.get_field_index(c)) for c in ("batch", "n", "docs", "number")]
                 empty = pa.array([None] * docs_.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([*columns, *[empty] * 4], names=_ANSWER)
+        sums: dict[int, np.ndarray] = {}  # by batch: score, base and known tokens of each of its texts
         for part in list(held):
             own = held.pop(part)
             if own["asked"]:
-                yield from _answers(_Seats(unpacked(iter(own["seats"]), _KINDS), totals), own["asked"])
+                _add_answers(_Seats(unpacked(iter(own["seats"]), _KINDS), totals), own["asked"], sums)
+        empty = pa.array([None], pa.binary())
+        for key, found in sums.items():
+            texts = np.flatnonzero(found[1])  # every token makes the base smaller
+            row = [texts.astype(np.int32), found[0, texts], found[1, texts], found[2, texts].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.int64()), empty, empty, empty, *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=_ANSWER
+            )
 
-    def _answers(seats: _Seats, asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _add_answers(seats: _Seats, asked: list[pa.RecordBatch], sums: dict[int, np.ndarray]) -> None:
         totals = seats.totals
         for batch in (b.slice(i, 64) for b in asked for i in range(0, b.num_rows, 64)):
             got = unpacked(iter([batch]), {k: _KINDS[k] for k in ("token", "pairs", "context", "number", "count")})
             p, n = seats.probabilities(np.repeat(got["token"], got["pairs"]), got["context"])
             base = np.log10((n + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
             values = [x * got["count"] for x in (np.log10(p), base, n > 0)]
-            rows, at = [], 0
-            for size in (len(x) // 4 for x in batch.column(batch.schema.get_field_index("number")).to_pylist()):
-                here = slice(at, at + size)
-                texts, back = np.unique(got["number"][here], return_inverse=True)
-                sums = [np.bincount(back, v[here], len(texts)) for v in values]
-                rows.append([texts.astype(np.int32).tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.int32).tobytes()])
+            at = 0
+            numbers = batch.column(batch.schema.get_field_index("number")).to_pylist()
+            for key, size in zip(batch.column(1).to_pylist(), (len(x) // 4 for x in numbers)):
+                number = got["number"][at : at + size]
+                known = sums.get(key, np.zeros((3, 0)))
+                if number.max() >= known.shape[1]:
+                    known = np.pad(known, ((0, 0), (0, int(number.max()) + 1 - known.shape[1])))
+                for k in range(3):
+                    known[k] += np.bincount(number, values[k][at : at + size], known.shape[1])
+                sums[key] = known
                 at += size
-            empty = pa.array([None] * len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), empty, empty, empty, *[pa.array(c, pa.binary()) for c in zip(*rows)]], names=_ANSWER
-            )
 
     def together(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, list] = {}
