@@ -500,7 +500,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             total = [np.bincount(number, v, len(ids)) for v in values]
             columns = [
                 pa.array(ids, mask=unknown == 1), pa.array(lengths.astype(np.int64)), pa.array(total[2].astype(np.int64)),
-                pa.array(total[1]), pa.array(total[0]),
+                pa.array(total[1].astype(np.float64)), pa.array(total[0].astype(np.float64)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
