@@ -5,13 +5,16 @@ the same in both, so the pair meets under the key of that choice of blocks. Each
 compared there by Hamming distance, and only a spanning forest of the links found leaves the task.
 A key with very many members is split into chunks, and each pair of chunks is a task of its own.
 
-Longer fingerprints (several words from differently mixed hashes) tell similarities apart more
-finely; a pair is then looked for in each word and judged by the distance over all of them.
+The pipeline's near copies are pairs whose sets of five-word shingles have a similarity of 0.8 or more.
+Keys bring candidates together, and a candidate counts only after the two texts' sets were compared.
+First each key's members are compared with one of them, which joins most groups; after that all pairs
+of a key that are still apart are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +31,9 @@ SEED = 42
 BLOCKS, AGREE = 6, 2
 #: Members of a key that are compared in one task.
 TILE = 2048
-#: Five-word fingerprints of 8 x 64 bits: texts whose shingle sets have a similarity of 0.8 differ in
-#: about 80 of the 512 bits, with a deviation of about 8; unrelated texts in about 256. The limit is set
-#: to miss few pairs of 0.8, so pairs somewhat below that (0.73 and more, as measured) can be linked too.
-WIDE_WORDS, WIDE_SHINGLE, WIDE_LIMIT = 8, 5, 86
+#: Near copies: words of a shingle, and words of the fingerprint of the distinct shingles whose keys
+#: bring candidates together. Sets with a similarity of 0.8 differ in about 80 of the 512 bits.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_LIMIT = 5, 8, 86
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -61,7 +63,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 4, words: int = 1) -> bytes:
     """Words of 64 bits; a bit is set where over half of the hashes have it set. All zero without words."""
-    hashes = shingle_hashes(text, width)
+    return _majority(shingle_hashes(text, width), words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> bytes:
     made = np.zeros(words * 64, np.uint8)
     for k in range(words if len(hashes) else 0):
         mixed = hashes
@@ -102,63 +107,87 @@ def forest(prints: np.ndarray, limit: int) -> np.ndarray:
     return root
 
 
+def _block_keys(words: np.ndarray) -> np.ndarray:
+    """A key for each choice of blocks in each word: rows x keys."""
+    salt = np.arange(words.shape[1] * len(MASKS), dtype=np.uint64).reshape(words.shape[1], -1)
+    keys = ((words[:, :, None] & MASKS) ^ (salt * _MIX[1])) * _MIX[0]
+    return ((keys ^ (keys >> np.uint64(31))) * _MIX[1]).reshape(len(words), -1)
+
+
+def _packed_keys(node: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    owner = np.repeat(node, keys.shape[1])
+    keys = keys.ravel()
+    return packed_batch(list(dealt((keys >> np.uint64(33)) % np.uint64(parts), keys, owner)), ["key", "node"])
+
+
+def _several(stream: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, node and number of members for the keys with several members, in ascending order of the key."""
+    got = unpacked(stream, {"key": np.uint64, "node": np.uint64})
+    order = np.argsort(got["key"], kind="stable")
+    keys, node = got["key"][order], got["node"][order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    size = np.repeat(sizes, sizes)
+    several = size > 1
+    return keys[several], node[several], size[several]
+
+
+def _tiled(keys: np.ndarray, node: np.ndarray, size: np.ndarray, tile: int) -> Iterator[pa.RecordBatch]:
+    """key, tile, node: each pair of a key's members is in a tile of at most about twice ``tile`` members."""
+    chunks = -(-size // tile)
+    chunk = ((node * _MIX[0]) >> np.uint64(33)).astype(np.int64) % chunks
+    for k in range(int(chunks.max(initial=0))):  # a member of chunk c is in the tiles (c, k), both ways round
+        on = chunks > k
+        low, high = np.minimum(chunk[on], k), np.maximum(chunk[on], k)
+        for i in range(0, len(low), 1 << 16):
+            some = slice(i, i + (1 << 16))
+            yield _longs([keys[on][some], low[some] * (1 << 31) + high[some], node[on][some]], ["key", "tile", "node"])
+
+
+def _longs(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in columns], names=names)
+
+
+def _groups(stream: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows of whole (key, tile) groups; the last column is binary and becomes rows of words."""
+    held: list[np.ndarray] | None = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        *plain, packed = batch.columns
+        now = [c.to_numpy() for c in plain]
+        now.append(np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+        if held is not None:
+            now = [np.concatenate(pair) for pair in zip(held, now)]
+        new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+        held = [a[new[-1] :] if len(new) else a for a in now]
+        if len(new):
+            yield [a[: new[-1]] for a in now]
+    if held is not None:
+        yield held
+
+
 def links(nodes: DataFrame, limit: int, tile: int = TILE) -> DataFrame:
     """u, v: edges that connect what links of at most ``limit`` differing bits connect.
 
-    ``nodes`` has ``node`` (long, unique) and ``print`` (binary, unique).
+    ``nodes`` has ``node`` (long, unique) and ``print`` (binary, unique). All such links are found for
+    one word and a limit of up to BLOCKS - AGREE.
     """
     parts = parts_of(nodes.sparkSession)
 
     def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            if not batch.num_rows:
-                continue
-            node = np.array(batch.column(0).to_pylist(), np.uint64)
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(node), -1)
-            salt = np.arange(words.shape[1] * len(MASKS), dtype=np.uint64).reshape(words.shape[1], -1)
-            keys = ((words[:, :, None] & MASKS) ^ (salt * _MIX[1])) * _MIX[0]
-            keys = ((keys ^ (keys >> np.uint64(31))) * _MIX[1]).reshape(len(node), -1)
-            owner = np.repeat(node, keys.shape[1])
-            keys = keys.ravel()
-            yield packed_batch(list(dealt((keys >> np.uint64(33)) % np.uint64(parts), keys, owner)), ["key", "node"])
+            if batch.num_rows:
+                node = np.array(batch.column(0).to_pylist(), np.uint64)
+                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(node), -1)
+                yield _packed_keys(node, _block_keys(words), parts)
 
     def shared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpacked(stream, {"key": np.uint64, "node": np.uint64})
-        order = np.argsort(got["key"], kind="stable")
-        keys, node = got["key"][order], got["node"][order]
-        if not len(keys):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        size = np.repeat(sizes, sizes)
-        several = size > 1
-        keys, node, size = keys[several], node[several], size[several]
-        chunks = -(-size // tile)
-        chunk = ((node * _MIX[0]) >> np.uint64(33)).astype(np.int64) % chunks
-        for k in range(int(chunks.max(initial=0))):  # a member of chunk c is in the tiles (c, k), both ways round
-            on = chunks > k
-            low, high = np.minimum(chunk[on], k), np.maximum(chunk[on], k)
-            for i in range(0, len(low), 1 << 16):
-                some = slice(i, i + (1 << 16))
-                arrays = [keys[on][some].view(np.int64), (low * (1 << 31) + high)[some], node[on][some].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["key", "tile", "node"])
+        yield from _tiled(*_several(stream), tile)
 
     def compared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            key, place, node = (batch.column(i).to_numpy() for i in range(3))
-            words = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(node), -1)
-            now = [key, place, node, words]
-            if held is not None:
-                now = [np.concatenate(pair) for pair in zip(held, now)]
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            held = [a[new[-1] :] if len(new) else a for a in now]
-            if len(new):
-                yield _edges([a[: new[-1]] for a in now], limit)
-        if held is not None:
-            yield _edges(held, limit)
+        for rows in _groups(stream):
+            yield _edges(rows, limit)
 
     tiles = (
         nodes.select("node", "print").mapInArrow(keyed, "part int, key binary, node binary").repartition("part")
@@ -187,17 +216,25 @@ def _edges(rows: list[np.ndarray], limit: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()) for a in (u, v)], names=["u", "v"])
 
 
+def _place() -> Column:
+    """The order of documents; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+
+
+def _least(nodes: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each node, and first: the least document of its component."""
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select(*columns, F.col("least").alias("first"))
+
+
 def grouped(marked: DataFrame, limit: int) -> DataFrame:
     """print, first (struct of doc_id and row): the least document of each fingerprint's component.
 
     ``marked`` has doc_id, row (unique) and print. Null ids come last.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    nodes = stored(marked.groupBy("print").agg(F.min(place).alias("first")).withColumn("node", F.col("first.row")), "prints")
-    roots = connected(links(nodes, limit))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return rooted.join(least, "root").select("print", F.col("least").alias("first"))
+    nodes = stored(marked.groupBy("print").agg(F.min(_place()).alias("first")).withColumn("node", F.col("first.row")), "prints")
+    return _least(nodes, connected(links(nodes, limit)), "print")
 
 
 def _hexadecimal(words: int) -> Column:
@@ -219,16 +256,139 @@ def components(docs: DataFrame, limit: int = 4, width: int = 4, words: int = 1)
     return named.select("doc_id", _hexadecimal(words).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, ascending; texts without words have one of their own."""
+    hashes = np.unique(shingle_hashes(text, NEAR_SHINGLE))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a similarity of 0.8 or more."""
+    low, high = sorted((len(a), len(b)))
+    if 5 * low < 4 * high:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * common >= 4 * (low + high - common)
+
+
+def near_marks(text: bytes) -> tuple[bytes, int, bytes, bytes]:
+    """Digest, size, fingerprint and keys of the text's shingle set."""
+    hashes = shingle_set(text)
+    words = np.frombuffer(_majority(hashes, NEAR_WORDS), np.uint64)
+    return blake2b(hashes.tobytes(), digest_size=16).digest(), len(hashes), words.tobytes(), _block_keys(words[None]).tobytes()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts are alike; ``texts`` has node and text."""
+
+    def compared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in stream:
+            u, v = [], []
+            for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != last:
+                    last, own = i, shingle_set(a)
+                if alike(own, shingle_set(b)):
+                    u.append(i)
+                    v.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    # v first: many pairs can share their u, whose text then moves once only.
+    both = pairs.join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u").select("u", "v", "a", "b")
+    return both.mapInArrow(compared, "u long, v long")
+
+
+def _plausible(size: np.ndarray, words: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sizes and fingerprints allow a similarity of 0.8."""
+    near = np.bitwise_count(words ^ others).sum(axis=-1, dtype=np.int64) <= NEAR_LIMIT
+    return near & (5 * np.minimum(size, sizes) >= 4 * np.maximum(size, sizes))
+
+
+def _apart(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs of each (key, tile) that are in different components and whose sets can be alike."""
+    key, place, node, root, size, words = rows
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+    u, v = [node[:0]], [node[:0]]
+    for start, stop in zip(starts, np.append(starts[1:], len(key))):
+        if (root[start:stop] == root[start]).all():
+            continue
+        for i in range(start, stop - 1):
+            rest = slice(i + 1, stop)
+            fits = _plausible(size[i], words[i], size[rest], words[rest]) & (root[rest] != root[i])
+            other = node[rest][fits]
+            u.append(np.minimum(node[i], other))
+            v.append(np.maximum(node[i], other))
+    found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+    return _longs([np.ascontiguousarray(c) for c in found], ["u", "v"])
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+    """u, v: edges that connect what pairs of alike texts connect.
+
+    ``nodes`` has ``node`` (long, unique), and of its shingle set ``size``, ``print`` and ``keys`` (packed);
+    ``texts`` the text of every node as bytes.
+    """
+    parts = parts_of(nodes.sparkSession)
+
+    def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                node = np.array(batch.column(0).to_pylist(), np.uint64)
+                yield _packed_keys(node, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(node), -1), parts)
+
+    def shared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles, and with tile -1 each key's members beside one of them, chosen alike by all keys."""
+        key, node, size = _several(stream)
+        order = np.lexsort((node * _MIX[0], key))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        chosen = np.repeat(node[order][first], size[first])
+        pairs = np.unique(np.stack([chosen, node])[:, chosen != node], axis=1)
+        for i in range(0, pairs.shape[1], 1 << 16):
+            u, v = (np.ascontiguousarray(c[i : i + (1 << 16)]) for c in pairs)
+            yield _longs([u, np.full(len(u), -1), v], ["key", "tile", "node"])
+        yield from _tiled(key, node, size, tile)
+
+    def plausible(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
+                fits = pa.array(_plausible(batch.column(2).to_numpy(), a, batch.column(4).to_numpy(), b))
+                yield batch.select(["u", "v"]).filter(fits)
+
+    def apart(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(stream):
+            yield _apart(rows)
+
+    packed = nodes.select("node", "keys").mapInArrow(keyed, "part int, key binary, node binary").repartition("part")
+    met = stored(packed.mapInArrow(shared, "key long, tile long, node long"), "candidates")
+    stars = met.where("tile < 0").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v")).distinct()
+    sets = nodes.select("node", "size", "print")
+    stars = stars.join(sets.toDF("u", "m", "a"), "u").join(sets.toDF("v", "n", "b"), "v").select("u", "v", "m", "a", "n", "b")
+    stars = stored(stars.mapInArrow(plausible, "u long, v long"), "stars")
+    joined = stored(_verified(stars, texts), "joined")
+    members = met.where("tile >= 0").join(sets, "node").join(connected(joined), "node", "left")
+    members = members.select("key", "tile", "node", F.coalesce("root", "node").alias("root"), "size", "print")
+    pairs = members.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(apart, "u long, v long")
+    rest = pairs.distinct().join(stars, ["u", "v"], "left_anti")
+    return joined.union(_verified(rest, texts))
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The least document (by doc_id) of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    row, mark = "_row", "_print"
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
-    marked = with_prints(plain.withColumn(row, F.monotonically_increasing_id()), text, WIDE_SHINGLE, WIDE_WORDS)
-    marked = stored(marked.withColumnRenamed("print", mark), "marked")
-    narrow = marked.select(F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(mark).alias("print"))
-    kept = grouped(narrow, WIDE_LIMIT).select(F.col("first.row").alias(row)).distinct()
-    return marked.join(kept, row, "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+    def marks(texts: list) -> list[list]:
+        return [list(c) for c in zip(*(near_marks((t or "").encode()) for t in texts))] or [[], [], [], []]
+
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    marked = stored(map_rows(numbered, [text], marks, "digest binary, size long, print binary, keys binary"), "marked")
+    narrow = marked.select(F.col(doc_id).alias("doc_id"), "row", "digest", "size", "print", "keys")
+    least = narrow.groupBy("digest").agg(F.min(F.struct(_place().alias("first"), "size", "print", "keys")).alias("n"))
+    nodes = stored(least.select("n.*", F.col("n.first.row").alias("node")), "nodes")
+    texts = marked.select(F.col("row").alias("node"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    kept = _least(nodes, connected(near_links(nodes, texts))).select(F.col("first.row").alias("row")).distinct()
+    return marked.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -353,6 +353,14 @@ def test_near_copies_go_and_clean_documents_stay(docs, empty):
     assert simhash.drop_copies(empty).count() == 0
 
 
+def test_a_shingle_that_repeats_makes_no_near_copy(spark):
+    rng = random.Random(8)
+    dots = " ".join(["."] * 60)
+    apart = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(404)) + " " + dots for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_copies(docs).collect()) == list(range(6))
+
+
 def test_connected_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 2), (300, 200)]
     found = dict(map(tuple, components.connected(spark.createDataFrame(edges, "u long, v long")).collect()))
