@@ -6,7 +6,7 @@ compared there by Hamming distance, and only a spanning forest of the links foun
 A key with very many members is split into chunks, and each pair of chunks is a task of its own.
 
 The pipeline's near copies are pairs whose sets of five-word shingles have a similarity of 0.8 or more.
-Keys bring candidates together, and a candidate counts only after the two texts' sets were compared.
+Keys of least hash values bring candidates together, and a candidate counts only after the two texts' sets were compared.
 First each key's members are compared with one of them, which joins most groups; after that all pairs
 of a key that are still apart are compared.
 """
@@ -31,11 +31,19 @@ SEED = 42
 BLOCKS, AGREE = 6, 2
 #: Members of a key that are compared in one task.
 TILE = 2048
-#: Near copies: words of a shingle, and words of the fingerprint of the distinct shingles whose keys
-#: bring candidates together. Sets with a similarity of 0.8 differ in about 80 of the 512 bits.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_LIMIT = 5, 8, 86
+#: Near copies: words of a shingle; keys of a set, and least values (each of another order of the shingles)
+#: in a key. Two sets have the same least value with a chance equal to their similarity, so a pair of 0.8
+#: has no key in common with a chance of (1 - 0.8^5)^51 = 2e-9.
+NEAR_SHINGLE, NEAR_KEYS, NEAR_ROWS = 5, 51, 5
+#: Each least value also gives one of 256 bits. Pairs of 0.8 differ in 26 of them, with a deviation of 5; in more
+#: than the limit with a chance of about 1e-10. Such pairs are not compared.
+NEAR_LIMIT = 59
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Orders of the shingles, and weights of the least values in a key.
+_TURN, _SHIFT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 256, 1), np.uint64)
+_TURN |= np.uint64(1)
+_WEIGHT = _TURN[:NEAR_ROWS, 0]
 
 
 def _masks() -> np.ndarray:
@@ -272,10 +280,15 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def near_marks(text: bytes) -> tuple[bytes, int, bytes, bytes]:
-    """Digest, size, fingerprint and keys of the text's shingle set."""
+    """Digest, size, 256 bits and keys of the text's shingle set."""
     hashes = shingle_set(text)
-    words = np.frombuffer(_majority(hashes, NEAR_WORDS), np.uint64)
-    return blake2b(hashes.tobytes(), digest_size=16).digest(), len(hashes), words.tobytes(), _block_keys(words[None]).tobytes()
+    least = np.full(len(_TURN), ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024] * _TURN + _SHIFT).min(axis=1), out=least)
+    bits = np.packbits((least * _MIX[0] >> np.uint64(63)).astype(np.uint8))
+    keys = (least[: NEAR_KEYS * NEAR_ROWS].reshape(NEAR_KEYS, NEAR_ROWS) * _WEIGHT).sum(axis=1) + np.arange(NEAR_KEYS, dtype=np.uint64)
+    keys = (keys ^ (keys >> np.uint64(31))) * _MIX[1]
+    return blake2b(hashes.tobytes(), digest_size=16).digest(), len(hashes), bits.tobytes(), keys.tobytes()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -299,7 +312,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _plausible(size: np.ndarray, words: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether sizes and fingerprints allow a similarity of 0.8."""
+    """Whether sizes and bits allow a similarity of 0.8."""
     near = np.bitwise_count(words ^ others).sum(axis=-1, dtype=np.int64) <= NEAR_LIMIT
     return near & (5 * np.minimum(size, sizes) >= 4 * np.maximum(size, sizes))
 
