@@ -26,13 +26,14 @@ WATERMARK, TOTALS_OPEN = "1 hour", "30 days"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 1000) -> DataFrame:
-    """The event table, one file or a folder of part files, as a file stream with bounded batches.
+def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """The event table, one file or a folder of part files, as a file stream.
 
-    The path is written as a pattern that only it matches: a stream takes a plain path for a folder.
+    Part files are in no order of time, so all files that are there go into one batch: a later batch
+    would lose what the watermark of an earlier one takes for late. The path is written as a pattern that only it matches: a stream takes a plain path for a folder.
     """
     path = f"{folder}/[{name[0]}]{name[1:]}.parquet"
-    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(SCHEMAS[name]).parquet(path)
 
 
 def stamped(pulses: DataFrame, watermark: str = WATERMARK) -> DataFrame:

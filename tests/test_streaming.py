@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from loupewright.streaming import live, meters
@@ -98,6 +101,25 @@ def test_daily_usage_stream_equals_batch(spark, tmp_path):
     assert rows(state, *columns) == rows(batch, *columns)
 
 
+def test_replay_of_many_unsorted_part_files_loses_nothing(spark, tmp_path):
+    days = [START + timedelta(days=d) for d in range(0, 200, 2)]
+    order = sorted(days, reverse=True) * 22  # the newest pulses are in the oldest files
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i, at in enumerate(order):
+        one = {"event_id": [i], "ts": [at], "user_id": [4], "event_type": ["x"], "value": [1.0], "props": [""]}
+        schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()),
+                            ("value", pa.float64()), ("props", pa.string())])
+        part = folder / f"part-{i:05d}.parquet"
+        pq.write_table(pa.table(one, schema), part)
+        os.utime(part, (10**9 + i, 10**9 + i))
+    stream = live.event_stream(spark, str(tmp_path)).select(F.lit("WT-05").alias("deviceCode"), F.col("ts").alias("transDate"))
+    updates = live.stream_daily_usage(stream, limits(spark))
+    live.write_updates(updates, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    state = live.read_updates(spark, str(tmp_path / "out"), updates.schema, ["deviceCode", "day"])
+    assert rows(state, "day", "pulses") == [(d.date(), 22) for d in days]
+
+
 def test_alert_stream_alerts_once_and_rearms(spark, tmp_path):
     data = pulses()
     stream = in_files(spark, data, str(tmp_path / "in"), 5)
