@@ -8,9 +8,9 @@ under 2^12 parents), so every context is covered and what is sent to all tasks h
 
 Seating is sampled by Gibbs sweeps: a sweep takes all customers of a token out of a restaurant and
 seats them again one after the other, given all other tables. A task holds all restaurants' tables of
-its share of the tokens and takes that share, scaled, for the tables of the rest. After the burn-in
-several seatings are kept. Their exact totals are summed over all tasks, and the predictive
-probabilities of the seatings are averaged.
+its share of the tokens. After each sweep the totals of contexts, parents and root are summed over all
+tasks, and every task takes these for its next sweep. After the burn-in several seatings are kept, and
+their predictive probabilities are averaged.
 
 Counts are added up in each batch before they move. Texts are scored by sending each batch's tokens
 to where their restaurants are; frequent tokens are spread over several copies of theirs.
@@ -18,16 +18,16 @@ to where their restaurants are; frequent tokens are spread over several copies o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loupewright.llm.common import dealt, packed_batch, parts_of, remainder, stored, table, unpacked, whole_text
+from loupewright.llm.common import dealt, packed_batch, parts_of, remainder, table, unpacked, whole_text, work_folder
 
 #: Address widths of contexts and of their parents.
 CONTEXT_BITS, PARENT_BITS = 18, 12
@@ -42,6 +42,8 @@ STEP = 4 << 20
 SEED = 1
 #: Customers of a token that are seated one by one; more are seated in blocks of an eighth of those seated.
 ONE_BY_ONE = 64
+#: Slices of the contexts whose totals are summed apart.
+SLICES = 16
 
 #: The end token; no word has a space.
 END = np.uint64(xxh64_intdigest(b" end", SEED))
@@ -124,8 +126,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
     return np.minimum(tables, customers)
 
 
-def _discount(n: np.ndarray) -> float:
-    one, two = float((n == 1).sum()), float((n == 2).sum())
+def _discount(one: float, two: float) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one and two else 0.5
 
 
@@ -148,46 +149,76 @@ class Share:
     def root_customers(self, tables: np.ndarray) -> np.ndarray:
         return np.bincount(self.token_of_parent, tables, len(self.first)).astype(np.int64)
 
-    def gibbs(self, scale: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables in contexts, parents and root of each kept seating; ``scale``: all tokens to these."""
-        if not len(self.token):
-            return [(self.n, self.n, self.n)] * SEATINGS
-        a, b = np.ones(len(self.n), np.int64), np.ones(len(self.parent_key), np.int64)
-        c = np.ones(len(self.first), np.int64)
-        kept = []
-        size = np.bincount(self.context, self.n, _CONTEXTS) * scale
-        for sweep in range(BURN_IN + SEATINGS):
-            cb, cr = self.customers(a), self.root_customers(b)
-            da, db, dr = _discount(self.n), _discount(cb), _discount(cr)
-            ta, tb = np.bincount(self.context, a, _CONTEXTS) * scale, np.bincount(self.parent, b, _PARENTS) * scale
-            sb, sr, tr = np.bincount(self.parent, cb, _PARENTS) * scale, cr.sum() * scale, c.sum() * scale
-            root = (np.maximum(cr - dr * c, 0) + (THETA[2] + dr * tr) / (len(self.first) * scale + 1)) / (THETA[2] + sr)
-            pull_b = (THETA[1] + db * tb)[self.parent] * root[self.token_of_parent]
-            middle = (np.maximum(cb - db * b, 0) + pull_b) / (THETA[1] + sb)[self.parent]
-            a = seat(self.n, (THETA[0] + da * np.minimum(ta, size))[self.context] * middle[self.of_parent], da, rng)
-            cb = self.customers(a)
-            b = seat(cb, pull_b, db, rng)
-            cr = self.root_customers(b)
-            c = seat(cr, np.full(len(cr), (THETA[2] + dr * tr) / (len(self.first) * scale + 1)), dr, rng)
-            if sweep >= BURN_IN:
-                kept.append((a, b, c))
-        return kept
+    def sweep(
+        self, a: np.ndarray, b: np.ndarray, c: np.ndarray, all_: Sums, rng: np.random.Generator
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables in contexts, parents and root after a sweep; ``all_``: totals of the seating before, over all tokens."""
+        cb, cr = self.customers(a), self.root_customers(b)
+        da, db, dr = (_discount(*two) for two in all_.ones)
+        sb, sr = all_.tables_a.reshape(_PARENTS, -1).sum(axis=1), all_.tables_b.sum()
+        new = (THETA[2] + dr * all_.tables_r) / (all_.vocabulary + 1)
+        root = (np.maximum(cr - dr * c, 0) + new) / (THETA[2] + sr)
+        pull_b = (THETA[1] + db * all_.tables_b)[self.parent] * root[self.token_of_parent]
+        middle = (np.maximum(cb - db * b, 0) + pull_b) / (THETA[1] + sb)[self.parent]
+        pull_a = (THETA[0] + da * np.minimum(all_.tables_a, all_.size))[self.context] * middle[self.of_parent]
+        a = seat(self.n, pull_a, da, rng)
+        b = seat(self.customers(a), pull_b, db, rng)
+        cr = self.root_customers(b)
+        return a, b, seat(cr, np.full(len(cr), new), dr, rng)
+
+
+class Sums:
+    """Totals of one seating, of fixed size; those of several shares of the tokens add up."""
+
+    def __init__(self):
+        self.size = np.zeros(_CONTEXTS, np.int64)  # customers of each context
+        self.tables_a = np.zeros(_CONTEXTS, np.int64)
+        self.tables_b = np.zeros(_PARENTS, np.int64)
+        self.ones = np.zeros((3, 2))  # dishes with one and two customers at each level
+        self.tables_r = self.vocabulary = self.tokens = 0
+
+    def add(self, share: Share, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        np.add.at(self.size, share.context, share.n)
+        np.add.at(self.tables_a, share.context, a)
+        np.add.at(self.tables_b, share.parent, b)
+        for level, customers in enumerate((share.n, share.customers(a), share.root_customers(b))):
+            self.ones[level] += (customers == 1).sum(), (customers == 2).sum()
+        self.tables_r += int(c.sum())
+        self.vocabulary += len(share.first)
+        self.tokens += int(share.n.sum())
+
+    def rows(self) -> list[tuple[int, list[np.ndarray]]]:
+        """One row per slice of contexts, and one for the rest."""
+        sliced = np.stack([self.size, self.tables_a]).reshape(2, SLICES, -1)
+        packed = [(sliced[:, k], _NOTHING) for k in range(SLICES)]
+        packed.append((self.tables_b, np.array([*self.ones.ravel(), self.tables_r, self.vocabulary, self.tokens], float)))
+        return [(k, [_NOTHING, _NOTHING, _NOTHING, n, *[_NOTHING] * 3, few, _NOTHING, _NOTHING]) for k, (n, few) in enumerate(packed)]
+
+    def take(self, k: int, n: bytes, few: bytes) -> None:
+        """The values of a row."""
+        values = np.frombuffer(n, np.int64)
+        if k < SLICES:
+            step = _CONTEXTS // SLICES
+            self.size[k * step : (k + 1) * step], self.tables_a[k * step : (k + 1) * step] = values.reshape(2, -1)
+        else:
+            numbers = np.frombuffer(few, np.float64)
+            self.tables_b, self.ones = values, numbers[:6].reshape(3, 2)
+            self.tables_r, self.vocabulary, self.tokens = (int(x) for x in numbers[6:])
 
 
 class Totals:
-    """Sums over all tokens that the predictive probabilities need; of fixed size."""
+    """What the predictive probabilities need of all tokens, for each kept seating; of fixed size."""
 
-    def __init__(self):
-        self.size = np.zeros(_CONTEXTS)  # customers of each context
-        self.tables_a = np.zeros((SEATINGS, _CONTEXTS))
-        self.tables_b = np.zeros((SEATINGS, _PARENTS))
-        self.tables_r = np.zeros(SEATINGS)
-        self.ones = np.zeros((3, 2))  # dishes with one and two customers at each level
-        self.vocabulary = self.tokens = 0
+    def __init__(self, kept: list[Sums]):
+        last = kept[-1]
+        self.size = last.size.astype(float)
+        self.tables_a = np.stack([k.tables_a for k in kept]).astype(float)
+        self.tables_b = np.stack([k.tables_b for k in kept]).astype(float)
+        self.tables_r = np.array([k.tables_r for k in kept], float)
+        self.ones, self.vocabulary, self.tokens = last.ones, last.vocabulary, last.tokens
 
     def discount(self, level: int) -> float:
-        one, two = self.ones[level]
-        return min(0.95, max(0.05, one / (one + 2 * two))) if one and two else 0.5
+        return _discount(*self.ones[level])
 
 
 _ARRAYS = ["token", "pairs", "context", "n", "a", "b", "r", "docs", "number", "count"]
@@ -209,6 +240,14 @@ def _tagged(kind: str, batch_id: int, rows: list) -> pa.RecordBatch:
 _SCHEMA = "kind string, batch long, part int, " + ", ".join(f"{name} binary" for name in _ARRAYS)
 
 
+def _seats_row(part: int, share: Share, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    """A part's seats; a, b and r have a column for each seating."""
+    cut = np.append(share.first, len(share.token))
+    tables = [np.ascontiguousarray(x, np.uint32) for x in (a, b, r)]
+    own = [share.token[share.first], np.diff(cut).astype(np.int32), share.context.astype(np.int32), share.n, *tables]
+    return _tagged("seats", 0, [(part, [*own, _NOTHING, _NOTHING, _NOTHING])])
+
+
 class Model:
     """The fitted model: seats by part in a stored table, totals, and the copies of frequent tokens."""
 
@@ -232,49 +271,42 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 rows.append((part, [t[first], pairs, c, k.astype(np.int32)]))
             yield packed_batch(rows, ["token", "pairs", "context", "n"])
 
-    def seated(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpacked(stream, {"token": np.uint64, "pairs": np.int32, "context": np.int32, "n": np.int32})
-        token, context, n = _by_pair(np.repeat(got["token"], got["pairs"]), got["context"], got["n"].astype(np.int64))
-        share = Share(token, context, n)
-        seed = TaskContext.get().partitionId()
-        which = (token[share.first] % np.uint64(parts)).astype(np.int64)
-        scale = parts / max(1, len(np.unique(which)))  # tokens are dealt by hash, so parts are alike
-        kept = share.gibbs(scale, np.random.default_rng([SEED, seed]))
-        cut = np.append(share.first, len(token))
-        rows = []
-        a = np.stack([k[0] for k in kept], axis=1).astype(np.uint32)
-        b = np.stack([k[1] for k in kept], axis=1).astype(np.uint32)
-        r = np.stack([k[2] for k in kept], axis=1).astype(np.uint32)
-        of_pair, of_parent = which[share.of_token], which[share.token_of_parent]
-        pairs = np.diff(cut).astype(np.int32)
-        for part in np.unique(which):
-            p, q, w = of_pair == part, of_parent == part, which == part
-            rows.append(
-                (int(part), [token[share.first][w], pairs[w], context[p].astype(np.int32), n[p], a[p], b[q], r[w], _NOTHING, _NOTHING, _NOTHING])
-            )
-        if rows:
-            yield _tagged("seats", 0, rows)
-        # What goes into the totals, summed per slice of contexts.
-        sizes = [np.bincount(share.context, n, _CONTEXTS)]
-        sizes += [np.bincount(share.context, k[0], _CONTEXTS) for k in kept]
-        whole = np.stack(sizes).astype(np.int64)
-        slices = 16
-        step = _CONTEXTS // slices
-        level = [n, share.customers(kept[-1][0]), share.root_customers(kept[-1][1])] if len(token) else [n] * 3
-        few = [float((x == k).sum()) for x in level for k in (1, 2)] + [float(k[2].sum()) for k in kept] + [len(share.first), float(n.sum())]
-        upper = np.stack([np.bincount(share.parent, k[1], _PARENTS) for k in kept]).astype(np.int64)
-        out = [(s, [_NOTHING, _NOTHING, _NOTHING, np.ascontiguousarray(whole[:, s * step : (s + 1) * step]), *[_NOTHING] * 6]) for s in range(slices)]
-        out.append((slices, [_NOTHING, _NOTHING, _NOTHING, upper, _NOTHING, _NOTHING, _NOTHING, np.array(few), _NOTHING, _NOTHING]))
-        yield _tagged("totals", 0, out)
-        total = np.add.reduceat(n, share.first) if len(token) else n
-        often = total * 8 * parts > total.sum() * scale  # all that may be frequent among all tokens, and few others
-        if often.any():
-            yield _tagged("often", 0, [(0, [token[share.first][often], _NOTHING, _NOTHING, total[often], *[_NOTHING] * 6])])
-
-    counts = docs.select(F.lit(0).alias("id"), whole_text(text).alias("bytes")).mapInArrow(
-        counted, "part int, token binary, pairs binary, context binary, n binary"
-    )
-    found = stored(counts.repartition("part").mapInArrow(seated, _SCHEMA), "seats")
+    def begun(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in stream:
+            numbers = batch.column(0).to_numpy()
+            for part in np.unique(numbers):
+                held.setdefault(int(part), []).append(batch.filter(pa.array(numbers == part)))
+        sums = Sums()
+        for part in list(held):
+            got = unpacked(iter(held.pop(part)), {"token": np.uint64, "pairs": np.int32, "context": np.int32, "n": np.int32})
+            share = Share(*_by_pair(np.repeat(got["token"], got["pairs"]), got["context"], got["n"].astype(np.int64)))
+            tables = [np.ones((len(x), 1), np.int64) for x in (share.n, share.parent_key, share.first)]
+            sums.add(share, *(t[:, 0] for t in tables))
+            yield _seats_row(part, share, *tables)
+        yield _tagged("totals", 0, sums.rows())
+
+    def swept(number: int, before: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def sweep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            all_, sums = before.value, Sums()
+            for row in (b.slice(i, 1) for b in stream for i in range(b.num_rows)):
+                part = row.column(row.schema.get_field_index("part"))[0].as_py()
+                got = unpacked(iter([row]), {k: _KINDS[k] for k in ("token", "pairs", "context", "n", "a", "b", "r")})
+                share = Share(np.repeat(got["token"], got["pairs"]), got["context"], got["n"])
+                old = [got[k].reshape(size, -1) for k, size in (("a", len(share.n)), ("b", len(share.parent_key)), ("r", len(share.first)))]
+                rng = np.random.default_rng([SEED, number, part])  # no matter which parts a task has
+                new = share.sweep(*(x[:, -1].astype(np.int64) for x in old), all_, rng)
+                sums.add(share, *new)
+                kept = old if number > BURN_IN else [x[:, :0] for x in old]
+                yield _seats_row(part, share, *(np.column_stack([x, y]) for x, y in zip(kept, new)))
+                if number == BURN_IN + SEATINGS - 1:
+                    total = np.add.reduceat(share.n, share.first)
+                    often = total * 2 * parts > all_.tokens
+                    if often.any():
+                        yield _tagged("often", 0, [(0, [share.token[share.first][often], _NOTHING, _NOTHING, total[often], *[_NOTHING] * 6])])
+            yield _tagged("totals", 0, sums.rows())
+
+        return sweep
 
     def summed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
@@ -285,20 +317,29 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         if sums:
             yield packed_batch(list(sums.items()), ["n", "few"])
 
-    totals = Totals()
-    slices = found.where("kind = 'totals'").select("part", "n", "docs").repartition("part")
-    for part, n, few in slices.mapInArrow(summed, "part int, n binary, few binary").toLocalIterator():  # fixed size
-        values, step = np.frombuffer(n, np.int64), _CONTEXTS // 16
-        if part < 16:
-            values = values.reshape(1 + SEATINGS, step)
-            totals.size[part * step : (part + 1) * step] = values[0]
-            totals.tables_a[:, part * step : (part + 1) * step] = values[1:]
-        else:
-            numbers = np.frombuffer(few, np.float64)
-            totals.tables_b[:] = values.reshape(SEATINGS, _PARENTS)
-            totals.ones[:] = numbers[:6].reshape(3, 2)
-            totals.tables_r[:] = numbers[6 : 6 + SEATINGS]
-            totals.vocabulary, totals.tokens = int(numbers[-2]), int(numbers[-1])
+    def written(frame: DataFrame) -> tuple[str, DataFrame, Sums]:
+        path = work_folder(spark, "seats")
+        frame.write.parquet(path)
+        found, sums = spark.read.schema(_SCHEMA).parquet(path), Sums()
+        slices = found.where("kind = 'totals'").select("part", "n", "docs").repartition("part")
+        for row in slices.mapInArrow(summed, "part int, n binary, few binary").toLocalIterator():  # fixed size
+            sums.take(*row)
+        return path, found, sums
+
+    counts = docs.select(F.lit(0).alias("id"), whole_text(text).alias("bytes")).mapInArrow(
+        counted, "part int, token binary, pairs binary, context binary, n binary"
+    )
+    path, found, sums = written(counts.repartition("part").mapInArrow(begun, _SCHEMA))
+    kept = [sums] * SEATINGS
+    for number in range(BURN_IN + SEATINGS if sums.tokens else 0):
+        before = spark.sparkContext.broadcast(sums)
+        old = path
+        path, found, sums = written(found.where("kind = 'seats'").mapInArrow(swept(number, before), _SCHEMA))
+        kept = [*kept[1:], sums]
+        before.unpersist()
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)  # the seats before the sweep, which nothing reads again
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    totals = Totals(kept)
     copies: dict[int, int] = {}
     for row in found.where("kind = 'often'").select("token", "n").toLocalIterator():  # at most 2 x parts tokens are kept
         for token, n in zip(np.frombuffer(row.token, np.uint64), np.frombuffer(row.n, np.int64)):

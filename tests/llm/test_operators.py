@@ -563,6 +563,39 @@ def test_probabilities_add_up_to_one(docs):
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_scores_do_not_depend_on_how_tasks_share_the_tokens(spark, docs):
+    """Each sweep uses the totals over all tokens, so tasks that have one part or all parts seat alike."""
+    key, found = "spark.sql.adaptive.coalescePartitions.enabled", []
+    parts = hpylm.parts_of(spark)
+    for coalesced in ("true", "false"):
+        spark.conf.set(key, coalesced)
+        try:
+            model = hpylm.fit(docs)
+            found.append(sorted((str(r.doc_id), round(r.score, 9)) for r in hpylm.score(docs, model).collect()))
+        finally:
+            spark.conf.unset(key)
+        assert model.parts == parts
+    assert found[0] == found[1]
+
+
+def test_a_sweep_takes_the_totals_of_all_tokens():
+    rng = np.random.default_rng(2)
+    token, context = (x.ravel() for x in np.meshgrid(np.arange(40, dtype=np.uint64), np.arange(8), indexing="ij"))
+    n = rng.integers(1, 30, len(token))
+    whole = hpylm.Share(token, context, n)
+    halves = [hpylm.Share(token[on], context[on], n[on]) for on in (token < 20, token >= 20)]
+    ones = lambda s: [np.ones(len(x), np.int64) for x in (s.n, s.parent_key, s.first)]
+    together, apart = hpylm.Sums(), hpylm.Sums()
+    together.add(whole, *ones(whole))
+    for half in halves:
+        apart.add(half, *ones(half))
+    for name in ("size", "tables_a", "tables_b", "ones", "tables_r", "vocabulary", "tokens"):
+        assert np.array_equal(getattr(together, name), getattr(apart, name))
+    wide = {k: whole.sweep(*ones(whole), together, np.random.default_rng(k))[0].sum() for k in range(200)}
+    split = {k: sum(h.sweep(*ones(h), apart, np.random.default_rng([k, i]))[0].sum() for i, h in enumerate(halves)) for k in range(200)}
+    assert np.mean(list(wide.values())) == pytest.approx(np.mean(list(split.values())), rel=0.01)
+
+
 def test_seats_stay_between_one_and_the_customers():
     rng = np.random.default_rng(1)
     customers = np.array([1, 2, 5, 70, 10_000, 3_000_000])
