@@ -82,6 +82,7 @@ def _in_shard(tables: Tables, base: pd.DataFrame, queries: pd.DataFrame, k: int,
     orders = np.argsort(codes, axis=0, kind="stable")
     sorted_codes = np.take_along_axis(codes, orders, axis=0)
     ids = base["ids"].tolist()
+    longest = np.sqrt((vectors**2).sum(axis=1).max())
     out_query, out_id, out_score = [], [], []
     for key, query in zip(queries["query"], queries["vector"]):
         query = np.asarray(query, float)
@@ -94,8 +95,9 @@ def _in_shard(tables: Tables, base: pd.DataFrame, queries: pd.DataFrame, k: int,
         # Where the visited buckets hold too few, the rest of the shard is visited too.
         at = np.flatnonzero(hit) if hit.sum() >= k else np.arange(len(vectors))
         rough = vectors[at] @ query
-        if len(at) > k + 8:
-            at = at[np.argpartition(-rough, k + 8)[: k + 8]]
+        if len(at) > k:  # all that can be among the k best in spite of rounding, however many tie
+            error = 4 * (len(query) + 2) * np.finfo(float).eps * longest * np.sqrt(query @ query)
+            at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * error]
         exact = (vectors[at] * query).sum(axis=1)
         pairs = sorted((-s, i) for s, v in zip(exact, at) for i in ids[v])[:k]
         out_query += [key] * len(pairs)

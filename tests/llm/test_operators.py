@@ -563,6 +563,17 @@ def test_probabilities_add_up_to_one(docs):
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_ties_of_many_distinct_vectors_go_to_the_smaller_ids(spark):
+    # 80 distinct vectors of zeros and ones have an inner product of 1 with the query, none has more.
+    rows = [(1000, [1.0] + [0.0] * 80)]
+    ids = list(range(80))
+    random.Random(3).shuffle(ids)
+    rows += [(i, [1.0] + [float(j == place) for j in range(80)]) for place, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(frame, frame.where("vec_id = 1000"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [0, 1, 2, 3, 4]
+
+
 def test_scores_do_not_depend_on_how_tasks_share_the_tokens(spark, docs):
     """Each sweep uses the totals over all tokens, so tasks that have one part or all parts seat alike."""
     key, found = "spark.sql.adaptive.coalescePartitions.enabled", []
