@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 from array import array
 from collections import Counter
@@ -108,6 +109,15 @@ def test_token_ids_are_those_of_the_library(spark, rows, docs):
         assert r.n_tokens == len(r.ids) // 4
 
 
+def test_token_ids_are_decoded_and_held_against_the_text(spark, rows, docs, monkeypatch):
+    found = corpus_pipeline.token_ids(spark, docs, "").select("doc_id", "decoded_sha256").collect()
+    assert {r.doc_id: r.decoded_sha256 for r in found} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t, *_ in rows}
+    wrong = lambda frame: frame.withColumn("decoded", F.lit(b"other"))
+    monkeypatch.setattr(prefix_bpe, "decode_ids", wrong)
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.token_ids(spark, docs, "").collect()
+
+
 def test_run_equals_the_stages_one_by_one(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     step = docs
