@@ -7,15 +7,15 @@ A key with very many members is split into chunks, and each pair of chunks is a
 
 The pipeline's near copies are pairs whose sets of five-word shingles have a similarity of 0.8 or more.
 Keys of least hash values bring candidates together, and a candidate counts only after the two texts' sets were compared.
-First each key's members are compared with one of them, which joins most groups; after that all pairs
-of a key that are still apart are compared.
+First each key's members are compared with one of them, which joins most groups; after that members of a
+key that are still apart are compared in tiles, each pair at one key, and only joining links leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ NEAR_SHINGLE, NEAR_KEYS, NEAR_ROWS = 5, 51, 5
 #: Each least value also gives one of 256 bits. Pairs of 0.8 differ in 26 of them, with a deviation of 5; in more
 #: than the limit with a chance of about 1e-10. Such pairs are not compared.
 NEAR_LIMIT = 59
+#: Members of a key in a chunk; the shingle sets of two chunks are in memory together.
+NEAR_TILE = 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Orders of the shingles, and weights of the least values in a key.
@@ -317,25 +319,48 @@ def _plausible(size: np.ndarray, words: np.ndarray, sizes: np.ndarray, others: n
     return near & (5 * np.minimum(size, sizes) >= 4 * np.maximum(size, sizes))
 
 
+def _to_compare(i: int, key: np.uint64, size: np.ndarray, words: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Members after i of a key that i must be compared with; a pair is compared at the first key that it shares.
+
+    ``words`` has bits and keys of each member.
+    """
+    rest = slice(i + 1, len(size))
+    near = _plausible(size[i], words[i, :-NEAR_KEYS], size[rest], words[rest, :-NEAR_KEYS]) & (root[rest] != root[i])
+    found = np.flatnonzero(near) + i + 1
+    same = words[found, -NEAR_KEYS:] == words[i, -NEAR_KEYS:]
+    return found[words[i, -NEAR_KEYS:][same.argmax(axis=1)] == key]
+
+
 def _apart(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs of each (key, tile) that are in different components and whose sets can be alike."""
+    """Members of each (key, tile) that must be compared with one of another component."""
     key, place, node, root, size, words = rows
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
-    u, v = [node[:0]], [node[:0]]
+    wanted = np.zeros(len(key), bool)
     for start, stop in zip(starts, np.append(starts[1:], len(key))):
         if (root[start:stop] == root[start]).all():
             continue
-        for i in range(start, stop - 1):
-            rest = slice(i + 1, stop)
-            fits = _plausible(size[i], words[i], size[rest], words[rest]) & (root[rest] != root[i])
-            other = node[rest][fits]
-            u.append(np.minimum(node[i], other))
-            v.append(np.maximum(node[i], other))
-    found = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
-    return _longs([np.ascontiguousarray(c) for c in found], ["u", "v"])
-
-
-def near_links(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+        on = slice(start, stop)
+        for i in range(stop - start - 1):
+            others = _to_compare(i, key[start : start + 1].view(np.uint64)[0], size[on], words[on], root[on])
+            if len(others):
+                wanted[start + i] = wanted[start + others] = True
+    return _longs([c[wanted] for c in (key, place, node)], ["key", "tile", "node"])
+
+
+def _joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Edges that join the components of a tile's members; rows are (key, tile, node, root, size, words, text)."""
+    node, root, size = (np.array(c, np.int64) for c in list(zip(*rows))[2:5])
+    words = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+    sets = [shingle_set(r[6]) for r in rows]
+    key = np.array([rows[0][0]], np.int64).view(np.uint64)[0]
+    for i in range(len(rows)):
+        for j in _to_compare(i, key, size, words, root):
+            if root[j] != root[i] and alike(sets[i], sets[j]):
+                root[root == root[j]] = root[i]
+                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, tile: int = NEAR_TILE) -> DataFrame:
     """u, v: edges that connect what pairs of alike texts connect.
 
     ``nodes`` has ``node`` (long, unique), and of its shingle set ``size``, ``print`` and ``keys`` (packed);
@@ -372,18 +397,31 @@ def near_links(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFram
         for rows in _groups(stream):
             yield _apart(rows)
 
+    def rest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in stream for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, rows in groupby(every, key=lambda row: row[:2]):
+            edges = np.array(list(_joined(list(rows))), np.int64).reshape(-1, 2)
+            yield _longs([np.ascontiguousarray(edges[:, k]) for k in (0, 1)], ["u", "v"])
+
     packed = nodes.select("node", "keys").mapInArrow(keyed, "part int, key binary, node binary").repartition("part")
     met = stored(packed.mapInArrow(shared, "key long, tile long, node long"), "candidates")
     stars = met.where("tile < 0").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v")).distinct()
     sets = nodes.select("node", "size", "print")
     stars = stars.join(sets.toDF("u", "m", "a"), "u").join(sets.toDF("v", "n", "b"), "v").select("u", "v", "m", "a", "n", "b")
-    stars = stored(stars.mapInArrow(plausible, "u long, v long"), "stars")
-    joined = stored(_verified(stars, texts), "joined")
-    members = met.where("tile >= 0").join(sets, "node").join(connected(joined), "node", "left")
-    members = members.select("key", "tile", "node", F.coalesce("root", "node").alias("root"), "size", "print")
-    pairs = members.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(apart, "u long, v long")
-    rest = pairs.distinct().join(stars, ["u", "v"], "left_anti")
-    return joined.union(_verified(rest, texts))
+    joined = stored(_verified(stored(stars.mapInArrow(plausible, "u long, v long"), "stars"), texts), "joined")
+    words = nodes.select("node", "size", F.concat("print", "keys").alias("words")).join(connected(joined), "node", "left")
+    words = stored(words.select("node", F.coalesce("root", "node").alias("root"), "size", "words"), "words")
+    tiles = met.where("tile >= 0")
+    several = tiles.join(words.select("node", "root"), "node").groupBy("key", "tile").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    tiles = tiles.join(several.where("a <> b").select("key", "tile"), ["key", "tile"], "left_semi")
+    members = _by_tile(tiles.join(words, "node").select("key", "tile", "node", "root", "size", "words"))
+    members = stored(members.mapInArrow(apart, "key long, tile long, node long"), "apart")
+    full = members.join(words, "node").join(texts, "node").select("key", "tile", "node", "root", "size", "words", "text")
+    return joined.union(_by_tile(full).mapInArrow(rest, "u long, v long"))
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
