@@ -36,7 +36,7 @@ TILE = 2048
 #: has no key in common with a chance of (1 - 0.8^5)^51 = 2e-9.
 NEAR_SHINGLE, NEAR_KEYS, NEAR_ROWS = 5, 51, 5
 #: Each least value also gives one of 256 bits. Pairs of 0.8 differ in 26 of them, with a deviation of 5; in more
-#: than the limit with a chance of about 1e-10. Such pairs are not compared.
+#: than the limit with a chance of 3e-10. Such pairs are not compared.
 NEAR_LIMIT = 59
 #: Members of a key in a chunk; the shingle sets of two chunks are in memory together.
 NEAR_TILE = 512
