@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loupewright.llm import mixing, prefix_bpe, quality
 from loupewright.llm.common import stored
-from tests.llm.test_operators import prose, repeats, words_of
+from tests.llm.test_llm_operators import prose, repeats, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
