@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from loupewright.llm import hpylm, mixing, neighbours, prefix_bpe, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from loupewright.llm import (
+    hpylm,
+    lexical,
+    mixing,
+    neighbours,
+    prefix_bpe,
+    quality,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {
     "op1_hpylm": hpylm.op1_hpylm,
@@ -15,8 +29,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
+    "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_lexical": lexical.op13_lexical,
 }
 ORACLES = {
     "op5_quality": quality.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }
