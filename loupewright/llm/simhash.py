@@ -4,18 +4,12 @@ A fingerprint is cut into blocks. If two differ in at most d bits, at least (blo
 the same in both, so the pair meets under the key of that choice of blocks. Each key's members are
 compared there by Hamming distance, and only a spanning forest of the links found leaves the task.
 A key with very many members is split into chunks, and each pair of chunks is a task of its own.
-
-The pipeline's near copies are pairs whose sets of five-word shingles have a similarity of 0.8 or more.
-Keys of least hash values bring candidates together, and a candidate counts only after the two texts' sets were compared.
-First each key's members are compared with one of them, which joins most groups; after that members of a
-key that are still apart are compared in tiles, each pair at one key, and only joining links leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
-from itertools import combinations, groupby
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +25,8 @@ SEED = 42
 BLOCKS, AGREE = 6, 2
 #: Members of a key that are compared in one task.
 TILE = 2048
-#: Near copies: words of a shingle; keys of a set, and least values (each of another order of the shingles)
-#: in a key. Two sets have the same least value with a chance equal to their similarity, so a pair of 0.8
-#: has no key in common with a chance of (1 - 0.8^5)^51 = 2e-9.
-NEAR_SHINGLE, NEAR_KEYS, NEAR_ROWS = 5, 51, 5
-#: Each least value also gives one of 256 bits. Pairs of 0.8 differ in 26 of them, with a deviation of 5; in more
-#: than the limit with a chance of 3e-10. Such pairs are not compared.
-NEAR_LIMIT = 59
-#: Members of a key in a chunk; the shingle sets of two chunks are in memory together.
-NEAR_TILE = 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-#: Orders of the shingles, and weights of the least values in a key.
-_TURN, _SHIFT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 256, 1), np.uint64)
-_TURN |= np.uint64(1)
-_WEIGHT = _TURN[:NEAR_ROWS, 0]
-
 
 def _masks() -> np.ndarray:
     edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
@@ -266,179 +246,17 @@ def components(docs: DataFrame, limit: int = 4, width: int = 4, words: int = 1)
     return named.select("doc_id", _hexadecimal(words).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Distinct hashes of the five-word shingles, ascending; texts without words have one of their own."""
-    hashes = np.unique(shingle_hashes(text, NEAR_SHINGLE))
-    return hashes if len(hashes) else np.zeros(1, np.uint64)
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two shingle sets have a similarity of 0.8 or more."""
-    low, high = sorted((len(a), len(b)))
-    if 5 * low < 4 * high:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * common >= 4 * (low + high - common)
-
-
-def near_marks(text: bytes) -> tuple[bytes, int, bytes, bytes]:
-    """Digest, size, 256 bits and keys of the text's shingle set."""
-    hashes = shingle_set(text)
-    least = np.full(len(_TURN), ~np.uint64(0))
-    for i in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[i : i + 1024] * _TURN + _SHIFT).min(axis=1), out=least)
-    bits = np.packbits((least * _MIX[0] >> np.uint64(63)).astype(np.uint8))
-    keys = (least[: NEAR_KEYS * NEAR_ROWS].reshape(NEAR_KEYS, NEAR_ROWS) * _WEIGHT).sum(axis=1) + np.arange(NEAR_KEYS, dtype=np.uint64)
-    keys = (keys ^ (keys >> np.uint64(31))) * _MIX[1]
-    return blake2b(hashes.tobytes(), digest_size=16).digest(), len(hashes), bits.tobytes(), keys.tobytes()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts are alike; ``texts`` has node and text."""
-
-    def compared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in stream:
-            u, v = [], []
-            for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if i != last:
-                    last, own = i, shingle_set(a)
-                if alike(own, shingle_set(b)):
-                    u.append(i)
-                    v.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    # v first: many pairs can share their u, whose text then moves once only.
-    both = pairs.join(texts.toDF("v", "b"), "v").join(texts.toDF("u", "a"), "u").select("u", "v", "a", "b")
-    return both.mapInArrow(compared, "u long, v long")
-
-
-def _plausible(size: np.ndarray, words: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether sizes and bits allow a similarity of 0.8."""
-    near = np.bitwise_count(words ^ others).sum(axis=-1, dtype=np.int64) <= NEAR_LIMIT
-    return near & (5 * np.minimum(size, sizes) >= 4 * np.maximum(size, sizes))
+def drop_copies(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
+    """The least document (by doc_id) of each component of fingerprints; all columns are kept.
 
-
-def _to_compare(i: int, key: np.uint64, size: np.ndarray, words: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Members after i of a key that i must be compared with; a pair is compared at the first key that it shares.
-
-    ``words`` has bits and keys of each member.
+    Null ids come last. Null, empty and blank texts have fingerprint zero and are one group. Of repeated
+    rows one stays. An empty table stays empty. Columns may have any names.
     """
-    rest = slice(i + 1, len(size))
-    near = _plausible(size[i], words[i, :-NEAR_KEYS], size[rest], words[rest, :-NEAR_KEYS]) & (root[rest] != root[i])
-    found = np.flatnonzero(near) + i + 1
-    same = words[found, -NEAR_KEYS:] == words[i, -NEAR_KEYS:]
-    return found[words[i, -NEAR_KEYS:][same.argmax(axis=1)] == key]
-
-
-def _apart(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Members of each (key, tile) that must be compared with one of another component."""
-    key, place, node, root, size, words = rows
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
-    wanted = np.zeros(len(key), bool)
-    for start, stop in zip(starts, np.append(starts[1:], len(key))):
-        if (root[start:stop] == root[start]).all():
-            continue
-        on = slice(start, stop)
-        for i in range(stop - start - 1):
-            others = _to_compare(i, key[start : start + 1].view(np.uint64)[0], size[on], words[on], root[on])
-            if len(others):
-                wanted[start + i] = wanted[start + others] = True
-    return _longs([c[wanted] for c in (key, place, node)], ["key", "tile", "node"])
-
-
-def _joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Edges that join the components of a tile's members; rows are (key, tile, node, root, size, words, text)."""
-    node, root, size = (np.array(c, np.int64) for c in list(zip(*rows))[2:5])
-    words = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
-    sets = [shingle_set(r[6]) for r in rows]
-    key = np.array([rows[0][0]], np.int64).view(np.uint64)[0]
-    for i in range(len(rows)):
-        for j in _to_compare(i, key, size, words, root):
-            if root[j] != root[i] and alike(sets[i], sets[j]):
-                root[root == root[j]] = root[i]
-                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
-
-
-def near_links(nodes: DataFrame, texts: DataFrame, tile: int = NEAR_TILE) -> DataFrame:
-    """u, v: edges that connect what pairs of alike texts connect.
-
-    ``nodes`` has ``node`` (long, unique), and of its shingle set ``size``, ``print`` and ``keys`` (packed);
-    ``texts`` the text of every node as bytes.
-    """
-    parts = parts_of(nodes.sparkSession)
-
-    def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            if batch.num_rows:
-                node = np.array(batch.column(0).to_pylist(), np.uint64)
-                yield _packed_keys(node, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(node), -1), parts)
-
-    def shared(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tiles, and with tile -1 each key's members beside one of them, chosen alike by all keys."""
-        key, node, size = _several(stream)
-        order = np.lexsort((node * _MIX[0], key))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        chosen = np.repeat(node[order][first], size[first])
-        pairs = np.unique(np.stack([chosen, node])[:, chosen != node], axis=1)
-        for i in range(0, pairs.shape[1], 1 << 16):
-            u, v = (np.ascontiguousarray(c[i : i + (1 << 16)]) for c in pairs)
-            yield _longs([u, np.full(len(u), -1), v], ["key", "tile", "node"])
-        yield from _tiled(key, node, size, tile)
-
-    def plausible(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
-                fits = pa.array(_plausible(batch.column(2).to_numpy(), a, batch.column(4).to_numpy(), b))
-                yield batch.select(["u", "v"]).filter(fits)
-
-    def apart(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(stream):
-            yield _apart(rows)
-
-    def rest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for batch in stream for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for _, rows in groupby(every, key=lambda row: row[:2]):
-            edges = np.array(list(_joined(list(rows))), np.int64).reshape(-1, 2)
-            yield _longs([np.ascontiguousarray(edges[:, k]) for k in (0, 1)], ["u", "v"])
-
-    packed = nodes.select("node", "keys").mapInArrow(keyed, "part int, key binary, node binary").repartition("part")
-    met = stored(packed.mapInArrow(shared, "key long, tile long, node long"), "candidates")
-    stars = met.where("tile < 0").select(F.least("key", "node").alias("u"), F.greatest("key", "node").alias("v")).distinct()
-    sets = nodes.select("node", "size", "print")
-    stars = stars.join(sets.toDF("u", "m", "a"), "u").join(sets.toDF("v", "n", "b"), "v").select("u", "v", "m", "a", "n", "b")
-    joined = stored(_verified(stored(stars.mapInArrow(plausible, "u long, v long"), "stars"), texts), "joined")
-    words = nodes.select("node", "size", F.concat("print", "keys").alias("words")).join(connected(joined), "node", "left")
-    words = stored(words.select("node", F.coalesce("root", "node").alias("root"), "size", "words"), "words")
-    tiles = met.where("tile >= 0")
-    several = tiles.join(words.select("node", "root"), "node").groupBy("key", "tile").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    tiles = tiles.join(several.where("a <> b").select("key", "tile"), ["key", "tile"], "left_semi")
-    members = _by_tile(tiles.join(words, "node").select("key", "tile", "node", "root", "size", "words"))
-    members = stored(members.mapInArrow(apart, "key long, tile long, node long"), "apart")
-    full = members.join(words, "node").join(texts, "node").select("key", "tile", "node", "root", "size", "words", "text")
-    return joined.union(_by_tile(full).mapInArrow(rest, "u long, v long"))
-
-
-def _by_tile(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The least document (by doc_id) of each group of near copies: five-word shingles, similarity 0.8 or more."""
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
-
-    def marks(texts: list) -> list[list]:
-        return [list(c) for c in zip(*(near_marks((t or "").encode()) for t in texts))] or [[], [], [], []]
-
-    numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    marked = stored(map_rows(numbered, [text], marks, "digest binary, size long, print binary, keys binary"), "marked")
-    narrow = marked.select(F.col(doc_id).alias("doc_id"), "row", "digest", "size", "print", "keys")
-    least = narrow.groupBy("digest").agg(F.min(F.struct(_place().alias("first"), "size", "print", "keys")).alias("n"))
-    nodes = stored(least.select("n.*", F.col("n.first.row").alias("node")), "nodes")
-    texts = marked.select(F.col("row").alias("node"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    kept = _least(nodes, connected(near_links(nodes, texts))).select(F.col("first.row").alias("row")).distinct()
+    marked = stored(with_prints(plain.withColumn("row", F.monotonically_increasing_id()), text, width), "marked")
+    first = grouped(marked.select(F.col(doc_id).alias("doc_id"), "row", "print"), limit)
+    kept = first.select(F.col("first.row").alias("row")).distinct()
     return marked.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
