@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from loupewright.catalog.registry import METER_NOW, NOW, query
 from loupewright.sources.session import shared_folder
-from loupewright.streaming import live, meters
+from loupewright.streaming import ledger, live, meters
 
 _DAILY = """select deviceCode as device, day, n as pulses, cast(n * exrate as bigint) as litres from (
     select l.deviceCode, cast(l.transDate as date) as day, w.exrate, count(*) as n from $water_log l
@@ -21,9 +22,9 @@ def daily_usage(t):
     return meters.daily_usage(t.water_log, t.water_limit).withColumnRenamed("deviceCode", "device")
 
 
-def _pulses(t):
+def _pulses(t, files_per_batch=None):
     """The pulse log as a stream over the event files."""
-    events = live.event_stream(t.spark, t.folder)
+    events = live.event_stream(t.spark, t.folder, files_per_batch=files_per_batch)
     code = F.concat(F.lit("WT-"), F.lpad((F.col("user_id") % 12 + 1).cast("string"), 2, "0"))
     return events.select(code.alias("deviceCode"), F.col("ts").alias("transDate"))
 
@@ -32,18 +33,40 @@ def _run_folder(t):
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _state_store(t):
+    """Keyed state needs the state store that knows several states for a key."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, live.STATE_STORE)
+    try:
+        yield
+    finally:
+        t.spark.conf.set(key, before)
+
+
+#: Part files of the event table that one batch of a replay reads.
+FILES = 1000
+
+
+def _ledger(t):
+    """deviceCode, day, pulses, from a stream that has run to the end of its input."""
+    folder = _run_folder(t)
+    with _state_store(t):
+        ledger.write_ledger(ledger.day_ledger(_pulses(t, FILES)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return ledger.ledger_totals(t.spark, f"{folder}/out")
+
+
 @query("stream_daily_usage", _DAILY)
 def stream_daily_usage(t):
-    """The stream runs to the end of its input; the latest state of each device and day is read back."""
-    folder = _run_folder(t)
-    updates = live.stream_daily_usage(_pulses(t), t.water_limit)
-    live.write_updates(updates, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    state = live.read_updates(t.spark, f"{folder}/out", updates.schema, ["deviceCode", "day"])
-    return state.withColumnRenamed("deviceCode", "device").withColumn("litres", F.col("litres").cast("bigint"))
+    """Running totals and corrections of the stream, read back and added up."""
+    counted = _ledger(t).join(t.water_limit.select("deviceCode", "exrate"), "deviceCode")
+    return counted.select(F.col("deviceCode").alias("device"), "day", "pulses", (F.col("pulses") * F.col("exrate")).alias("litres"))
 
 
+_COLUMNS = {code: f"v{code[-2:]}" for code in meters.METERS}
 _WIDE = "select cast(transDate as date) as day, " + ", ".join(
-    f"count(case when deviceCode = '{c}' then 1 end) as {n}" for c, n in meters.METER_COLUMNS.items()
+    f"count(case when deviceCode = '{c}' then 1 end) as {n}" for c, n in _COLUMNS.items()
 )
 _WIDE += " from $water_log group by 1"
 _RAW_13, _RAW_14 = "v05 - v06 - v07", "v09 + v10 - v11"
@@ -55,16 +78,11 @@ _RAW_13, _RAW_14 = "v05 - v06 - v07", "v09 + v10 - v11"
       greatest(10 * ({_RAW_14}), 0) as clamped14, {_RAW_13} as pulses13, {_RAW_14} as pulses14 from ({_WIDE}) a""",
 )
 def derived(t):
-    """The three definitions of the derived meters over the running day table of a stream."""
-    folder = _run_folder(t)
-    wide = live.stream_wide(_pulses(t))
-    live.write_updates(wide, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    state = live.read_updates(t.spark, f"{folder}/out", wide.schema, ["day"])
-    litres = state.select("day", *[(F.col(c) * 10).alias(c) for c in meters.METER_COLUMNS.values()])
-    raw = meters.with_derived(litres, clamped=False).select("day", F.col("v13").alias("raw13"), F.col("v14").alias("raw14"))
-    clamped = meters.with_derived(litres, clamped=True).select("day", F.col("v13").alias("clamped13"), F.col("v14").alias("clamped14"))
-    pulses = meters.with_derived(state, clamped=False).select("day", F.col("v13").alias("pulses13"), F.col("v14").alias("pulses14"))
-    return raw.join(clamped, "day").join(pulses, "day")
+    """The three definitions of the derived meters over the day counts of a stream."""
+    found = meters.derived_days(_ledger(t), t.water_limit, meters.formula_table(t.spark))
+    kinds = ("raw", "clamped", "pulses")
+    shown = [F.max(F.when(F.col("deviceCode") == code, F.col(kind))).alias(f"{kind}{code[-2:]}") for kind in kinds for code in meters.PLUS_MINUS]
+    return found.groupBy("day").agg(*shown)
 
 
 _LIMIT_DAYS = f"""select c.device, c.day, cast(c.n as bigint) as pulses, w.rateLimit as rate_limit from (
@@ -75,11 +93,14 @@ _LIMIT_DAYS = f"""select c.device, c.day, cast(c.n as bigint) as pulses, w.rateL
 
 @query("stream_threshold_alert", _LIMIT_DAYS)
 def threshold_alert(t):
-    """Alerts written by the stream, read back from its sink."""
+    """Alerts written by the stream, read back from its sink. The limits come in as a second stream."""
     folder = _run_folder(t)
-    limits = lambda: t.water_limit.withColumn("armed_at", F.lit(None).cast("timestamp_ntz"))
-    live.write_alerts(_pulses(t), limits, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    alerts = live.read_alerts(t.spark, f"{folder}/out")
+    t.water_limit.withColumn("armed_at", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{folder}/limits")
+    edits = t.spark.readStream.schema(t.spark.read.parquet(f"{folder}/limits").schema).parquet(f"{folder}/limits")
+    with _state_store(t):
+        alerts = ledger.alert_stream(_pulses(t), edits, meters.formula_table(t.spark))
+        ledger.write_alerts(alerts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    alerts = ledger.read_alerts(t.spark, f"{folder}/out")
     return alerts.select(F.col("deviceCode").alias("device"), "day", "pulses", F.col("rateLimit").alias("rate_limit"))
 
 
@@ -123,24 +144,20 @@ _FOLLOWED = """(select deviceCode as device, transDate as pulse,
 def offline(t):
     """All notices of the stateful stream: it reads the log, and then the passing of time after its end."""
     folder = _run_folder(t)
-    key, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    t.spark.conf.set(key, live.STATE_STORE)
-    try:
+    with _state_store(t):
         pulses = _pulses(t).unionByName(live.closing_stream(t.spark, f"{folder}/closing"))
         for ended in (False, True):
             if ended:
                 live.close_log(t.spark, f"{folder}/closing", datetime(2100, 1, 1))
             live.write_notices(live.stream_silences(pulses), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    finally:
-        t.spark.conf.set(key, before)
-    notices = t.spark.read.schema(live.NOTICE).parquet(f"{folder}/out").where("device <> ''")
+    notices = t.spark.read.schema(live.NOTICE).parquet(f"{folder}/out").where("device <> '' and notice in ('offline', 'online')")
     return notices.select("device", "notice", F.col("at").cast("timestamp_ntz").alias("noticed_at"))
 
 
 @query(
     "monthly_usage_matrix",
     "select cast(d as int) as day, "
-    + ", ".join(f"cast(coalesce({n}, 0) * 10 as bigint) as {n}" for n in meters.METER_COLUMNS.values())
+    + ", ".join(f"cast(coalesce({n}, 0) * 10 as bigint) as {n}" for n in _COLUMNS.values())
     + f""", cast(greatest(coalesce({_RAW_13}, 0) * 10, 0) as bigint) as v13, cast(greatest(coalesce({_RAW_14}, 0) * 10, 0) as bigint) as v14
     from generate_series(1, 31) g(d) left join ({_WIDE}) w on day(w.day) = d and year(w.day) = 2024 and month(w.day) = 1""",
 )
@@ -181,7 +198,7 @@ def usage_totals_all_years(t):
 @query(
     "daily_summary_row",
     "select '19/01/2024' as day, "
-    + ", ".join(f"cast(coalesce(sum(case when deviceCode = '{c}' then 10 end), 0) as bigint) as {n}" for c, n in meters.METER_COLUMNS.items())
+    + ", ".join(f"cast(coalesce(sum(case when deviceCode = '{c}' then 10 end), 0) as bigint) as {n}" for c, n in _COLUMNS.items())
     + """, cast(coalesce(sum(case when deviceCode = 'WT-05' then 10 when deviceCode in ('WT-06', 'WT-07') then -10 end), 0) as bigint) as v13,
       cast(coalesce(sum(case when deviceCode in ('WT-09', 'WT-10') then 10 when deviceCode = 'WT-11' then -10 end), 0) as bigint) as v14
     from $water_log where cast(transDate as date) = date '2024-01-19'""",

@@ -1,39 +1,41 @@
-"""The meter jobs as Structured Streaming queries.
+"""The pulse log as a stream, and notices of silent devices.
 
-Daily totals take pulses up to 30 days late, notices of silence up to an hour (the watermarks); a batch
-job over the same log counts all.
-Sinks write one folder per micro-batch and overwrite it when a batch is run again, so a restart after
-a lost executor or driver neither loses nor doubles rows.
+Notices wait an hour for late pulses (the watermark); what comes later is written beside them and
+corrects them when they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import struct
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from loupewright.sources.tables import SCHEMAS
-from loupewright.streaming.meters import SILENCE_MINUTES, counts_by_meter, daily_counts_wide
+from loupewright.streaming.meters import SILENCE_MINUTES
 
-#: How late a pulse may come: for notices of silence, and for daily totals, which keep one state row per
-#: device and day for so long.
-WATERMARK, TOTALS_OPEN = "1 hour", "30 days"
+#: How late a pulse may come before a silence is announced.
+WATERMARK = "1 hour"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_batch: int | None = None) -> DataFrame:
     """The event table, one file or a folder of part files, as a file stream.
 
-    Part files are in no order of time, so all files that are there go into one batch: a later batch
-    would lose what the watermark of an earlier one takes for late. The path is written as a pattern that only it matches: a stream takes a plain path for a folder.
+    Part files are in no order of time. Day counts take them in batches of any size; for alerts and
+    silences, which depend on what is known at a time, all files that are there are one batch. The path
+    is written as a pattern that only it matches: a stream takes a plain path for a folder.
     """
-    path = f"{folder}/[{name[0]}]{name[1:]}.parquet"
-    return spark.readStream.schema(SCHEMAS[name]).parquet(path)
+    reader = spark.readStream.schema(SCHEMAS[name])
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def stamped(pulses: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -41,85 +43,6 @@ def stamped(pulses: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return pulses.withColumn("transDate", F.col("transDate").cast("timestamp")).withWatermark("transDate", watermark)
 
 
-def stream_daily_usage(pulses: DataFrame, limits: DataFrame) -> DataFrame:
-    """Litres per device and day as a running aggregate; write it in update mode."""
-    counted = stamped(pulses, TOTALS_OPEN).groupBy(F.window("transDate", "1 day").alias("_day"), "deviceCode").agg(
-        F.count(F.lit(1)).alias("pulses")
-    )
-    rates = limits.select("deviceCode", "exrate")
-    return counted.join(rates, "deviceCode").select(
-        "deviceCode", F.to_date(F.col("_day.start")).alias("day"), "pulses", (F.col("pulses") * F.col("exrate")).alias("litres")
-    )
-
-
-def stream_wide(pulses: DataFrame) -> DataFrame:
-    """Pulses per day with one column per meter, as a running aggregate: one state row per day."""
-    wide = daily_counts_wide(stamped(pulses, TOTALS_OPEN), F.window("transDate", "1 day"))
-    return wide.withColumn("day", F.to_date(F.col("day.start")))
-
-
-def write_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of updated rows to its own folder and stop when the input is read."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).foreachBatch(write).start()
-
-
-def read_updates(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """The latest state of each key that :func:`write_updates` wrote."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    rest = [f.name for f in schema.fields if f.name not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
-    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
-
-
-ALERT = T.StructType(
-    [
-        T.StructField("deviceCode", T.StringType()),
-        T.StructField("day", T.DateType()),
-        T.StructField("armed_at", T.TimestampNTZType()),
-        T.StructField("pulses", T.LongType()),
-        T.StructField("position", T.StringType()),
-        T.StructField("rateLimit", T.IntegerType()),
-    ]
-)
-
-
-def alert_rows(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """Meters whose count of a day has reached the limit. ``armed_at`` is when the limit was last edited."""
-    due = counts.join(limits, "deviceCode").where(F.col("pulses") * F.col("exrate") >= F.col("rateLimit"))
-    return due.select([F.col(f.name).cast(f.dataType) for f in ALERT.fields])
-
-
-def write_alerts(pulses: DataFrame, limits: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Alert once per meter and day, also for derived meters; an edited limit can alert again.
-
-    The alerts already written are the memory: each batch leaves out those of earlier batches. Limits
-    are read anew for each batch, so an edit takes effect in a running query.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        due = alert_rows(counts_by_meter(batch, "day"), limits())
-        if number > 0:
-            earlier = batch.sparkSession.read.schema(
-                T.StructType([*ALERT.fields, T.StructField("batch", T.LongType())])
-            ).parquet(path)
-            known = earlier.where(F.col("batch") < number).select("deviceCode", "day", "armed_at")
-            same = [due[c].eqNullSafe(known[c]) for c in ("deviceCode", "day", "armed_at")]
-            due = due.join(known, same[0] & same[1] & same[2], "left_anti")
-        due.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = stream_wide(pulses).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).foreachBatch(write).start()
-
-
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ALERT).parquet(path)
-
-
 NOTICE = T.StructType(
     [
         T.StructField("device", T.StringType()),
@@ -130,58 +53,97 @@ NOTICE = T.StructType(
 
 
 class SilenceWatch(StatefulProcessor):
-    """Per device: the last pulse, and whether its silence was already announced.
+    """Per device: slots that may still grow, the last pulse before them, and whether its silence was announced.
 
-    Input is one row per device and slot of the silence length, so a busy device sends few rows here.
+    Input is one row per device, slot of the silence length and Arrow batch, so a busy device sends few
+    rows here. A slot counts when the watermark has passed it. What comes later than that is given out
+    as ``late``, and the first pulse of a device as ``first``: with both, :func:`corrected_silences`
+    restores what a job over the whole log finds.
     """
 
     def __init__(self, minutes: int = SILENCE_MINUTES):
-        self.minutes = minutes
+        self.gap = minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("silence", "last_ms bigint, offline boolean")
-
-    def _rows(self, device: str, notices: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
-        if not notices:
-            return
-        yield pd.DataFrame(
-            {
-                "device": [device] * len(notices),
-                "notice": [kind for kind, _ in notices],
-                "at": pd.to_datetime([ms for _, ms in notices], unit="us"),
-            }
-        )
+        # The open slots are one packed value: (slot, first, last) each, read and written at once.
+        self.state = handle.getValueState("silence", "last_us bigint, offline boolean, slots binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        gap = self.minutes * 60_000_000
-        last, offline = self.state.get() if self.state.exists() else (None, False)
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
         notices: list[tuple[str, int]] = []
-        slots = pd.concat(list(rows)).sort_values("first_us")
-        for first, final in zip(slots["first_us"], slots["last_us"]):
-            if last is not None and not offline and first - last >= gap:
+        new: dict[int, tuple[int, int]] = {}
+        for frame in rows:
+            for slot, first, last in zip(frame["slot"], frame["first_us"], frame["last_us"]):
+                if first < reached:
+                    notices.append(("late", int(first)))
+                    if last < reached:
+                        if last > first:
+                            notices.append(("late", int(last)))
+                        continue
+                    first = last
+                known = new.get(int(slot), (first, last))
+                new[int(slot)] = int(min(first, known[0])), int(max(last, known[1]))
+        yield from self._advance(key, reached, notices, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [], {})
+
+    def _advance(
+        self, key, reached: int, notices: list[tuple[str, int]], new: dict[int, tuple[int, int]]
+    ) -> Iterator[pd.DataFrame]:
+        """Notices of all that the watermark has passed; one timer for what comes next."""
+        last, offline, packed = self.state.get() if self.state.exists() else (None, False, b"")
+        open_slots = {slot: (first, final) for slot, first, final in struct.iter_unpack("<3q", packed)}
+        for slot, (first, final) in new.items():
+            known = open_slots.get(slot, (first, final))
+            open_slots[slot] = min(first, known[0]), max(final, known[1])
+        slots = sorted((first, final, slot) for slot, (first, final) in open_slots.items())
+        done = [s for s in slots if (s[2] + 1) * self.gap <= reached]
+        for first, final, _ in done:
+            if last is None:
+                notices.append(("first", first))
+            elif not offline and first - last >= self.gap:
                 notices.append(("offline", last))
                 offline = True
             if offline:
-                notices.append(("online", int(first)))
-            last, offline = int(final), False
-        self.state.update((last, offline))
+                notices.append(("online", first))
+            last, offline = final, False
+        waiting = slots[len(done) :]
+        if last is not None and not offline and reached >= last + self.gap and (not waiting or waiting[0][0] - last >= self.gap):
+            notices.append(("offline", last))
+            offline = True
+        self.state.update((last, offline, b"".join(struct.pack("<3q", slot, first, final) for first, final, slot in waiting)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # A later pulse inside the gap lies in the next slot, which is complete two gaps after this one.
-        self.handle.registerTimer(last // 1000 + 2 * self.minutes * 60_000)
-        yield from self._rows(key[0], notices)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, offline = self.state.get()
-        if not offline:
-            self.state.update((last, True))
-            yield from self._rows(key[0], [("offline", last)])
+        following = [(waiting[0][2] + 1) * self.gap] if waiting else []
+        if last is not None and not offline and last + self.gap > reached:  # a timer of the past would fire without end
+            following.append(last + self.gap)
+        if following:
+            self.handle.registerTimer(-(-min(following) // 1000))
+        if notices:
+            yield pd.DataFrame({"device": [key[0]] * len(notices), "notice": [kind for kind, _ in notices],
+                                "at": pd.to_datetime([us for _, us in notices], unit="us")})
 
     def close(self) -> None:
         pass
 
 
+def slot_ends(pulses: DataFrame, minutes: int = SILENCE_MINUTES) -> DataFrame:
+    """deviceCode, slot, first_us, last_us: the ends of each slot in each Arrow batch, without a shuffle."""
+    gap = minutes * 60_000_000
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table({"deviceCode": batch.column(0), "us": batch.column(1)}).drop_null()
+            slot = pa.array(rows["us"].to_numpy() // gap, pa.int64())
+            found = rows.append_column("slot", slot).group_by(["deviceCode", "slot"]).aggregate([("us", "min"), ("us", "max")])
+            yield from found.rename_columns(["deviceCode", "slot", "first_us", "last_us"]).to_batches()
+
+    times = pulses.select("deviceCode", F.unix_micros("transDate").alias("us"))
+    return times.mapInArrow(ends, "deviceCode string, slot long, first_us long, last_us long")
+
+
 CLOSING = T.StructType([T.StructField("deviceCode", T.StringType()), T.StructField("transDate", T.TimestampNTZType())])
 
 
@@ -203,19 +165,27 @@ def close_log(spark: SparkSession, folder: str, after: datetime) -> None:
 
 
 def stream_silences(pulses: DataFrame, minutes: int = SILENCE_MINUTES) -> DataFrame:
-    """Offline and online notices of each device; write it in append mode."""
-    slot = F.window("transDate", f"{minutes} minutes")
-    slots = (
-        stamped(pulses)
-        .groupBy(slot.alias("_slot"), "deviceCode")
-        .agg(F.min("transDate").alias("_first"), F.max("transDate").alias("_last"))
-        .select("deviceCode", "_slot", F.unix_micros("_first").alias("first_us"), F.unix_micros("_last").alias("last_us"))
-    )
-    return slots.groupBy("deviceCode").transformWithStateInPandas(
+    """Notices of each device: offline, online, and for corrections first and late; write it in append mode."""
+    return slot_ends(stamped(pulses), minutes).groupBy("deviceCode").transformWithStateInPandas(
         SilenceWatch(minutes), outputStructType=NOTICE, outputMode="Append", timeMode="EventTime"
     )
 
 
+def corrected_silences(notices: DataFrame, minutes: int = SILENCE_MINUTES) -> DataFrame:
+    """device, silent_since, back_at (null while silent): the notices with what late pulses change.
+
+    A late pulse splits the silence in which it falls, or comes before the first pulse known; one in a
+    time of pulses changes nothing. Windows see notices and late pulses only, one device at a time.
+    """
+    points = notices.withColumn("_rank", F.when(F.col("notice") == "late", 0).when(F.col("notice") == "offline", 1).otherwise(2))
+    in_order = Window.partitionBy("device").orderBy("at", "_rank")
+    marker = F.last(F.when(F.col("notice") != "late", F.col("notice")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    silent = points.withColumn("_silent", F.coalesce(marker, F.lit("offline")) == "offline")
+    paired = silent.where("_silent or notice in ('first', 'online')").withColumn("back_at", F.lead("at").over(in_order))
+    long_enough = F.col("back_at").isNull() | (F.unix_micros("back_at") - F.unix_micros("at") >= minutes * 60_000_000)
+    return paired.where(F.col("_silent") & long_enough).select("device", F.col("at").alias("silent_since"), "back_at")
+
+
 def write_notices(notices: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append notices to a parquet dataset and stop when the input is read."""
     writer = notices.writeStream.outputMode("append").option("checkpointLocation", checkpoint)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loupewright.functions.dates import moment, month_start
@@ -26,24 +26,35 @@ PLUS_MINUS = {
 }
 SILENCE_MINUTES = 25
 
-METER_COLUMNS = {code: f"v{code[-2:]}" for code in METERS}
+#: The same as rows (meter, derived meter, factor).
+FORMULAS = [(m, code, f) for code, (plus, minus) in PLUS_MINUS.items() for f, some in ((1, plus), (-1, minus)) for m in some]
+FORMULA = "meter string, deviceCode string, factor int"
 
 
-def _derived(code: str, value=lambda m: F.col(METER_COLUMNS[m])) -> Column:
-    """Sum and difference of the meters that make up a derived one."""
-    plus, minus = PLUS_MINUS[code]
-    total = value(plus[0])
-    for m in plus[1:]:
-        total = total + value(m)
-    for m in minus:
-        total = total - value(m)
-    return total
+def formula_table(spark: SparkSession) -> DataFrame:
+    """The derived meters of the factory. Any table of these columns serves: more meters, other factors."""
+    return spark.createDataFrame(FORMULAS, FORMULA)
 
 
-def with_derived(usage: DataFrame, clamped: bool) -> DataFrame:
-    """Add the derived meters to a wide usage table, raw or with negative values as 0."""
-    finish = clamp_at_zero if clamped else (lambda c: c)
-    return usage.withColumns({f"v{code[-2:]}": finish(_derived(code)) for code in PLUS_MINUS})
+def with_targets(usage: DataFrame, formulas: DataFrame, *values: str) -> DataFrame:
+    """Add the rows of derived meters: the sums of their meters' values times the factors.
+
+    ``usage`` has deviceCode, the values, and other columns as keys, each key once. A derived meter gets
+    a row where any of its meters has one; rows that ``usage`` has for it are left out.
+    """
+    keys = [c for c in usage.columns if c not in values and c != "deviceCode"]
+    shares = usage.withColumnRenamed("deviceCode", "meter").join(formulas, "meter")
+    derived = shares.groupBy("deviceCode", *keys).agg(*[F.sum(F.col(v) * F.col("factor")).alias(v) for v in values])
+    own = usage.join(formulas.select("deviceCode").distinct(), "deviceCode", "left_anti")
+    return own.select(*usage.columns).union(derived.select(*usage.columns))
+
+
+def meter_columns(limits: DataFrame, formulas: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """Column names by code, of the plain and of the derived meters. Meters are few: one row and column each."""
+    derived = {r[0] for r in formulas.select("deviceCode").distinct().collect()}
+    codes = sorted({r[0] for r in limits.select("deviceCode").distinct().collect()} | derived | {r[0] for r in formulas.select("meter").distinct().collect()})
+    name = lambda code: f"v{code.rsplit('-', 1)[-1]}"
+    return {c: name(c) for c in codes if c not in derived}, {c: name(c) for c in codes if c in derived}
 
 
 def daily_usage(log: DataFrame, limits: DataFrame) -> DataFrame:
@@ -53,54 +64,45 @@ def daily_usage(log: DataFrame, limits: DataFrame) -> DataFrame:
     return counted.join(rates, "deviceCode").withColumn("litres", F.col("pulses") * F.col("exrate")).drop("exrate")
 
 
-def daily_counts_wide(log: DataFrame, day: Column) -> DataFrame:
-    """Pulses per day, one column per meter. Also usable on a stream, with a window as ``day``."""
-    return log.groupBy(day.alias("day")).agg(
-        *[count_where(F.col("deviceCode") == code).alias(name) for code, name in METER_COLUMNS.items()]
-    )
-
-
-def counts_by_meter(wide: DataFrame, *keys: str) -> DataFrame:
-    """Wide daily counts as rows, with the derived meters as differences of pulse counts."""
-    full = wide.withColumns({f"v{code[-2:]}": _derived(code) for code in PLUS_MINUS})
-    codes = [*METERS, *PLUS_MINUS]
-    entries = [F.struct(F.lit(c).alias("deviceCode"), F.col(f"v{c[-2:]}").alias("pulses")) for c in codes]
-    return full.select(*keys, F.explode(F.array(*entries)).alias("m")).select(*keys, "m.deviceCode", "m.pulses")
+def wide_usage(usage: DataFrame, limits: DataFrame, formulas: DataFrame, keys: list[str], value: str, clamped: bool) -> DataFrame:
+    """One column per meter, plain and derived, 0 for gaps; derived ones raw, or with negative values as 0."""
+    plain, derived = meter_columns(limits, formulas)
+    finish = clamp_at_zero if clamped else (lambda c: c)
+    wide = pivot_zero(with_targets(usage, formulas, value), keys, "deviceCode", {**plain, **derived}, value)
+    return wide.select(*keys, *plain.values(), *[finish(F.col(c)).alias(c) for c in derived.values()])
 
 
-def month_matrix(log: DataFrame, limits: DataFrame, year: int, month: int) -> DataFrame:
-    """Day of month by meter in litres, all days and both derived meters, which are not below 0."""
+def month_matrix(log: DataFrame, limits: DataFrame, year: int, month: int, formulas: DataFrame | None = None) -> DataFrame:
+    """Day of month by meter in litres, all days and all derived meters, which are not below 0."""
+    formulas = formula_table(log.sparkSession) if formulas is None else formulas
     first = month_start(year, month)
     last = date(year + month // 12, month % 12 + 1, 1)
     stamp = F.col("transDate")
     rows = log.where((stamp >= moment(first).cast("timestamp_ntz")) & (stamp < moment(last).cast("timestamp_ntz")))
-    usage = daily_usage(rows, limits).withColumn("day", F.day("day"))
-    wide = pivot_zero(usage, ["day"], "deviceCode", METER_COLUMNS, "litres")
+    usage = daily_usage(rows, limits).withColumn("day", F.day("day")).drop("pulses")
+    wide = wide_usage(usage, limits, formulas, ["day"], "litres", clamped=True)
     days = day_series(log.sparkSession, year, month)
-    filled = left_default(days, wide, ["day"], dict.fromkeys(METER_COLUMNS.values(), 0))
-    return with_derived(filled, clamped=True)
+    return left_default(days, wide, ["day"], {c: 0 for c in wide.columns if c != "day"})
 
 
-def daily_summary(log: DataFrame, limits: DataFrame, as_of: datetime) -> DataFrame:
+def daily_summary(log: DataFrame, limits: DataFrame, as_of: datetime, formulas: DataFrame | None = None) -> DataFrame:
     """One row with the usage of every meter on the day before, derived meters not clamped."""
+    formulas = formula_table(log.sparkSession) if formulas is None else formulas
     yesterday = date.fromordinal(as_of.date().toordinal() - 1)
-    usage = daily_usage(log.where(date_between(F.col("transDate"), yesterday, yesterday)), limits)
-    wide = usage.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("deviceCode") == code, F.col("litres"))), F.lit(0)).alias(name)
-            for code, name in METER_COLUMNS.items()
-        ]
-    )
+    usage = daily_usage(log.where(date_between(F.col("transDate"), yesterday, yesterday)), limits).drop("day", "pulses")
     shown = F.date_format(F.lit(yesterday), "dd/MM/yyyy").alias("day")
-    return with_derived(wide, clamped=False).select(shown, "*")
+    return wide_usage(usage, limits, formulas, [], "litres", clamped=False).select(shown, "*")
 
 
-def usage_totals(log: DataFrame, limits: DataFrame, as_of: date, same_year: bool = True) -> DataFrame:
+def usage_totals(
+    log: DataFrame, limits: DataFrame, as_of: date, same_year: bool = True, formulas: DataFrame | None = None
+) -> DataFrame:
     """Each meter's usage of the day and the month, and when it was last seen.
 
     Derived meters are differences of pulse counts times their own rate, not below 0. With
     ``same_year`` off, the day of the year and the month of all years are added up.
     """
+    formulas = formula_table(log.sparkSession) if formulas is None else formulas
     stamp = F.col("transDate")
     if same_year:
         in_day = date_between(stamp, as_of, as_of)
@@ -109,25 +111,9 @@ def usage_totals(log: DataFrame, limits: DataFrame, as_of: date, same_year: bool
     else:
         in_day = F.dayofyear(stamp) == as_of.timetuple().tm_yday
         in_month = F.month(stamp) == as_of.month
-    totals = log.where(~F.col("deviceCode").isin(*PLUS_MINUS)).groupBy("deviceCode").agg(
-        count_where(in_day).alias("day_pulses"), count_where(in_month).alias("month_pulses"), F.max(stamp).alias("last_seen")
-    )
-    # One row per meter from here on, which the differences then combine.
-    shares = []
-    for code, (plus, minus) in PLUS_MINUS.items():
-        sign = F.when(F.col("deviceCode").isin(*plus), 1).when(F.col("deviceCode").isin(*minus), -1)
-        shares.append(F.struct(F.lit(code).alias("deviceCode"), sign.alias("sign")))
-    own = F.struct(F.col("deviceCode"), F.lit(1).alias("sign"))
-    spread = totals.select(F.explode(F.array(own, *shares)).alias("m"), "day_pulses", "month_pulses", "last_seen")
-    combined = (
-        spread.where(F.col("m.sign").isNotNull())
-        .groupBy(F.col("m.deviceCode").alias("deviceCode"))
-        .agg(
-            F.sum(F.col("m.sign") * F.col("day_pulses")).alias("day_pulses"),
-            F.sum(F.col("m.sign") * F.col("month_pulses")).alias("month_pulses"),
-            F.max(F.when(~F.col("m.deviceCode").isin(*PLUS_MINUS), F.col("last_seen"))).alias("last_seen"),
-        )
-    )
+    totals = log.groupBy("deviceCode").agg(count_where(in_day).alias("day_pulses"), count_where(in_month).alias("month_pulses"))
+    seen = log.groupBy("deviceCode").agg(F.max(stamp).alias("last_seen"))
+    combined = with_targets(totals, formulas, "day_pulses", "month_pulses").join(seen, "deviceCode", "left")
     rows = left_default(limits, combined, ["deviceCode"], {"day_pulses": 0, "month_pulses": 0})
     litres = lambda c: clamp_at_zero(F.col(c)) * F.col("exrate")
     return rows.select(
@@ -176,13 +162,27 @@ def limit_alerts(log: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def derived_limit_days(log: DataFrame, limits: DataFrame) -> DataFrame:
+def derived_limit_days(log: DataFrame, limits: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
     """Days on which a meter, also a derived one, reached its limit."""
-    counts = counts_by_meter(daily_counts_wide(log, F.to_date("transDate")), "day")
-    rows = counts.join(limits, "deviceCode").where(F.col("pulses") * F.col("exrate") >= F.col("rateLimit"))
+    formulas = formula_table(log.sparkSession) if formulas is None else formulas
+    daily = log.groupBy("deviceCode", F.to_date("transDate").alias("day")).agg(F.count(F.lit(1)).alias("pulses"))
+    rows = with_targets(daily, formulas, "pulses").join(limits, "deviceCode").where(F.col("pulses") * F.col("exrate") >= F.col("rateLimit"))
     return rows.select(F.col("deviceCode").alias("device"), "day", "pulses", F.col("rateLimit").alias("rate_limit"))
 
 
+def derived_days(daily: DataFrame, limits: DataFrame, formulas: DataFrame) -> DataFrame:
+    """deviceCode, day, raw, clamped (litres by the meters' own rates), pulses: each derived meter by day.
+
+    ``daily`` has deviceCode, day and pulses. A day on which any meter sent pulses has a row for each.
+    """
+    litres = daily.join(limits.select("deviceCode", "exrate"), "deviceCode").withColumn("litres", F.col("pulses") * F.col("exrate"))
+    derived = with_targets(litres.drop("exrate"), formulas, "pulses", "litres")
+    codes = F.array_sort(F.collect_set("deviceCode")).alias("_codes")
+    every = daily.select("day").distinct().join(F.broadcast(formulas.agg(codes)), how="cross").select("day", F.explode("_codes").alias("deviceCode"))
+    filled = left_default(every, derived, ["deviceCode", "day"], {"pulses": 0, "litres": 0})
+    return filled.select("deviceCode", "day", F.col("litres").alias("raw"), clamp_at_zero(F.col("litres")).alias("clamped"), "pulses")
+
+
 def silences(log: DataFrame, as_of: datetime, minutes: int = SILENCE_MINUTES) -> DataFrame:
     """Times a device was silent for at least ``minutes``; still silent at ``as_of`` when ``back_at`` is NULL.
 
