@@ -177,7 +177,7 @@ def corrected_silences(notices: DataFrame, minutes: int = SILENCE_MINUTES) -> Da
     A late pulse splits the silence in which it falls, or comes before the first pulse known; one in a
     time of pulses changes nothing. Windows see notices and late pulses only, one device at a time.
     """
-    points = notices.withColumn("_rank", F.when(F.col("notice") == "late", 0).when(F.col("notice") == "offline", 1).otherwise(2))
+    points = notices.withColumn("_rank", F.when(F.col("notice") == "late", 0).when(F.col("notice") != "offline", 1).otherwise(2))
     in_order = Window.partitionBy("device").orderBy("at", "_rank")
     marker = F.last(F.when(F.col("notice") != "late", F.col("notice")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     silent = points.withColumn("_silent", F.coalesce(marker, F.lit("offline")) == "offline")
