@@ -20,7 +20,8 @@ from loupewright.operators.joins import left_default, restrict
 from loupewright.operators.nesting import children_text, column_to_array, nest
 from loupewright.operators.ranked import number_rows
 from loupewright.sources.session import shared_folder
-from loupewright.sources.sinks import append_history, document_column, read_history
+from loupewright.sources.ledgers import append_history, read_history
+from loupewright.sources.sinks import document_column
 
 _LIVE = "o.Status = '2' and left(o.OrderNumber, 3) = 'CH-' and left(o.OrderNumber, 5) <> 'CH-M-'"
 _LIVE_NO_TEST = _LIVE + " and left(o.OrderNumber, 7) <> 'CH-TEST'"
@@ -43,18 +44,12 @@ def scan_table(t):
 )
 def bundle(t):
     base = t.orders.where(flt.date_between(F.col("o_orderdate"), date(1998, 1, 1), date(1998, 12, 31)))
-    count = F.count(F.lit(1)).alias("n")
-    parts = report_bundle(
-        base,
-        {
-            "total": lambda b: b.agg(count).select(F.lit("").alias("code"), "n"),
-            "status": lambda b: b.groupBy(F.col("o_orderstatus").alias("code")).agg(count),
-            "priority": lambda b: b.groupBy(F.col("o_orderpriority").alias("code")).agg(count),
-            "month": lambda b: b.groupBy(F.date_format("o_orderdate", "MM").alias("code")).agg(count),
-        },
+    base = base.select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "MM").alias("month")
     )
-    tagged = [frame.select(F.lit(name).alias("part"), "code", "n") for name, frame in parts.items()]
-    return tagged[0].union(tagged[1]).union(tagged[2]).union(tagged[3])
+    parts = {"total": [], "status": ["status"], "priority": ["priority"], "month": ["month"]}
+    found = report_bundle(base, parts, {"n": F.count(F.lit(1))})
+    return found.select("part", F.coalesce("status", "priority", "month", F.lit("")).alias("code"), "n")
 
 
 @query(
@@ -98,18 +93,21 @@ def json_documents(t):
 @query(
     "append_history",
     """select cast(date_trunc('month', HistoryDate) as date) as HistoryMonth, HistoryTypeCode as type_code, count(*) as n,
-      cast(sum(Qty) as bigint) as qty, max(HistoryDate) as last_date
-    from $purchase_history group by 1, 2""",
+      cast(sum(Qty) as bigint) as qty, max(HistoryDate) as last_date, cast(sum(sequence) as bigint) as sequences
+    from (select *, row_number() over (partition by OrderNumber order by HistoryTypeCode, HistoryDate, MP_ItemNo, InvCode, EmpCode, Qty) as sequence
+      from $purchase_history) numbered group by 1, 2""",
 )
 def history(t):
-    """The history is appended in two batches to a new folder, read back, and counted."""
+    """The history is appended in two batches, the first of them twice, to a new folder, read back, and counted."""
     path = f"{shared_folder(t.spark)}/history-{uuid.uuid4().hex}"
     rows = t.purchase_history.withColumn("HistoryMonth", F.trunc("HistoryDate", "month"))
-    for type_code in ("03", "05"):
-        append_history(rows.where(F.col("HistoryTypeCode") == type_code), path, "HistoryMonth")
+    order = ["HistoryDate", "MP_ItemNo", "InvCode", "EmpCode", "Qty"]
+    for type_code in ("03", "03", "05"):
+        batch = rows.where(F.col("HistoryTypeCode") == type_code)
+        append_history(batch, path, f"type {type_code}", ["OrderNumber"], order, "HistoryMonth")
     back = read_history(t.spark, path, rows.schema)
     return back.groupBy("HistoryMonth", F.col("HistoryTypeCode").alias("type_code")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("Qty").alias("qty"), F.max("HistoryDate").alias("last_date")
+        F.count(F.lit(1)).alias("n"), F.sum("Qty").alias("qty"), F.max("HistoryDate").alias("last_date"), F.sum("sequence").alias("sequences")
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loupewright.catalog.registry import query
 from loupewright.operators import changes as C
 from loupewright.operators.nesting import nest
+from loupewright.sources.session import shared_folder
 
 
 
@@ -223,6 +226,28 @@ def document_numbers(t):
     return numbered.select(F.col("BillID").alias("bill_id"), "document")
 
 
+@query(
+    "assign_document_numbers_parallel",
+    """select * from (with d as (select BillID, DocPrefix, Status, JobDate from $repair_document),
+    used as (select DocPrefix, max(BillID % 1000) as n from d where Status = '3' group by 1),
+    numbered as (select d.BillID, d.DocPrefix, cast(coalesce(u.n, 0) + row_number() over (partition by d.DocPrefix order by d.Status, d.JobDate, d.BillID) as string) as x
+      from d left join used u on d.DocPrefix = u.DocPrefix where d.Status <> '3')
+    select BillID as bill_id, DocPrefix || lpad(x, cast(greatest(5, length(x)) as int), '0') as document from numbered) z""",
+)
+def document_numbers_parallel(t):
+    """A batch for each status but the last, which reserve their numbers in a ledger; the first one is run again."""
+    path = f"{shared_folder(t.spark)}/numbers-{uuid.uuid4().hex}"
+    documents = t.repair_document.select("BillID", "DocPrefix", "Status", "JobDate")
+    old = documents.where(F.col("Status") == "3").select(
+        "DocPrefix", F.concat("DocPrefix", F.lpad((F.col("BillID") % 1000).cast("string"), 5, "0")).alias("document")
+    )
+    batches = {}
+    for status in ("0", "1", "2", "0"):
+        new = documents.where(F.col("Status") == status)
+        batches[status] = C.number_documents(new, path, f"status {status}", "DocPrefix", ["JobDate", "BillID"], 5, old)
+    return batches["0"].union(batches["1"]).union(batches["2"]).select(F.col("BillID").alias("bill_id"), "document")
+
+
 @query(
     "explode_document",
     """select * from (with i as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as item_no,

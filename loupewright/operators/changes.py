@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loupewright.operators.joins import left_default
 from loupewright.operators.ranked import number_rows
+from loupewright.sources.ledgers import Numbers, numbered_once
 
 # States of a repair bill.
 REPAIRING, SENT_BACK, FINISHED = "1", "2", "3"
@@ -167,6 +168,33 @@ def assign_numbers(
     return numbered.withColumn(name, F.concat(F.col(prefix), padded)).drop("_n", "_max")
 
 
+def number_documents(
+    new: DataFrame,
+    path: str,
+    batch: str,
+    prefix: str,
+    order: Sequence[str | Column],
+    width: int,
+    existing: DataFrame | None = None,
+    document: str = "document",
+    name: str = "document",
+) -> DataFrame:
+    """Number a batch of documents, per prefix, safe beside other batches that do so at the same time.
+
+    Each batch reserves a block of numbers per prefix in the ledger under ``path``; run again it gets
+    the same. ``existing`` documents are taken into account when the ledger is new.
+    """
+    if existing is not None:
+        digits = F.col(document).substr(F.length(F.col(prefix)) + 1, F.length(F.col(document))).cast("bigint")
+        keys = T.StructType([new.schema[prefix]])
+        used = existing.groupBy(prefix).agg(F.max(digits).alias("count"))
+        Numbers(new.sparkSession, path, keys).reserve(used, "documents before the ledger")
+    numbered = numbered_once(new, path, batch, [prefix], order, "_n")
+    text = F.col("_n").cast("string")
+    padded = F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+    return numbered.withColumn(name, F.concat(F.col(prefix), padded)).drop("_n")
+
+
 #: A repair document as it comes in: header, items, reasons of each item.
 DOCUMENT = T.StructType(
     [

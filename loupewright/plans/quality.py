@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loupewright.functions import labels as L
 from loupewright.functions.dates import days_until, shift_hours
 from loupewright.functions.text import display_name, picture_url
+from loupewright.operators.bundle import report_bundle
 from loupewright.operators.filters import contains_text, date_between, in_padded, live_orders, open_or_between
 from loupewright.operators.joins import cum_upto, latest, left_default, restrict, role_join
 from loupewright.operators.nesting import nest, nest_many, row_span
@@ -423,41 +424,49 @@ def factory_to_qa(
     qa_finish_detail: DataFrame,
     bill_from: date,
     bill_to: date,
-) -> dict[str, DataFrame]:
-    """Four related results for a date range.
+) -> DataFrame:
+    """Four related results for a date range, told apart by ``part``: daily, orders, line_chart, passed.
 
-    ``daily`` has one row per order and bill day. It is small against the bills, and the base of
-    ``orders`` and ``line_chart``. An order's quantity counts once per day on which it sent a bill.
+    ``daily`` has one row per order and bill day; ``orders`` and ``line_chart`` are sums of it, made in
+    the same pass. An order's quantity counts once per day on which it sent a bill; orders without items
+    are in ``daily`` only.
     """
-    of_orders = lambda facts: facts.join(orders.select("OrderNumber"), "OrderNumber", "left_semi")
-    bills = of_orders(qa_bill_master.where(date_between(F.col("billDate"), bill_from, bill_to)))
-    order_detail, qa_finish_master = of_orders(order_detail), of_orders(qa_finish_master)
     keyed = orders.select("OrderNumber", F.col("ProductionTeam").alias("team"), F.col("CusStatus").alias("sales_team"))
+    # Joining the wanted orders first restricts the facts and brings the columns to group by.
     daily = (
-        bills.select("qaBill_ID", "OrderNumber", F.to_date("billDate").alias("day"))
+        qa_bill_master.where(date_between(F.col("billDate"), bill_from, bill_to))
+        .select("qaBill_ID", "OrderNumber", F.to_date("billDate").alias("day"))
+        .join(keyed, "OrderNumber")
         .join(qa_bill_detail.select("qaBill_ID", "Qty"), "qaBill_ID")
-        .groupBy("OrderNumber", "day")
+        .groupBy("OrderNumber", "day", "team", "sales_team")
         .agg(F.sum("Qty").alias("qty"))
-        .join(keyed, "OrderNumber")
     )
-    ordered = order_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("total_qty"))
-    sent = daily.join(ordered, "OrderNumber")
-    per_order = sent.groupBy("OrderNumber", "team").agg(F.sum("qty").alias("qty"), F.max("total_qty").alias("total_qty"))
-    line_chart = sent.groupBy("day", "team").agg(F.sum("total_qty").alias("total_qty"))
+    ordered = order_detail.join(orders.select("OrderNumber"), "OrderNumber", "left_semi").groupBy("OrderNumber").agg(F.sum("Qty").alias("total"))
+    sent = report_bundle(
+        daily.join(ordered, "OrderNumber", "left"),
+        {"daily": ["OrderNumber", "team", "sales_team", "day"], "orders": ["OrderNumber", "team"], "line_chart": ["team", "day"]},
+        {"qty": F.sum("qty"), "_known": F.count("total"), "_once": F.max("total"), "_daily": F.sum("total")},
+    )
+    is_part = lambda name: F.col("part") == name
+    sent = sent.where(is_part("daily") | (F.col("_known") > 0)).select(
+        "part", "OrderNumber", "team", "sales_team", "day",
+        F.when(~is_part("line_chart"), F.col("qty")).alias("qty"),
+        F.when(is_part("orders"), F.col("_once")).when(is_part("line_chart"), F.col("_daily")).alias("total_qty"),
+    )
     folded = F.col("sales_team")
     for source, target in FOLDED_TEAM.items():
         folded = F.when(F.col("sales_team") == source, F.lit(target)).otherwise(folded)
+    nothing = lambda column: F.lit(None).cast(sent.schema[column].dataType).alias(column)
     passed = (
         qa_finish_master.where(date_between(F.col("finishDate"), bill_from, bill_to))
         .select("qaFinish_ID", "OrderNumber", F.to_date("finishDate").alias("day"))
-        .join(qa_finish_detail.select("qaFinish_ID", "Qty"), "qaFinish_ID")
-        .groupBy("OrderNumber", "day")
-        .agg(F.sum("Qty").alias("qty"))
         .join(keyed, "OrderNumber")
+        .join(qa_finish_detail.select("qaFinish_ID", "Qty"), "qaFinish_ID")
         .groupBy("day", folded.alias("sales_team"))
-        .agg(F.sum("qty").alias("qty"))
+        .agg(F.sum("Qty").alias("qty"))
+        .select(F.lit("passed").alias("part"), nothing("OrderNumber"), nothing("team"), "sales_team", "day", "qty", nothing("total_qty"))
     )
-    return {"daily": daily, "orders": per_order, "line_chart": line_chart, "passed": passed}
+    return sent.union(passed)
 
 
 def factory_to_qa_day(

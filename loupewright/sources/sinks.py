@@ -1,10 +1,10 @@
-"""Writers: nested JSON documents and append-only histories."""
+"""Writers of nested JSON documents. Histories are in :mod:`loupewright.sources.ledgers`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,16 +16,3 @@ def document_column(df: DataFrame, keys: Sequence[str], name: str = "document")
 def to_documents(df: DataFrame, path: str) -> None:
     """Write one JSON document per row, split over as many files as the data has partitions."""
     df.write.mode("overwrite").json(path)
-
-
-def append_history(rows: DataFrame, path: str, partition_by: str) -> None:
-    """Append history rows to a parquet dataset partitioned by the history date.
-
-    Rows are clustered on the partition column first, so each task writes few files. The rebalance
-    hint lets adaptive execution split a date that holds most of the batch.
-    """
-    rows.hint("rebalance", F.col(partition_by)).write.mode("append").partitionBy(partition_by).parquet(path)
-
-
-def read_history(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)

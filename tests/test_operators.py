@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loupewright.operators import aggregates, allocation, changes, generators, joins, nesting, sorting
+from loupewright.operators.bundle import report_bundle
 from loupewright.operators.ranked import number_rows, running_total
 from loupewright.sources import session, sinks
 from tests.util import rows, table
@@ -285,17 +286,29 @@ def test_shred(spark):
     assert rows(got["reason"]) == [(1, 1, 1, 2, 2)]
 
 
-def test_history_and_documents(spark, tmp_path):
+def test_documents_are_lines_of_json(spark, tmp_path):
     df = table(spark, "d date, v int", (date(2024, 1, 1), 1), (date(2024, 1, 2), 2))
-    path = str(tmp_path / "history")
-    sinks.append_history(df, path, "d")
-    sinks.append_history(df.where("v = 2"), path, "d")
-    assert rows(sinks.read_history(spark, path, df.schema), "d", "v") == [
-        (date(2024, 1, 1), 1), (date(2024, 1, 2), 2), (date(2024, 1, 2), 2),
-    ]
     sinks.to_documents(df, str(tmp_path / "json"))
     assert spark.read.schema("d date, v int").json(str(tmp_path / "json")).count() == 2
 
 
+def test_a_bundle_is_one_scan_and_one_shuffle(spark, tmp_path):
+    data = table(spark, "a string, b int, v int", ("x", 1, 10), ("x", 2, 20), (None, 1, 30), (None, None, 40))
+    data.write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    parts = {"all": [], "a": ["a"], "b": ["b"], "both": ["b", "a"]}
+    found = report_bundle(base, parts, {"n": F.count(F.lit(1)), "v": F.sum("v")})
+    assert rows(found) == sorted([
+        ("all", None, None, 4, 100), ("a", "x", None, 2, 30), ("a", None, None, 2, 70), ("b", None, 1, 2, 40), ("b", None, 2, 1, 20),
+        ("b", None, None, 1, 40), ("both", "x", 1, 1, 10), ("both", "x", 2, 1, 20), ("both", None, 1, 1, 30), ("both", None, None, 1, 40),
+    ], key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
+    again = report_bundle(base, parts, {"n": F.count(F.lit(1)), "v": F.sum("v")})
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        report_bundle(base, {"one": ["a"], "two": ["a"]}, {"n": F.count(F.lit(1))})
+
+
 def test_shared_folder_reads_the_session(spark):
     assert session.shared_folder(spark) == spark.sparkContext.getCheckpointDir() or spark.sparkContext.getCheckpointDir()
