@@ -18,7 +18,7 @@ from loupewright.operators import sorting
 from loupewright.operators.bundle import report_bundle
 from loupewright.operators.joins import left_default, restrict
 from loupewright.operators.nesting import children_text, column_to_array, nest
-from loupewright.operators.ranked import number_rows
+from loupewright.operators.ranked import Descending, number_rows
 from loupewright.sources.session import shared_folder
 from loupewright.sources.ledgers import append_history, read_history
 from loupewright.sources.sinks import document_column
@@ -264,7 +264,7 @@ def distinct_project(t):
     """select o_orderkey as order_key, row_number() over (order by o_orderstatus, o_orderdate desc, o_orderkey) as place from orders""",
 )
 def sort_multi(t):
-    order = ["o_orderstatus", F.col("o_orderdate").desc(), "o_orderkey"]
+    order = ["o_orderstatus", Descending("o_orderdate"), "o_orderkey"]
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
     return number_rows(rows, [], order, "place").select(F.col("o_orderkey").alias("order_key"), "place")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupewright.functions import labels as L
@@ -154,7 +154,9 @@ def qa_item_detail(
     items = left_default(items, billed, on, {"total_qa": 0})
     items = left_default(items, passed, on, {"total_finish": 0})
     items = left_default(items, repaired, on, {"total_repair": 0, "sum_repair": 0})
-    numbered = number_rows(items, ["OrderNumber"], ["ForSort", "OrderItemNo", "JobNumber"], "display_no")
+    # The items of an order are few, so a window that reuses the order of the joins will do.
+    in_order = Window.partitionBy("OrderNumber").orderBy("ForSort", "OrderItemNo", "JobNumber")
+    numbered = items.withColumn("display_no", F.row_number().over(in_order).cast("bigint"))
     return numbered.select(
         F.col("OrderNumber").alias("order_number"),
         "display_no",

@@ -7,11 +7,12 @@ from collections import defaultdict
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loupewright.operators import aggregates, allocation, changes, generators, joins, nesting, sorting
+from loupewright.operators import aggregates, allocation, changes, generators, joins, nesting, ranked, sorting
 from loupewright.operators.bundle import report_bundle
-from loupewright.operators.ranked import number_rows, running_total
+from loupewright.operators.ranked import Descending, number_rows, running_total
 from loupewright.sources import session, sinks
 from tests.util import rows, table
 
@@ -42,11 +43,43 @@ def test_running_total_and_row_number_on_a_hot_key(spark):
 
 def test_row_number_without_key_and_descending(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 10).alias("g"))
-    got = {r.id: r.n for r in number_rows(df, [], ["g", F.col("id").desc()], "n", slices=6).collect()}
+    got = {r.id: r.n for r in number_rows(df, [], ["g", Descending("id")], "n", slices=6).collect()}
     order = sorted(range(1000), key=lambda i: (i % 10, -i))
     assert got == {i: n + 1 for n, i in enumerate(order)}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "date", "timestamp_ntz", "boolean", "decimal(10,2)"])
+def test_falling_orders_of_every_type_and_nulls(spark, kind):
+    values = {"boolean": ["true", "false"], "date": ["1969-12-31", "2024-02-29", "2024-03-01"], "timestamp_ntz": ["1960-01-01 01:02:03", "2024-01-01"],
+              "string": ["", "a", "ab", "abc", "b", "ñ", "Z"], "bigint": ["-9223372036854775808", "-5", "0", "7", "9223372036854775807"]}
+    some = values.get(kind, ["-3.5", "0", "2.25", "100"])
+    df = spark.createDataFrame([(v, i) for i, v in enumerate([*some, None] * 40)], "v string, i int").withColumn("v", F.col("v").cast(kind))
+    order = Window.orderBy(F.col("v").desc(), "i")
+    wanted = rows(df.withColumn("n", F.row_number().over(order).cast("bigint")), "i", "n")
+    assert rows(number_rows(df, [], [Descending("v"), "i"], "n", slices=9), "i", "n") == wanted
+
+
+def test_numbering_runs_no_job_before_it_is_asked_for_and_spreads_a_hot_key(spark):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("numbering"))
+    df = spark.range(40_000).select(F.lit("hot").alias("k"), "id")
+    spark.sparkContext.setJobGroup("numbering", "no job while the plan is built")
+    try:
+        frame = number_rows(df, ["k"], ["id"], "n", slices=16)
+        assert jobs() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert frame.where("n <> id + 1").count() == 0 and frame.count() == 40_000
+    sizes = [r["count"] for r in ranked._sliced(df, ["k"], ["id"], 16).groupBy("_slice").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+
+
+def test_numbering_of_few_rows_and_none(spark):
+    df = spark.range(3).select(F.lit(None).cast("string").alias("k"), "id")
+    assert rows(number_rows(df, ["k"], [Descending("id")], "n", slices=50), "id", "n") == [(0, 3), (1, 2), (2, 1)]
+    assert number_rows(df.limit(0), ["k"], ["id"], "n", slices=50).count() == 0
+    assert rows(number_rows(df, ["k"], ["id"], "n", slices=1), "n") == [(1,), (2,), (3,)]
+
+
 def fifo_by_hand(receipts, lines):
     left = defaultdict(int)
     for key, q in receipts:

@@ -6,7 +6,6 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-
 from loupewright.functions import labels as L
 from loupewright.plans import materials, orders, quality, upkeep, wip
 from tests.util import rows, table
