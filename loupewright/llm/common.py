@@ -76,6 +76,20 @@ def map_rows(
     return frame.mapInArrow(batches, StructType(frame.schema.fields + added.fields))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker process keeps for an operator; what it kept for others is dropped.
+
+    Spark uses workers again, so without this they would hold the tables of every operator they ever ran.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def parts_of(spark: SparkSession, per_partition: int = 4) -> int:
     """How many parts packed values are dealt to: some for each shuffle partition, so that they even out."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupewright.llm.common import map_rows, table
+from loupewright.llm.common import kept, map_rows, table
 from loupewright.llm.pieces import Remembered, split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -209,14 +209,12 @@ class EncodedText:
         return list(array("I", b"".join(self.coder.memory.packed(self.pieces))))
 
 
-_CODERS: dict[str, PrefixCoder] = {}
-
-
 def prefix_coder(path: str) -> PrefixCoder:
     """One coder per worker process and vocabulary."""
-    if path not in _CODERS:
-        _CODERS[path] = PrefixCoder(path)
-    return _CODERS[path]
+    coders = kept("prefix_bpe")
+    if path not in coders:
+        coders[path] = PrefixCoder(path)
+    return coders[path]
 
 
 def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -240,10 +238,21 @@ def decode_ids(encoded: DataFrame, ids: str = "ids", vocabulary: str | None = No
     )
 
 
+def encode_and_decode(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Add ``ids`` and ``decoded``, as :func:`encode_texts` and :func:`decode_ids` do, in one pass of one worker."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+
+    def both(texts: list) -> list[list[bytes]]:
+        coder = prefix_coder(path)
+        ids = [coder.encode(t or "") for t in texts]
+        return [ids, [coder.decode(i) for i in ids]]
+
+    return map_rows(docs.drop("ids", "decoded"), [text], both, "ids binary, decoded binary")
+
+
 def op2_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    decoded = decode_ids(encode_texts(docs).drop("text"))
-    return decoded.select(
+    return encode_and_decode(docs).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

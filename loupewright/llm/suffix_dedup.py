@@ -20,15 +20,16 @@ distance, and every window has one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loupewright.llm.common import dealt, map_rows, packed_batch, parts_of, table, unpacked, whole_text
+from loupewright.llm.common import dealt, kept, map_rows, packed_batch, parts_of, table, unpacked, whole_text
 
 LENGTH, KGRAM = 200, 40
 _WINDOW = LENGTH - KGRAM + 1
@@ -55,15 +56,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 class PrefixHash:
     """Polynomial hashes, modulo 2^64, of all substrings of a byte array."""
 
-    _known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
     def __init__(self, data: np.ndarray, base: int = _BASES[0]):
-        up, down = self._known.get(base, (np.zeros(0), np.zeros(0)))
+        known = kept("suffix_dedup")
+        up, down = known.get(base, (np.zeros(0), np.zeros(0)))
         if len(up) < len(data) + 1:
             n = max(len(data) + 1, 1 << 16)
             up, down = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-            if n <= 1 << 23:
-                self._known[base] = (up, down)
+            if n <= 2 * _SEGMENT:
+                known[base] = (up, down)
         self.up = up
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=self.sums[1:])
@@ -379,25 +379,25 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     pieces = docs.select("row", "bytes").mapInArrow(cut, schema).repartition("part")
 
     def gathered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All that came to this partition, by kind; the parts of a kind belong together."""
-        held: dict[str, dict[str, list[bytes]]] = {"context": {}, "window": {}}
+        """What came to this partition, part by part; surroundings stay compressed until their part's turn."""
+        held: dict[tuple[int, str], dict[str, list[bytes]]] = {}
         unpack = zstandard.ZstdDecompressor()
         for batch in stream:
-            kinds = batch.column(0).to_pylist()
+            kinds, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in _PACKED:
-                for kind, value in zip(kinds, batch.column(batch.schema.get_field_index(name)).to_pylist()):
-                    if kind in held:
-                        if name == "data" and kind == "context":
-                            value = unpack.decompress(value)
-                        held[kind].setdefault(name, []).append(value)
+                for kind, number, value in zip(kinds, numbers, batch.column(batch.schema.get_field_index(name)).to_pylist()):
+                    if kind != "range":
+                        held.setdefault((number, kind), {}).setdefault(name, []).append(value)
             for i, kind in enumerate(kinds):
                 if kind == "range":
                     low, row, high = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("low", "row", "data"))
                     yield _range_batch(row, low, high)
-        for kind, work in (("window", counted_windows), ("context", sorted_groups)):
-            if held[kind]:
-                columns = held.pop(kind)
-                yield from work({name: np.frombuffer(b"".join(columns.pop(name)), _KINDS[name]) for name in _PACKED})
+        for number, kind in sorted(held):
+            columns = held.pop((number, kind))
+            if kind == "context":
+                columns["data"] = [unpack.decompress(value) for value in columns["data"]]
+            whole = {name: np.frombuffer(b"".join(columns.pop(name)), _KINDS[name]) for name in _PACKED}
+            yield from (sorted_groups if kind == "context" else counted_windows)(whole)
 
     def sorted_groups(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         size = got["before"].astype(np.int64) - got["after"] + LENGTH
@@ -446,17 +446,11 @@ def _without(text: bytes, low: list | None, high: list | None) -> tuple[bytes, i
     return b"".join(kept), len(begins)
 
 
-def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """Add n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) to each document.
-
-    Null texts count as empty. A text of a repeated row is repeated, so all of it goes if it has
-    ``LENGTH`` bytes or more; the row stays. An empty table gives an empty result. The input is read
-    twice and has to be a table, so that its row numbers are the same both times. Columns of the
-    input called like the new ones are replaced.
-    """
-    made = ("n_bytes", "n_removed", "n_spans", "kept")
-    plain = docs.drop(*made).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.drop(*made).columns)])
-    names = docs.drop(*made).columns
+def _cut(docs: DataFrame, group: int, finish: Callable[[bytes, bytes, int], tuple], schema: str) -> DataFrame:
+    """Add the columns of ``schema``: ``finish(bytes, remaining bytes, removed runs)`` of each document."""
+    added = StructType.fromDDL(schema).names
+    names = docs.drop(*added).columns
+    plain = docs.drop(*added).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
     text = whole_text(f"c{names.index('text')}")
     ranges = repeat_ranges(numbered.select("row", text.alias("bytes")), group)
@@ -466,22 +460,32 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     )
 
     def remove(texts: list, lows: list, highs: list) -> list:
-        done = [_without(t, a, b) for t, a, b in zip(texts, lows, highs)]
-        return [
-            [len(t) for t in texts], [len(t) - len(k) for t, (k, _) in zip(texts, done)], [n for _, n in done], [k for k, _ in done],
-        ]
+        done = [finish(t, *_without(t, a, b)) for t, a, b in zip(texts, lows, highs)]
+        return [list(c) for c in zip(*done)] or [[] for _ in added]
+
+    found = map_rows(joined, ["bytes", "low", "high"], remove, schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *added)
 
-    found = map_rows(joined, ["bytes", "low", "high"], remove, "n_bytes long, n_removed long, n_spans long, kept binary")
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *made)
+
+def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """Add n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) to each document.
+
+    Null texts count as empty. A text of a repeated row is repeated, so all of it goes if it has
+    ``LENGTH`` bytes or more; the row stays. An empty table gives an empty result. The input is read
+    twice and has to be a table, so that its row numbers are the same both times. Columns of the
+    input called like the new ones are replaced.
+    """
+    made = lambda text, rest, runs: (len(text), len(text) - len(rest), runs, rest)
+    return _cut(docs, group, made, "n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of their texts; characters cut in two are dropped."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    cut = without_repeats(docs.select("text", *[F.col(c).alias(n) for c, n in names.items()]))
-    clean = map_rows(cut, ["kept"], lambda kept: [[k.decode("utf-8", "ignore") for k in kept]], "clean_text string")
-    text = F.when(F.col("n_removed") > 0, F.col("clean_text")).otherwise(F.col("text")).alias("text")
-    return clean.select(*[text if c == "text" else F.col(names[c]).alias(c) for c in docs.columns])
+    clean = lambda text, rest, runs: (rest.decode("utf-8", "ignore") if len(rest) < len(text) else None,)
+    cut = _cut(docs.select("text", *[F.col(c).alias(n) for c, n in names.items()]), GROUP, clean, "clean_text string")
+    text = F.coalesce("clean_text", "text").alias("text")
+    return cut.select(*[text if c == "text" else F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -105,8 +105,8 @@ def test_token_ids_are_those_of_the_library(spark, rows, docs):
 def test_token_ids_are_decoded_and_held_against_the_text(spark, rows, docs, monkeypatch):
     found = corpus_pipeline.token_ids(spark, docs, "").select("doc_id", "decoded_sha256").collect()
     assert {r.doc_id: r.decoded_sha256 for r in found} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t, *_ in rows}
-    wrong = lambda frame: frame.withColumn("decoded", F.lit(b"other"))
-    monkeypatch.setattr(prefix_bpe, "decode_ids", wrong)
+    right = prefix_bpe.encode_and_decode
+    monkeypatch.setattr(prefix_bpe, "encode_and_decode", lambda frame: right(frame).withColumn("decoded", F.lit(b"other")))
     with pytest.raises(Exception, match="do not decode"):
         corpus_pipeline.token_ids(spark, docs, "").collect()
 
