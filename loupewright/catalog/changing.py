@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loupewright.catalog.registry import query
 from loupewright.operators import changes as C
 from loupewright.operators.nesting import nest
+from loupewright.sources.bucketed import BucketedSnapshot
 from loupewright.sources.session import shared_folder
 
 
@@ -28,6 +29,11 @@ def _count():
       union all select -o_orderkey - 1, o_custkey, 'I', cast(round(o_totalprice * 100) as bigint) from orders where o_orderpriority = '5-LOW') a""",
 )
 def upserts(t):
+    snapshot, updates, inserts = _order_changes(t)
+    return C.apply_upserts(snapshot, updates.unionByName(inserts), ["o_orderkey"], ["seq"])
+
+
+def _order_changes(t):
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     snapshot = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", cents.alias("cents"))
     touched = t.orders.where((F.col("o_orderstatus") == "P") | (F.col("o_orderpriority") == "1-URGENT"))
@@ -38,7 +44,29 @@ def upserts(t):
         (-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", F.lit("I").alias("o_orderstatus"),
         cents.alias("cents"), F.lit(1).alias("seq"),
     )
-    return C.apply_upserts(snapshot, updates.unionByName(inserts), ["o_orderkey"], ["seq"])
+    return snapshot, updates, inserts
+
+
+@query(
+    "apply_changes_stored",
+    """select o_orderkey, o_custkey, o_orderstatus, cents from (
+      select o_orderkey, o_custkey, o_orderstatus, cast(round(o_totalprice * 100) as bigint) as cents from orders
+        where o_orderstatus <> 'P' and o_orderpriority <> '1-URGENT'
+      union all select o_orderkey, o_custkey, 'C', cast(round(o_totalprice * 100) as bigint) + 200 from orders
+        where o_orderstatus = 'P' or o_orderpriority = '1-URGENT'
+      union all select -o_orderkey - 1, o_custkey, 'I', cast(round(o_totalprice * 100) as bigint) from orders where o_orderpriority = '5-LOW') a
+    where o_custkey not in (select c_custkey from customer where c_nationkey = 7)""",
+)
+def stored_changes(t):
+    """A stored snapshot in buckets: written, changed, added to, and cut, each batch at the buckets it touches."""
+    snapshot, updates, inserts = _order_changes(t)
+    table = BucketedSnapshot(t.spark, f"{shared_folder(t.spark)}/orders-{uuid.uuid4().hex}", snapshot.schema, ["o_orderkey"])
+    table.upsert(snapshot.withColumn("seq", F.lit(0)), ["seq"], "first")
+    for name, batch in (("updates", updates), ("inserts", inserts), ("updates", updates)):
+        table.upsert(batch, ["seq"], name)
+    of_nation = t.spark.read.parquet(f"{t.folder}/customer.parquet").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
+    table.delete(table.read().join(of_nation, "o_custkey", "left_semi"), "nation 7")
+    return table.read()
 
 
 @query(
@@ -248,6 +276,36 @@ def document_numbers_parallel(t):
     return batches["0"].union(batches["1"]).union(batches["2"]).select(F.col("BillID").alias("bill_id"), "document")
 
 
+@query(
+    "explode_document_quarantine",
+    """select o_orderkey as order_key, case o_orderkey % 9 when 0 then 'not JSON' when 1 then 'wrong type' when 2 then 'missing field'
+        when 3 then 'incomplete item' when 4 then 'empty' when 5 then 'incomplete reason' end as reason,
+      case when o_orderkey % 9 >= 6 then 1 else 0 end as masters, case when o_orderkey % 9 >= 6 then 2 else 0 end as details
+    from orders""",
+)
+def quarantine(t):
+    """Six of nine documents are broken, each kind in its own way; every document comes out once, whole or rejected."""
+    key = F.col("o_orderkey").cast("string")
+    whole = F.concat(F.lit('{"document_id":'), key, F.lit(',"order_number":"A","items":[{"product_id":1,"qty":2},{"product_id":2,"qty":1,"reasons":[]}]}'))
+    kind = F.col("o_orderkey") % 9
+    text = (
+        F.when(kind == 0, F.substring(whole, 1, 40))
+        .when(kind == 1, F.replace(whole, F.lit('"qty":1'), F.lit('"qty":"one"')))
+        .when(kind == 2, F.replace(whole, F.lit('"order_number"'), F.lit('"order"')))
+        .when(kind == 3, F.replace(whole, F.lit(',"qty":2'), F.lit("")))
+        .when(kind == 4, F.lit(" "))
+        .when(kind == 5, F.replace(whole, F.lit('"reasons":[]'), F.lit('"reasons":[{"type_id":1,"qty":1}]')))
+        .otherwise(whole)
+    )
+    parts = C.shred(t.orders.select("o_orderkey", text.alias("text")), "text")
+    masters = parts["master"].select(F.col("document_id").alias("order_key"), F.lit(1).alias("masters"), F.lit(0).alias("details"), F.lit(None).cast("string").alias("reason"))
+    details = parts["detail"].select("document_id", F.lit(0), F.lit(1), F.lit(None).cast("string"))
+    rejected = parts["quarantine"].select("o_orderkey", F.lit(0), F.lit(0), "reason")
+    counted = masters.union(details).union(rejected).groupBy("order_key")
+    whole_int = lambda c: F.sum(c).cast("int").alias(c)
+    return counted.agg(F.max("reason").alias("reason"), whole_int("masters"), whole_int("details"))
+
+
 @query(
     "explode_document",
     """select * from (with i as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as item_no,

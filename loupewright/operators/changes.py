@@ -228,9 +228,43 @@ DOCUMENT = T.StructType(
 )
 
 
+#: Why a document is rejected; the first that applies.
+EMPTY, NOT_JSON, WRONG_TYPE, MISSING, INCOMPLETE_ITEM, INCOMPLETE_REASON = (
+    "empty", "not JSON", "wrong type", "missing field", "incomplete item", "incomplete reason",
+)
+
+
+def parse_documents(documents: DataFrame, column: str, schema: T.StructType = DOCUMENT) -> DataFrame:
+    """The columns of ``documents``, the parsed document ``_d``, and ``_reason`` why it is rejected, or null.
+
+    A document needs its id, its order number and a list of items, which may be empty; an item its
+    product and quantity; a reason all its fields. A value that does not fit its type rejects the document.
+    """
+    parsed = F.from_json(column, T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    text, d = F.col(column), F.col("_d")
+    empty = lambda struct, fields: F.array_contains(F.array(*[struct[f].isNull() for f in fields]), True)
+    reasons = lambda item: F.coalesce(
+        F.exists(item["reasons"], lambda r: r.isNull() | empty(r, ("type_id", "reason_no", "qty"))), F.lit(False)
+    )
+    reason = (
+        F.when(text.isNull() | (F.trim(text) == ""), EMPTY)
+        .when(d["_bad"].isNotNull() & F.try_parse_json(text).isNull(), NOT_JSON)
+        .when(d["_bad"].isNotNull(), WRONG_TYPE)
+        .when(empty(d, ("document_id", "order_number", "items")), MISSING)
+        .when(F.exists(d["items"], lambda i: i.isNull() | empty(i, ("product_id", "qty"))), INCOMPLETE_ITEM)
+        .when(F.exists(d["items"], reasons), INCOMPLETE_REASON)
+    )
+    return documents.withColumn("_d", parsed).withColumn("_reason", reason)
+
+
 def shred(documents: DataFrame, column: str, schema: T.StructType = DOCUMENT) -> dict[str, DataFrame]:
-    """Split JSON documents into master, item and reason rows; items are numbered from 1."""
-    parsed = documents.select(F.from_json(column, schema).alias("d")).select("d.*")
+    """Split JSON documents into master, item and reason rows; items are numbered from 1.
+
+    A document goes as a whole either there or, with the reason, to ``quarantine``, which keeps its text
+    and the other columns.
+    """
+    judged = parse_documents(documents, column, schema)
+    parsed = judged.where("_reason is null").select("_d.*")
     items = parsed.select("document_id", "order_number", F.posexplode("items").alias("_pos", "_item"))
     items = items.withColumn("item_no", F.col("_pos") + 1)
     reasons = items.select("document_id", "item_no", F.explode("_item.reasons").alias("_reason"))
@@ -238,4 +272,5 @@ def shred(documents: DataFrame, column: str, schema: T.StructType = DOCUMENT) ->
         "master": parsed.select("document_id", "order_number", "sender", F.size("items").alias("n_items")),
         "detail": items.select("document_id", "item_no", "order_number", "_item.product_id", "_item.qty"),
         "reason": reasons.select("document_id", "item_no", "_reason.type_id", "_reason.reason_no", "_reason.qty"),
+        "quarantine": judged.where("_reason is not null").select(*documents.columns, F.col("_reason").alias("reason")),
     }

@@ -319,6 +319,22 @@ def test_shred(spark):
     assert rows(got["reason"]) == [(1, 1, 1, 2, 2)]
 
 
+def test_a_document_is_shredded_or_quarantined_as_a_whole(spark):
+    good = '{"document_id":1,"order_number":"A","sender":1,"items":[{"product_id":5,"qty":2,"reasons":[{"type_id":1,"reason_no":2,"qty":3}]}]}'
+    texts = {
+        good: None, '{"document_id":2,"order_number":"B","items":[]}': None, good[:50]: changes.NOT_JSON, "": changes.EMPTY, None: changes.EMPTY,
+        good.replace("5", '"x"'): changes.WRONG_TYPE, good.replace(":1,", ':"x1",', 1): changes.WRONG_TYPE, "[1]": changes.WRONG_TYPE,
+        good.replace('"order_number"', '"order"'): changes.MISSING, '{"document_id":3,"order_number":"A"}': changes.MISSING,
+        good.replace('"qty":2', '"n":2'): changes.INCOMPLETE_ITEM, '{"document_id":4,"order_number":"A","items":[null]}': changes.INCOMPLETE_ITEM,
+        good.replace('"reason_no":2', '"n":2'): changes.INCOMPLETE_REASON,
+    }
+    got = changes.shred(table(spark, "n int, j string", *enumerate(texts)), "j")
+    wanted = [(n, text, reason) for n, (text, reason) in enumerate(texts.items()) if reason is not None]
+    assert rows(got["quarantine"], "n", "j", "reason") == wanted
+    assert rows(got["master"]) == [(1, "A", 1, 1), (2, "B", None, 0)]
+    assert rows(got["detail"]) == [(1, 1, "A", 5, 2)] and rows(got["reason"]) == [(1, 1, 1, 2, 3)]
+
+
 def test_documents_are_lines_of_json(spark, tmp_path):
     df = table(spark, "d date, v int", (date(2024, 1, 1), 1), (date(2024, 1, 2), 2))
     sinks.to_documents(df, str(tmp_path / "json"))
