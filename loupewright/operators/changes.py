@@ -240,21 +240,30 @@ def parse_documents(documents: DataFrame, column: str, schema: T.StructType = DO
     A document needs its id, its order number and a list of items, which may be empty; an item its
     product and quantity; a reason all its fields. A value that does not fit its type rejects the document.
     """
+    text = F.col(column)
     parsed = F.from_json(column, T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
-    text, d = F.col(column), F.col("_d")
-    empty = lambda struct, fields: F.array_contains(F.array(*[struct[f].isNull() for f in fields]), True)
-    reasons = lambda item: F.coalesce(
-        F.exists(item["reasons"], lambda r: r.isNull() | empty(r, ("type_id", "reason_no", "qty"))), F.lit(False)
-    )
-    reason = (
-        F.when(text.isNull() | (F.trim(text) == ""), EMPTY)
-        .when(d["_bad"].isNotNull() & F.try_parse_json(text).isNull(), NOT_JSON)
-        .when(d["_bad"].isNotNull(), WRONG_TYPE)
-        .when(empty(d, ("document_id", "order_number", "items")), MISSING)
-        .when(F.exists(d["items"], lambda i: i.isNull() | empty(i, ("product_id", "qty"))), INCOMPLETE_ITEM)
-        .when(F.exists(d["items"], reasons), INCOMPLETE_REASON)
-    )
-    return documents.withColumn("_d", parsed).withColumn("_reason", reason)
+
+    def empty(struct: Column, *fields: str) -> Column:
+        found = struct[fields[0]].isNull()
+        for f in fields[1:]:
+            found = found | struct[f].isNull()
+        return found
+
+    def judged(d: Column) -> Column:
+        bad_reason = lambda r: r.isNull() | empty(r, "type_id", "reason_no", "qty")
+        bad_item = lambda i: i.isNull() | empty(i, "product_id", "qty")
+        reason = (
+            F.when(text.isNull() | (F.trim(text) == ""), EMPTY)
+            .when(d["_bad"].isNotNull() & F.try_parse_json(text).isNull(), NOT_JSON)
+            .when(d["_bad"].isNotNull(), WRONG_TYPE)
+            .when(empty(d, "document_id", "order_number", "items"), MISSING)
+            .when(F.exists(d["items"], bad_item), INCOMPLETE_ITEM)
+            .when(F.exists(d["items"], lambda i: F.coalesce(F.exists(i["reasons"], bad_reason), F.lit(False))), INCOMPLETE_REASON)
+        )
+        return F.struct(d.alias("_d"), reason.alias("_reason"))
+
+    # A lambda takes the parsed document as a value and a generator keeps filters above it, so each text is parsed once.
+    return documents.select("*", F.inline(F.transform(F.array(parsed), judged)))
 
 
 def shred(documents: DataFrame, column: str, schema: T.StructType = DOCUMENT) -> dict[str, DataFrame]:
