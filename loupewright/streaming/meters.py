@@ -51,8 +51,9 @@ def with_targets(usage: DataFrame, formulas: DataFrame, *values: str) -> DataFra
 
 def meter_columns(limits: DataFrame, formulas: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     """Column names by code, of the plain and of the derived meters. Meters are few: one row and column each."""
-    derived = {r[0] for r in formulas.select("deviceCode").distinct().collect()}
-    codes = sorted({r[0] for r in limits.select("deviceCode").distinct().collect()} | derived | {r[0] for r in formulas.select("meter").distinct().collect()})
+    tagged = limits.select("deviceCode", F.lit(False).alias("d")).union(formulas.select("meter", F.lit(False))).union(formulas.select("deviceCode", F.lit(True)))
+    found = tagged.groupBy("deviceCode").agg(F.max("d").alias("d")).collect()
+    derived, codes = {r.deviceCode for r in found if r.d}, sorted(r.deviceCode for r in found)
     name = lambda code: f"v{code.rsplit('-', 1)[-1]}"
     return {c: name(c) for c in codes if c not in derived}, {c: name(c) for c in codes if c in derived}
 
