@@ -32,29 +32,48 @@ def split(text: str) -> list[str]:
     return (_FAST if is_plain(text) else _EXACT).findall(text)
 
 
-class Remembered(dict):
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte that they don't write as itself.
+
+    Bytes that print in Latin-1 stand for themselves, the others for the characters from 256 on.
+    """
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return dict(zip((b for b in range(256) if b not in own), map(chr, range(256, 512))))
+
+
+_LETTER_OF = _byte_letters()
+
+
+def lettered(piece: str) -> str:
+    """A piece as byte-level vocabularies write it."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _LETTER_OF[0x20])
+    return piece.encode().decode("latin-1").translate(_LETTER_OF)
+
+
+class Remembered:
     """Ids of pieces, as packed unsigned 32-bit integers, by piece; bounded in size."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED):
-        super().__init__()
         self.encode, self.most = encode, most
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
-        missing = [p for p in set(pieces) if p not in self]
+        missing = list(set(pieces).difference(self.known))
         if missing:
-            if len(self) + len(missing) > self.most:
-                self.clear()
+            if len(self.known) + len(missing) > self.most:
+                self.known.clear()
                 missing = list(set(pieces))
             for piece, ids in zip(missing, self.encode(missing)):
-                self[piece] = array("I", ids).tobytes()
+                self.known[piece] = array("I", ids).tobytes()
 
     def packed(self, pieces: list[str]) -> list[bytes]:
         self.learn(pieces)
-        return [self[p] for p in pieces]
+        return list(map(self.known.__getitem__, pieces))
 
 
 class LibraryCoder:
-    """The ids that the tokenizers library gives, with each piece encoded by the library once.
+    """The ids that the tokenizers library gives, with each piece encoded by the library's model once.
 
     Its special strings are cut out first, as the library does by default.
     """
@@ -68,7 +87,7 @@ class LibraryCoder:
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: array("I", [i]).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
         self._cut = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
-        self.memory = Remembered(lambda new: [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        self.memory = Remembered(lambda new: [[t.id for t in self.library.model.tokenize(lettered(p))] for p in new])
         self.odd = Remembered(lambda new: [[t.id for t in self.library.model.tokenize(p)] for p in new])
 
     def encode(self, text: str) -> tuple[list[str], list[bytes]]:
