@@ -6,8 +6,9 @@ restaurant, and those share the root, so unseen words still have an informed con
 child is a customer of its parent. Restaurants are addressed by a hash of fixed width (2^18 contexts
 under 2^12 parents), so every context is covered and what is sent to all tasks has a fixed size.
 
-Seating is sampled by Gibbs sweeps: a sweep takes all customers of a token out of a restaurant and
-seats them again one after the other, given all other tables. A task holds all restaurants' tables of
+Seating is sampled by Gibbs sweeps: a sweep takes all customers of a token out of a restaurant, and
+their tables out of the restaurant above, and draws a new number of tables by its chance given all
+other tables (:mod:`loupewright.llm.seating`). A task holds all restaurants' tables of
 its share of the tokens. After each sweep the totals of contexts, parents and root are summed over all
 tasks, and every task takes these for its next sweep. After the burn-in several seatings are kept, and
 their predictive probabilities are averaged.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from loupewright.llm.common import dealt, packed_batch, parts_of, remainder, table, unpacked, whole_text, work_folder
+from loupewright.llm.seating import draw, seatings
 
 #: Address widths of contexts and of their parents.
 CONTEXT_BITS, PARENT_BITS = 18, 12
@@ -40,8 +42,6 @@ THETA = (1.0, 1.0, 1.0)
 #: Bytes of text that are put together in one step of a task.
 STEP = 4 << 20
 SEED = 1
-#: Customers of a token that are seated one by one; more are seated in blocks of an eighth of those seated.
-ONE_BY_ONE = 64
 #: Slices of the contexts whose totals are summed apart.
 SLICES = 16
 
@@ -110,22 +110,6 @@ def _starts(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
 
 
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating ``customers`` one by one; ``pull`` is the weight of a new table."""
-    tables = np.ones(len(customers), np.int64)
-    open_ = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(open_):
-        block = 1 if seated < ONE_BY_ONE else seated // 8
-        n = np.minimum(block, customers[open_] - seated)
-        weight = pull[open_]
-        chance = weight / (weight + seated + (n - 1) / 2 - discount * tables[open_])
-        tables[open_] += rng.binomial(n, np.clip(chance, 0.0, 1.0))
-        seated += block
-        open_ = open_[customers[open_] > seated]
-    return np.minimum(tables, customers)
-
-
 def _discount(one: float, two: float) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one and two else 0.5
 
@@ -150,21 +134,56 @@ class Share:
         return np.bincount(self.token_of_parent, tables, len(self.first)).astype(np.int64)
 
     def sweep(
-        self, a: np.ndarray, b: np.ndarray, c: np.ndarray, all_: Sums, rng: np.random.Generator
+        self, a: np.ndarray, b: np.ndarray, c: np.ndarray, all_: Sums, rng: np.random.Generator, discounts: tuple | None = None
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables in contexts, parents and root after a sweep; ``all_``: totals of the seating before, over all tokens."""
-        cb, cr = self.customers(a), self.root_customers(b)
-        da, db, dr = (_discount(*two) for two in all_.ones)
-        sb, sr = all_.tables_a.reshape(_PARENTS, -1).sum(axis=1), all_.tables_b.sum()
-        new = (THETA[2] + dr * all_.tables_r) / (all_.vocabulary + 1)
-        root = (np.maximum(cr - dr * c, 0) + new) / (THETA[2] + sr)
-        pull_b = (THETA[1] + db * all_.tables_b)[self.parent] * root[self.token_of_parent]
-        middle = (np.maximum(cb - db * b, 0) + pull_b) / (THETA[1] + sb)[self.parent]
-        pull_a = (THETA[0] + da * np.minimum(all_.tables_a, all_.size))[self.context] * middle[self.of_parent]
-        a = seat(self.n, pull_a, da, rng)
-        b = seat(self.customers(a), pull_b, db, rng)
-        cr = self.root_customers(b)
-        return a, b, seat(cr, np.full(len(cr), new), dr, rng)
+        """Tables in contexts, parents and root after a sweep; ``all_``: totals of the seating before, over all tokens.
+
+        All customers of a dish are taken out of their restaurant and with them its tables, which are
+        customers of the restaurant above, from every total; then a number of tables is drawn given the
+        tables of all other dishes and of the restaurants above. Dishes are drawn in two random halves, the
+        second given the first.
+        """
+        da, db, dr = discounts or (_discount(*two) for two in all_.ones)
+        a, b, at_context, at_parent = a.copy(), b.copy(), all_.tables_a.copy(), all_.tables_b.copy()
+        below = at_context.reshape(_PARENTS, -1).sum(axis=1)  # customers of the parents
+        up = self.context >> _WITHIN
+        for on in _halves(len(a), rng):
+            context, parent, old, dish = self.context[on], up[on], a[on], self.of_parent[on]
+            others = at_context[context] - old
+            size, guests, served = below[parent] - old, self.customers(a)[dish] - old, b[dish]
+
+            def passed(i, k):
+                price = seatings(db).one_more_customer(guests[i] + k, served[i])
+                return price + np.log(THETA[0] + da * (others[i] + k)) - np.log(THETA[1] + size[i] + k)
+
+            new = draw(self.n[on], served - guests, seatings(da), passed, rng)
+            a[on] = new
+            np.add.at(at_context, context, new - old)
+            np.add.at(below, parent, new - old)
+        customers, size_r = self.customers(a), int(at_parent.sum())
+        for on in _halves(len(b), rng):
+            parent, old, dish = self.parent[on], b[on], self.token_of_parent[on]
+            others, guests, served = at_parent[parent] - old, self.root_customers(b)[dish] - old, c[dish]
+
+            def passed(i, k):
+                price = seatings(dr).one_more_customer(guests[i] + k, served[i])
+                return price + np.log(THETA[1] + db * (others[i] + k)) - np.log(THETA[2] + size_r - old[i] + k)
+
+            new = draw(customers[on], served - guests, seatings(db), passed, rng)
+            b[on] = new
+            np.add.at(at_parent, parent, new - old)
+            size_r += int((new - old).sum())
+        left = all_.tables_r - c
+
+        def started(i, k):
+            return np.log((THETA[2] + dr * (left[i] + k)) / (all_.vocabulary + 1))
+
+        return a, b, draw(self.root_customers(b), np.ones(len(c), np.int64), seatings(dr), started, rng)
+
+
+def _halves(n: int, rng: np.random.Generator) -> list[np.ndarray]:
+    first = rng.random(n) < 0.5
+    return [np.flatnonzero(first), np.flatnonzero(~first)]
 
 
 class Sums:

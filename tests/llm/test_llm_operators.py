@@ -27,6 +27,7 @@ from loupewright.llm import (
     pieces,
     prefix_bpe,
     quality,
+    seating,
     simhash,
     suffix_dedup,
     token_counts,
@@ -570,7 +571,143 @@ def test_a_sweep_takes_the_totals_of_all_tokens():
 def test_seats_stay_between_one_and_the_customers():
     rng = np.random.default_rng(1)
     customers = np.array([1, 2, 5, 70, 10_000, 3_000_000])
+    found = []
     for pull in (0.01, 50.0):
-        tables = hpylm.seat(customers, np.full(6, pull), 0.7, rng)
+        tables = seating.draw(customers, np.ones(6, np.int64), seating.seatings(0.7), lambda i, a: np.full(len(a), math.log(pull)), rng)
         assert (tables >= 1).all() and (tables <= customers).all() and tables[0] == 1
-    assert hpylm.seat(customers, np.full(6, 50.0), 0.7, rng)[4] > hpylm.seat(customers, np.full(6, 0.01), 0.7, rng)[4]
+        found.append(tables)
+    assert (found[1][2:] > found[0][2:]).all()
+    least = np.array([1, 2, 5, 60, 9_990, 2_999_000])
+    tables = seating.draw(customers, least, seating.seatings(0.7), lambda i, a: np.full(len(a), -3.0), rng)
+    assert (tables >= least).all() and (tables <= customers).all()
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.5, 0.95])
+def test_numbers_of_seatings_beyond_the_table_follow_the_recurrence(discount):
+    """Ratios at 2,000 customers against the recurrence S(n + 1, a) = S(n, a - 1) + (n - d a) S(n, a)."""
+    n, log = 2000, np.full(2003, -np.inf)
+    log[1] = 0.0
+    rows = {}
+    for m in range(1, n + 1):
+        a = np.arange(1, m + 2)
+        rows = {m: log.copy(), m - 1: rows.get(m - 1, log)}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(a <= m, np.log(np.maximum(m - discount * a, 1e-300)) + log[1 : m + 2], -np.inf)
+        log[1 : m + 2] = np.logaddexp(log[: m + 1], stay)
+    last, a = rows[n], np.arange(1, n - 50)  # closer to n the saddle point is off by 1 / (2 (n - a))
+    own = seating.seatings(discount)
+    assert np.abs(own.one_more_table(np.full(len(a), n), a) - (last[2 : n - 49] - last[1 : n - 50])).max() < 0.02
+    assert np.abs(own.one_more_customer(np.full(len(a), n), a) - (log[1 : n - 50] - last[1 : n - 50])).max() < 0.02
+
+
+def test_large_dishes_are_drawn_by_their_chances():
+    """Means of draws for 600 customers (windows) against chances summed over all numbers of tables."""
+    n, pull, own = 600, math.log(3.0), seating.seatings(0.6)
+    a = np.arange(1, n)
+    log = np.concatenate([[0.0], np.cumsum(own.one_more_table(np.full(n - 1, n), a) + pull)])
+    chance = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+    mean = (np.arange(1, n + 1) * chance).sum()
+    spread = math.sqrt((np.arange(1, n + 1) ** 2 * chance).sum() - mean**2)
+    drawn = seating.draw(np.full(4000, n), np.ones(4000, np.int64), own, lambda i, k: np.full(len(k), pull), np.random.default_rng(4))
+    assert drawn.mean() == pytest.approx(mean, rel=0.02) and drawn.std() == pytest.approx(spread, rel=0.06)
+
+
+class OneByOne:
+    """Seats customers one at a time, with every table kept: the plain Gibbs sampler."""
+
+    def __init__(self, discounts, vocabulary, seed):
+        self.d, self.vocabulary, self.rng = discounts, vocabulary, random.Random(seed)
+        self.tables = {}  # (level, restaurant) -> dish -> sizes of its tables
+
+    def chance(self, level, place, dish):
+        if level == 3:
+            return 1 / (self.vocabulary + 1)
+        here = self.tables.get((level, place), {})
+        served, n, t = here.get(dish, []), sum(map(sum, here.values())), sum(map(len, here.values()))
+        theta, d = hpylm.THETA[level], self.d[level]
+        above = self.chance(level + 1, self.over(level, place), dish)
+        return (sum(served) - d * len(served) + (theta + d * t) * above) / (theta + n)
+
+    def over(self, level, place):
+        return place >> hpylm._WITHIN if level == 0 else 0
+
+    def add(self, level, place, dish):
+        if level == 3:
+            return
+        here = self.tables.setdefault((level, place), {})
+        served, t = here.setdefault(dish, []), sum(map(len, here.values()))
+        new = (hpylm.THETA[level] + self.d[level] * t) * self.chance(level + 1, self.over(level, place), dish)
+        at = self.rng.choices(range(len(served) + 1), [s - self.d[level] for s in served] + [new])[0]
+        if at < len(served):
+            served[at] += 1
+        else:
+            served.append(1)
+            self.add(level + 1, self.over(level, place), dish)
+
+    def remove(self, level, place, dish):
+        if level == 3:
+            return
+        served = self.tables[level, place][dish]
+        at = self.rng.choices(range(len(served)), served)[0]
+        served[at] -= 1
+        if not served[at]:
+            del served[at]
+            self.remove(level + 1, self.over(level, place), dish)
+
+    def count(self, level):
+        return sum(len(s) for (k, _), dishes in self.tables.items() if k == level for s in dishes.values())
+
+
+def swept(token, context, n, discounts, times):
+    """Mean tables of contexts, parents and root over many sweeps."""
+    share, rng = hpylm.Share(token, context, n), np.random.default_rng(3)
+    tables = [np.ones(len(x), np.int64) for x in (share.n, share.parent_key, share.first)]
+    found = []
+    for _ in range(times):
+        sums = hpylm.Sums()
+        sums.add(share, *tables)
+        tables = share.sweep(*tables, sums, rng, discounts)
+        found.append([x.sum() for x in tables])
+    return np.mean(found[100:], axis=0)
+
+
+def test_a_token_alone_has_the_tables_of_the_exact_distribution():
+    """One token with 30 customers: the chances of all (contexts', parents', root's) tables, added up."""
+    discounts, n = (0.7, 0.6, 0.5), 30
+    ways = []
+    for d in discounts:
+        s = np.zeros((n + 1, n + 2))
+        s[1, 1] = 1
+        for m in range(1, n):
+            for a in range(1, m + 2):
+                s[m + 1, a] = s[m, a - 1] + (m - d * a) * s[m, a]
+        ways.append(s)
+    rise = lambda start, step, times: math.prod(start + step * j for j in range(times))
+    theta, total, mean = hpylm.THETA, 0.0, np.zeros(3)
+    for a in range(1, n + 1):
+        for b in range(1, a + 1):
+            for c in range(1, b + 1):
+                p = ways[0][n, a] * rise(theta[0], discounts[0], a) / rise(theta[1], 1, a)
+                p *= ways[1][a, b] * rise(theta[1], discounts[1], b) / rise(theta[2], 1, b)
+                p *= ways[2][b, c] * rise(theta[2], discounts[2], c) * 0.5**c
+                total, mean = total + p, mean + p * np.array([a, b, c])
+    found = swept(np.array([5], np.uint64), np.array([3]), np.array([n]), discounts, 6000)
+    assert found == pytest.approx(mean / total, rel=0.03)
+
+
+def test_seatings_agree_with_customers_moved_one_at_a_time():
+    """Tokens that share contexts and parents, against the plain sampler with the same discounts."""
+    discounts = (0.7, 0.6, 0.5)
+    token = np.array([1, 1, 1, 2, 2, 3, 3, 4], np.uint64)
+    context, n = np.array([3, 4, 700, 3, 700, 4, 5, 700]), np.array([9, 4, 6, 1, 12, 2, 3, 1])
+    plain = OneByOne(discounts, len(set(token.tolist())), 1)
+    customers = [(int(c), int(t)) for t, c, k in zip(token, context, n) for _ in range(k)]
+    for c, t in customers:
+        plain.add(0, c, t)
+    wanted = []
+    for _ in range(5000):
+        for c, t in customers:
+            plain.remove(0, c, t)
+            plain.add(0, c, t)
+        wanted.append([plain.count(level) for level in range(3)])
+    assert swept(token, context, n, discounts, 5000) == pytest.approx(np.mean(wanted[100:], axis=0), rel=0.05)
