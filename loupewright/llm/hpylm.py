@@ -147,7 +147,7 @@ class Share:
         a, b, at_context, at_parent = a.copy(), b.copy(), all_.tables_a.copy(), all_.tables_b.copy()
         below = at_context.reshape(_PARENTS, -1).sum(axis=1)  # customers of the parents
         up = self.context >> _WITHIN
-        for on in _halves(len(a), rng):
+        for on in _halves(np.flatnonzero(self.n > 1), rng):  # one customer has one table
             context, parent, old, dish = self.context[on], up[on], a[on], self.of_parent[on]
             others = at_context[context] - old
             size, guests, served = below[parent] - old, self.customers(a)[dish] - old, b[dish]
@@ -161,7 +161,7 @@ class Share:
             np.add.at(at_context, context, new - old)
             np.add.at(below, parent, new - old)
         customers, size_r = self.customers(a), int(at_parent.sum())
-        for on in _halves(len(b), rng):
+        for on in _halves(np.flatnonzero((customers > 1) | (b > 1)), rng):
             parent, old, dish = self.parent[on], b[on], self.token_of_parent[on]
             others, guests, served = at_parent[parent] - old, self.root_customers(b)[dish] - old, c[dish]
 
@@ -181,9 +181,9 @@ class Share:
         return a, b, draw(self.root_customers(b), np.ones(len(c), np.int64), seatings(dr), started, rng)
 
 
-def _halves(n: int, rng: np.random.Generator) -> list[np.ndarray]:
-    first = rng.random(n) < 0.5
-    return [np.flatnonzero(first), np.flatnonzero(~first)]
+def _halves(places: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    first = rng.random(len(places)) < 0.5
+    return [places[first], places[~first]]
 
 
 class Sums:

@@ -20,7 +20,9 @@ ROWS = 512
 #: Values of a in a window, and how many deviations it spans.
 WINDOW, SPAN = 96, 12.0
 #: Candidates that are compared at a time.
-CELLS = 1 << 19
+CELLS = 1 << 17
+#: Points between which the saddle point is interpolated.
+NODES = 1 << 13
 
 #: (positions, tables) -> log of the factor that one more table at each position brings from elsewhere.
 Elsewhere = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -40,19 +42,17 @@ class Seatings:
         with np.errstate(invalid="ignore"):
             self._table = log[: ROWS + 1, 1:] - log[: ROWS + 1, :-1]
             self._customer = log[1:] - log[:-1]
+        # The saddle point depends on customers per table alone: both sides along log(1 - x).
+        t = -np.logspace(-6, np.log10(60 / (1 - discount)), NODES)
+        per_table = discount * -np.expm1(t) * np.exp((discount - 1) * t) / -np.expm1(discount * t)
+        self._excess, self._height = np.log(per_table - 1), np.log(-np.expm1(discount * t) / discount)
         a = np.arange(1, ROWS)
         self._scale = a / ROWS**discount
         self._error = self._table[ROWS, 1:ROWS] - self._saddle(np.full(len(a), float(ROWS)), a.astype(float))
 
     def _saddle(self, n: np.ndarray, a: np.ndarray) -> np.ndarray:
         """log S(n, a + 1) / S(n, a) from the saddle point: S(n, a) a! / n! is a coefficient of ((1 - (1 - x)^d) / d)^a."""
-        d = self.discount
-        low, high = np.full(len(n), -60.0 / (1 - d)), np.full(len(n), -1e-12)  # of log(1 - x)
-        for _ in range(50):
-            middle = (low + high) / 2
-            tall = np.log((a + 0.5) * d * -np.expm1(middle) / -np.expm1(d * middle)) + (d - 1) * middle > np.log(n)
-            low, high = np.where(tall, middle, low), np.where(tall, high, middle)
-        return np.log(-np.expm1(d * (low + high) / 2) / d) - np.log(a)
+        return np.interp(np.log(n / (a + 0.5) - 1), self._excess, self._height) - np.log(a)
 
     def one_more_table(self, n: np.ndarray, a: np.ndarray) -> np.ndarray:
         """log S(n, a + 1) / S(n, a) for 0 <= a <= n."""
@@ -89,12 +89,12 @@ def seatings(discount: float) -> Seatings:
 def _pick(size: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """For each run of ``size`` weights (logs), the place within the run of one drawn by its weight."""
     first = np.cumsum(size) - size
-    noisy = weight + rng.gumbel(size=len(weight))
-    best = np.repeat(np.maximum.reduceat(noisy, first), size)
-    run = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero(noisy == best)
-    _, one = np.unique(run[at], return_index=True)
-    return at[one] - first
+    chance = np.exp(weight - np.repeat(np.maximum.reduceat(weight, first), size))
+    upto = np.cumsum(chance)
+    start = upto[first] - chance[first]
+    last = first + size - 1
+    wanted = start + (1 - rng.random(len(size))) * (upto[last] - start)
+    return np.clip(np.searchsorted(upto, wanted), first, last) - first
 
 
 def draw(n: np.ndarray, least: np.ndarray, own: Seatings, elsewhere: Elsewhere, rng: np.random.Generator) -> np.ndarray:
