@@ -39,8 +39,8 @@ _WITHIN = CONTEXT_BITS - PARENT_BITS
 BURN_IN, SEATINGS = 3, 3
 #: Concentrations of contexts, parents and root.
 THETA = (1.0, 1.0, 1.0)
-#: Bytes of text that are put together in one step of a task.
-STEP = 4 << 20
+#: Bytes and number of texts that are put together in one step of a task.
+STEP, STEP_TEXTS = 2 << 20, 20_000
 SEED = 1
 #: Slices of the contexts whose totals are summed apart.
 SLICES = 16
@@ -73,7 +73,7 @@ def _tokens_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of about ``STEP`` bytes at a time."""
+    """Ids and texts of about ``STEP`` bytes, and at most ``STEP_TEXTS`` texts, at a time."""
     ids: list = []
     texts: list[bytes] = []
     size = 0
@@ -82,7 +82,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
-            if size >= STEP:
+            if size >= STEP or len(texts) >= STEP_TEXTS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if texts:

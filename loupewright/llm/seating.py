@@ -80,7 +80,7 @@ class Seatings:
         return out
 
 
-@lru_cache(maxsize=6)
+@lru_cache(maxsize=3)
 def seatings(discount: float) -> Seatings:
     """One table per discount in a worker; a sweep uses three."""
     return Seatings(discount)
