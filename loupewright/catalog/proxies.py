@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loupewright.sources.session import configure
 from loupewright.sources.tables import SCHEMAS, load
@@ -345,6 +346,23 @@ PROXIES: dict[str, str] = {
         from $events""",
 }
 
+#: Spark deals the line items of these tables by one column that reports join on, so that their
+#: grouping and the joins on that column share one shuffle. The rows are those of the statement.
+DEALT_BY: dict[str, dict[str, str]] = {
+    _ON: dict.fromkeys(
+        ("order_detail", "order_product_detail", "job_order", "purchase_status", "material_plan", "mpp_status", "mpp_status_product",
+         "batch_purchase"),
+        "OrderNumber",
+    ),
+    _JOB: {"job_status": "JobNumber"},
+    _BILL: {
+        "bill_master": "Bill_ID", "bill_detail": "Bill_ID", "bill_material": "Bill_ID",
+        "qa_bill_master": "qaBill_ID", "qa_bill_detail": "qaBill_ID", "qa_finish_master": "qaFinish_ID", "qa_finish_detail": "qaFinish_ID",
+        "qa_repair_master": "qaRepair_ID", "qa_repair_detail": "qaRepair_ID", "qa_repair_reason": "qaRepair_ID",
+    },
+}
+_DEALT = {name: (key, column) for key, tables in DEALT_BY.items() for name, column in tables.items()}
+
 BASE_TABLES = tuple(SCHEMAS)
 _NAME = re.compile(r"\$(\w+)")
 
@@ -388,6 +406,11 @@ class Workshop:
             elif name in PROXIES:
                 text = PROXIES[name].strip()
                 inputs = {n: getattr(self, n) for n in names_in(text)}
+                if name in _DEALT:
+                    # The key depends on the grouping columns alone, so one more grouping column changes no group.
+                    key, column = _DEALT[name]
+                    text = text.replace(f"{key} as {column}", f"_key as {column}", 1) + ", _key"
+                    inputs["lineitem"] = inputs["lineitem"].withColumn("_key", F.expr(key)).repartition("_key")
                 self._frames[name] = self.spark.sql(_NAME.sub(r"{\1}", text), **inputs)
             else:
                 raise AttributeError(name)

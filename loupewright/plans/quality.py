@@ -212,11 +212,13 @@ def qa_bills(
     bills = restrict(qa_bill_master, keys, ["qaBill_ID"])
     lines = restrict(qa_bill_detail, keys, ["qaBill_ID"])
     passed = restrict(qa_finish_master, keys, ["qaBill_ID"]).select("qaFinish_ID", "qaBill_ID").join(
-        qa_finish_detail.select("qaFinish_ID", "bill_Item", "Qty", "QAPerson"), "qaFinish_ID"
+        qa_finish_detail.select("qaFinish_ID", "bill_Item", "Qty"), "qaFinish_ID"
     )
     repairs = restrict(qa_repair_master, keys, ["qaBill_ID"]).select("qaRepair_ID", "qaBill_ID", "qaRepairStatus").join(
         qa_repair_detail.select("qaRepair_ID", "bill_Item", "Qty", "RepairFinish"), "qaRepair_ID"
     )
+    # Dealt by bill once: the sums per item, the totals and the nesting all stay there.
+    passed, repairs = passed.repartition("qaBill_ID"), repairs.repartition("qaBill_ID")
     taken = F.col("qaRepairStatus") != ""
     item = ["qaBill_ID", "bill_Item"]
     passed_items = passed.groupBy(*item).agg(F.sum("Qty").alias("qty_pass"))
@@ -230,8 +232,8 @@ def qa_bills(
     repair_totals = repair_items.groupBy("qaBill_ID").agg(
         F.sum("qty_in_repair").alias("total_repair"), F.sum("qty_repair_finish").alias("total_repair_finish")
     )
-    rows = bills.join(order_master.select("OrderNumber", "CusCode", "ProductionTeam", "DueDate", "FactoryDue"), "OrderNumber")
-    rows = rows.join(customer, "CusCode", "left")
+    ordered = order_master.select("OrderNumber", "CusCode", "ProductionTeam", "DueDate", "FactoryDue").join(customer, "CusCode", "left")
+    rows = bills.join(ordered, "OrderNumber")
     rows = left_default(rows, totals, ["qaBill_ID"], {"total_qty": 0})
     rows = left_default(rows, passed_totals, ["qaBill_ID"], {"total_finish": 0})
     rows = left_default(rows, repair_totals, ["qaBill_ID"], {"total_repair": 0, "total_repair_finish": 0})
@@ -252,9 +254,10 @@ def qa_bills(
         F.col("FactoryDue").alias("customer_due"),
         days_until(as_of, F.col("FactoryDue")).alias("late_customer_due"),
     )
-    detail = lines.join(product_master.select("ProductID", "ProductCode", "NewPict"), "ProductID")
-    ordered = order_detail.select("OrderNumber", F.col("ItemNo").alias("OrderItemNo"), F.lit(1).alias("_known"))
-    detail = detail.join(ordered, ["OrderNumber", "OrderItemNo"], "left")
+    # Narrow lines go to their order first, then to their product; wide ones only back to their bill.
+    known = order_detail.select("OrderNumber", F.col("ItemNo").alias("OrderItemNo"), F.lit(1).alias("_known"))
+    detail = lines.join(known, ["OrderNumber", "OrderItemNo"], "left").drop("OrderNumber")
+    detail = detail.join(product_master.select("ProductID", "ProductCode", "NewPict"), "ProductID")
     detail = left_default(detail, passed_items, item, {"qty_pass": 0})
     detail = left_default(detail, repair_items, item, dict.fromkeys(["qty_in_repair", "qty_repair_finish", "qty_repair_wait"], 0))
     detail = role_join(detail, employee, "EmpCode", {"q": ("QCPerson", {"qc_person": _person()})}).select(

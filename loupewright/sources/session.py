@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot order or device key is split even when that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables dealt by a bill or order join on (bill, item) or (order, item) where they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
