@@ -14,6 +14,7 @@ from loupewright.sources.tables import SCHEMAS
 #: Shuffles by key that the plan of a query may have, with no join broadcast.
 MOST = {
     "rpt_qa_bills_by_job": 50,
+    "rpt_qa_bills": 85,
 }
 
 
