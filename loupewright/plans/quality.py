@@ -322,9 +322,9 @@ def repair_bills(
     sums = lines.groupBy(*key).agg(
         F.sum("Qty").alias("total_qty"), F.sum("RepairFinish").alias("total_finish"), F.sum("ToQa").alias("to_qa")
     )
-    rows = masters.join(qa_bill_master.select("qaBill_ID", "qaDocNumber"), "qaBill_ID", "left")
-    rows = rows.join(order_master.select("OrderNumber", "ProductionTeam", "CusCode"), "OrderNumber", "left")
-    rows = rows.join(customer, "CusCode", "left").join(sums, key, "left")
+    rows = masters.join(sums, key, "left").join(qa_bill_master.select("qaBill_ID", "qaDocNumber"), "qaBill_ID", "left")
+    ordered = order_master.select("OrderNumber", "ProductionTeam", "CusCode").join(customer, "CusCode", "left")
+    rows = rows.join(ordered, "OrderNumber", "left")
     roles = {"s": ("SenderNew", {"sender_name": _person()}), "r": ("ReceiverNew", {"receiver_name": _person()})}
     rows = role_join(rows, employee, "EmpCode", roles).select(
         F.col("qaRepair_ID").alias("repair_id"),

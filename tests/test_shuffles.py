@@ -15,6 +15,7 @@ from loupewright.sources.tables import SCHEMAS
 MOST = {
     "rpt_qa_bills_by_job": 50,
     "rpt_qa_bills": 85,
+    "rpt_repair_bills_by_job": 52,
 }
 
 
