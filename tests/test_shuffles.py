@@ -16,6 +16,7 @@ MOST = {
     "rpt_qa_bills_by_job": 50,
     "rpt_qa_bills": 85,
     "rpt_repair_bills_by_job": 52,
+    "rpt_material_by_item": 18,
 }
 
 
