@@ -17,6 +17,7 @@ MOST = {
     "rpt_qa_bills": 85,
     "rpt_repair_bills_by_job": 52,
     "rpt_material_by_item": 18,
+    "rpt_bill_receipt": 16,
 }
 
 
