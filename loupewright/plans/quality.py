@@ -51,8 +51,15 @@ def live_with_customer(
     return orders if sales_teams is None else orders.where(in_padded(F.col("CusStatus"), sales_teams))
 
 
-def promised_targets(due_fac_to_qa: DataFrame, qa_bill_master: DataFrame, qa_bill_detail: DataFrame) -> DataFrame:
-    """Rows of the latest promise, with the pieces billed and promised up to and including each date."""
+def promised_targets(
+    due_fac_to_qa: DataFrame, qa_bill_master: DataFrame, qa_bill_detail: DataFrame, orders: DataFrame | None = None
+) -> DataFrame:
+    """Rows of the latest promise, with the pieces billed and promised up to and including each date.
+
+    With ``orders`` only those of them: promises and bills are restricted before anything is summed.
+    """
+    if orders is not None:
+        due_fac_to_qa, qa_bill_master = (restrict(d, orders, ["OrderNumber"]) for d in (due_fac_to_qa, qa_bill_master))
     current = latest(due_fac_to_qa, ["OrderNumber"], "HistoryNo").select("OrderNumber", F.col("DueDate").alias("due_date"), "Qty")
     billed = qa_bill_master.select("qaBill_ID", "OrderNumber", F.to_date("billDate").alias("_day")).join(
         qa_bill_detail.select("qaBill_ID", "Qty"), "qaBill_ID"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 import duckdb
 import pytest
 
 from check import rows_of
 from loupewright.catalog import all_oracles, all_queries
+from loupewright.plans.quality import promised_targets
 from loupewright.sources.tables import SCHEMAS
 
 #: Shuffles by key that the plan of a query may have, with no join broadcast.
@@ -67,3 +68,24 @@ def test_shuffles_and_rows(spark, folder, no_broadcast, key):
             connection.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
         result = connection.execute(all_oracles()[key])
         assert rows_of(frame.columns, frame.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
+
+
+#: Joins that restrict a table to the orders of the report before it is summed.
+RESTRICTED = {
+    "rpt_qa_master": 12,
+}
+
+
+@pytest.mark.parametrize("key", sorted(RESTRICTED))
+def test_facts_are_restricted_first(spark, folder, no_broadcast, key):
+    plan = all_queries()[key](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") >= RESTRICTED[key]
+
+
+def test_targets_of_some_orders(spark):
+    due = spark.sql("select * from values ('A', 1, date'2022-01-01', 5), ('A', 2, date'2022-01-02', 6), ('B', 1, date'2022-01-01', 7) as t(OrderNumber, HistoryNo, DueDate, Qty)")
+    bills = spark.sql("select * from values (1, 'A', timestamp_ntz'2022-01-01 05:00:00'), (2, 'B', timestamp_ntz'2022-01-01 05:00:00') as t(qaBill_ID, OrderNumber, billDate)")
+    detail = spark.sql("select * from values (1, 3), (1, 1), (2, 9) as t(qaBill_ID, Qty)")
+    wanted = spark.sql("select 'A' as OrderNumber union all select 'A' union all select null")
+    found = promised_targets(due, bills, detail, wanted)
+    assert [tuple(r) for r in found.collect()] == [("A", date(2022, 1, 2), 6, 4, 6)]
