@@ -15,7 +15,7 @@ from loupewright.operators.aggregates import is_finish, revision_stats
 from loupewright.operators.filters import contains_text, live_orders
 from loupewright.operators.generators import order_days
 from loupewright.operators.joins import (
-    count_between, cumulative_days, densify, latest, left_default, role_join,
+    count_between, cumulative_days, densify, latest, left_default, restrict, role_join,
 )
 from loupewright.operators.nesting import nest, nest_many
 
@@ -111,7 +111,7 @@ def qa_calendar(
     filled = left_default(days, sent, on, {"to_qa": 0})
     filled = left_default(filled, first, on, {"first_target": 0})
     filled = left_default(filled, last, on, {"last_target": 0})
-    totals = order_detail.groupBy("OrderNumber").agg(F.sum("Qty").alias("_ordered"))
+    totals = restrict(order_detail, wanted, ["OrderNumber"]).groupBy("OrderNumber").agg(F.sum("Qty").alias("_ordered"))
     upto = Window.partitionBy("OrderNumber").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return filled.join(totals, "OrderNumber", "left").select(
         F.col("OrderNumber").alias("order_number"),
@@ -173,7 +173,7 @@ def process_dense_orders(
     hidden: Sequence[str] = L.ORDER_PROCESSES_HIDDEN,
 ) -> DataFrame:
     """Every order with every shown process, 0 where it has no pieces."""
-    facts = job_order.select("JobNumber", "OrderNumber").join(
+    facts = restrict(job_order, orders, ["OrderNumber"]).select("JobNumber", "OrderNumber").join(
         job_status.select("JobNumber", "PDProcessCode", _pieces()), "JobNumber"
     )
     shown = pd_process.where(~F.col("PDProcessCode").isin(*hidden))
@@ -191,7 +191,7 @@ def process_dense_jobs(
 ) -> DataFrame:
     """Every job with every shown process, 0 where it has no pieces."""
     shown = pd_process.where(~F.col("PDProcessCode").isin(*hidden))
-    facts = job_status.select("JobNumber", "PDProcessCode", _pieces())
+    facts = restrict(job_status, job_order, ["JobNumber"]).select("JobNumber", "PDProcessCode", _pieces())
     dense = densify(job_order.select("OrderNumber", "JobNumber"), shown, "PDProcessCode", facts, ["JobNumber"], ["in_process"])
     return _named(dense, pd_process).select(
         F.col("OrderNumber").alias("order_number"),

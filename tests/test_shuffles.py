@@ -73,6 +73,7 @@ def test_shuffles_and_rows(spark, folder, no_broadcast, key):
 #: Joins that restrict a table to the orders of the report before it is summed.
 RESTRICTED = {
     "rpt_qa_master": 12,
+    "rpt_order_document_jobs": 9,
 }
 
 
