@@ -74,6 +74,7 @@ def test_shuffles_and_rows(spark, folder, no_broadcast, key):
 RESTRICTED = {
     "rpt_qa_master": 12,
     "rpt_order_document_jobs": 9,
+    "rpt_order_document": 13,
 }
 
 
