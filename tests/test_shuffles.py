@@ -19,6 +19,7 @@ MOST = {
     "rpt_repair_bills_by_job": 52,
     "rpt_material_by_item": 18,
     "rpt_bill_receipt": 16,
+    "rpt_factory_to_qa_day": 140,
 }
 
 
