@@ -105,18 +105,37 @@ def dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np
             yield int(part[a]), [c[a:b] for c in columns]
 
 
-def packed_batch(rows: list[tuple[int, list[np.ndarray]]], names: Sequence[str]) -> pa.RecordBatch:
-    """Rows (part, one binary per column) for the parts that :func:`dealt` gives."""
+def packed_batch(rows: list[tuple[int, list[np.ndarray]]], names: Sequence[str], zipped: bool = False) -> pa.RecordBatch:
+    """Rows (part, one binary per column) for the parts that :func:`dealt` gives.
+
+    ``zipped`` values are compressed, so that files and shuffles are as large in the executor's memory as
+    they look to Spark; their sizes follow in one more column, ``sizes``.
+    """
     columns = {"part": pa.array([part for part, _ in rows], pa.int32())}
+    packed = [[a.tobytes() for a in arrays] for _, arrays in rows]
+    sizes = [np.array([len(x) for x in values], np.int64).tobytes() for values in packed]
     for k, name in enumerate(names):
-        columns[name] = pa.array([arrays[k].tobytes() for _, arrays in rows], pa.binary())
+        values = [v[k] for v in packed]
+        columns[name] = pa.array([pa.compress(v, "zstd", asbytes=True) if v else v for v in values] if zipped else values, pa.binary())
+    if zipped:
+        columns["sizes"] = pa.array(sizes, pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
+def sizes_of(batch: pa.RecordBatch, name: str) -> list[int | None]:
+    """Bytes of a packed column in each row before it was compressed; null where it was not."""
+    names = batch.schema.names
+    if "sizes" not in names:
+        return [None] * batch.num_rows
+    place = names.index(name) - names.index("part") - 1
+    return [None if x is None else int(np.frombuffer(x, np.int64)[place]) for x in batch.column("sizes").to_pylist()]
+
+
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
     """All packed columns of a partition, put together."""
     found: dict[str, list[bytes]] = {name: [] for name in kinds}
     for batch in batches:
         for name in kinds:
-            found[name] += batch.column(name).to_pylist()
+            for value, size in zip(batch.column(name).to_pylist(), sizes_of(batch, name)):
+                found[name].append(pa.decompress(value, size, "zstd", asbytes=True) if size else value)
     return {name: np.frombuffer(b"".join(found[name]), kind) for name, kind in kinds.items()}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loupewright.llm.common import dealt, packed_batch, parts_of, remainder, table, unpacked, whole_text, work_folder
+from loupewright.llm.common import dealt, packed_batch, parts_of, remainder, sizes_of, table, unpacked, whole_text, work_folder
 from loupewright.llm.seating import draw, seatings
 
 #: Address widths of contexts and of their parents.
@@ -249,14 +249,21 @@ _NOTHING = np.zeros(0)
 
 
 def _tagged(kind: str, batch_id: int, rows: list) -> pa.RecordBatch:
-    batch = packed_batch(rows, _ARRAYS)
-    n = len(rows)
+    """Rows of a kind; those whose size grows with the texts are compressed."""
+    n, zipped = len(rows), kind in ("seats", "asked")
+    columns = packed_batch(rows, _ARRAYS, zipped).columns
+    if not zipped:
+        columns = [*columns, pa.array([None] * n, pa.binary())]
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n), pa.array([batch_id] * n, pa.int64()), *batch.columns], names=["kind", "batch", *batch.schema.names]
+        [pa.array([kind] * n), pa.array([batch_id] * n, pa.int64()), *columns], names=["kind", "batch", "part", *_ARRAYS, "sizes"]
     )
 
 
-_SCHEMA = "kind string, batch long, part int, " + ", ".join(f"{name} binary" for name in _ARRAYS)
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+
+
+_SCHEMA = "kind string, batch long, part int, " + ", ".join(f"{name} binary" for name in [*_ARRAYS, "sizes"])
 
 
 def _seats_row(part: int, share: Share, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
@@ -288,7 +295,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 first = _starts(t)
                 pairs = np.diff(np.append(first, len(t))).astype(np.int32)
                 rows.append((part, [t[first], pairs, c, k.astype(np.int32)]))
-            yield packed_batch(rows, ["token", "pairs", "context", "n"])
+            yield packed_batch(rows, ["token", "pairs", "context", "n"], zipped=True)
 
     def begun(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
@@ -308,7 +315,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     def swept(number: int, before: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def sweep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_, sums = before.value, Sums()
-            for row in (b.slice(i, 1) for b in stream for i in range(b.num_rows)):
+            for row in _one_by_one(stream):
                 part = row.column(row.schema.get_field_index("part"))[0].as_py()
                 got = unpacked(iter([row]), {k: _KINDS[k] for k in ("token", "pairs", "context", "n", "a", "b", "r")})
                 share = Share(np.repeat(got["token"], got["pairs"]), got["context"], got["n"])
@@ -346,7 +353,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         return path, found, sums
 
     counts = docs.select(F.lit(0).alias("id"), whole_text(text).alias("bytes")).mapInArrow(
-        counted, "part int, token binary, pairs binary, context binary, n binary"
+        counted, "part int, token binary, pairs binary, context binary, n binary, sizes binary"
     )
     path, found, sums = written(counts.repartition("part").mapInArrow(begun, _SCHEMA))
     kept = [sums] * SEATINGS
@@ -479,12 +486,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         """The seats once more for each further copy of a frequent token."""
         copies = sent.value[1]
         often = np.array(sorted(copies), np.uint64)
-        for batch in stream:
-            yield pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
-            got = unpacked(iter([batch]), _KINDS)
-            if not len(got["token"]):
+        for row in _one_by_one(stream):
+            yield pa.RecordBatch.from_arrays(row.columns, names=row.schema.names)
+            _, frequent = _find(often, unpacked(iter([row]), {"token": np.uint64})["token"])
+            if not frequent.any():
                 continue
-            _, frequent = _find(often, got["token"])
+            got = unpacked(iter([row]), _KINDS)
             cut = np.concatenate([[0], np.cumsum(got["pairs"], dtype=np.int64)])
             owner = np.repeat(np.arange(len(got["token"])), got["pairs"])
             _, of_parent = np.unique(owner * _PARENTS + (got["context"].astype(np.int64) >> _WITHIN), return_index=True)
@@ -534,8 +541,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             base = np.log10((n + 0.5) / (totals.tokens + 0.5 * (totals.vocabulary + 1)))
             values = [x * got["count"] for x in (np.log10(p), base, n > 0)]
             at = 0
-            numbers = batch.column(batch.schema.get_field_index("number")).to_pylist()
-            for key, size in zip(batch.column(1).to_pylist(), (len(x) // 4 for x in numbers)):
+            for key, size in zip(batch.column(1).to_pylist(), (n // 4 for n in sizes_of(batch, "number"))):
                 number = got["number"][at : at + size]
                 known = sums.get(key, np.zeros((3, 0)))
                 if number.max() >= known.shape[1]:

@@ -34,7 +34,7 @@ from loupewright.llm import (
     token_files,
     toxicity,
 )
-from loupewright.llm.common import unpacked, work_folder
+from loupewright.llm.common import packed_batch, sizes_of, unpacked, work_folder
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size int, row string, ids string, "
@@ -524,6 +524,25 @@ def test_probabilities_add_up_to_one(docs):
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_seats_take_less_memory_than_their_values(docs):
+    """Packed values pass through an executor's memory as they are, whatever their file's own compression."""
+    rows = hpylm.fit(docs).seats.select(*hpylm._ARRAYS).collect()
+    packed = sum(len(value) for row in rows for value in row)
+    seats = hpylm.fit(docs).seats.toArrow().combine_chunks().to_batches()
+    got = unpacked(iter(seats), hpylm._KINDS)
+    assert 2 * packed < sum(x.nbytes for x in got.values())
+    assert got["pairs"].sum() == len(got["context"]) == len(got["n"]) and got["n"].min() > 0
+
+
+def test_zipped_values_come_back():
+    rows = [(3, [np.arange(5000), np.zeros(0, np.int32)]), (1, [np.zeros(7, np.int64), np.ones(2, np.int32)])]
+    kinds = {"x": np.int64, "y": np.int32}
+    plain, zipped = (packed_batch(rows, list(kinds), zipped=z) for z in (False, True))
+    assert zipped.nbytes < plain.nbytes and sizes_of(zipped, "y") == [0, 8]
+    for k in kinds:
+        assert unpacked(iter([zipped]), kinds)[k].tolist() == unpacked(iter([plain]), kinds)[k].tolist()
+
+
 def test_ties_of_many_distinct_vectors_go_to_the_smaller_ids(spark):
     # 80 distinct vectors of zeros and ones have an inner product of 1 with the query, none has more.
     rows = [(1000, [1.0] + [0.0] * 80)]
