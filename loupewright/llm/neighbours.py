@@ -32,6 +32,10 @@ SEED = 9
 #: All perturbations by -1, 0 or +1 of each projection, and their steps down and up.
 _STEPS = np.array(list(product((-1, 0, 1), repeat=PROJECTIONS)))
 _DOWN, _UP = (_STEPS < 0).astype(float), (_STEPS > 0).astype(float)
+_MOVES = (_STEPS << (9 * np.arange(PROJECTIONS))).sum(axis=1)
+#: Queries that are looked up together, and the share of visited vectors from which all products with them
+#: are computed at once, which costs less than to gather the vectors query by query.
+TOGETHER, DENSE = 128, 1 / 8
 
 
 class Tables:
@@ -63,51 +67,65 @@ class Tables:
         """Cells as one number (equal cells have equal numbers; others differ within +-2^8 cells)."""
         return ((np.clip(cells, -255, 255).astype(np.int64) + 256) << (9 * np.arange(PROJECTIONS))).sum(axis=-1)
 
-    def probes(self, query: np.ndarray, count: int) -> list[np.ndarray]:
-        """For each table the codes of the buckets to visit, best first."""
-        at = self.places(self.aim(query[None]))[0]
+    def probes(self, queries: np.ndarray, count: int) -> np.ndarray:
+        """The codes of the ``count`` best buckets to visit: queries x tables x codes."""
+        at = self.places(self.aim(queries))
         cells, within = np.floor(at), at - np.floor(at)
         cost = (within**2) @ _DOWN.T + ((1 - within) ** 2) @ _UP.T
-        found = []
-        for t in range(TABLES):
-            order = np.argsort(cost[t], kind="stable")[:count]
-            found.append(self.codes(cells[t] + _STEPS[order]))
-        return found
+        if count < len(_STEPS):
+            best = np.argpartition(cost, count - 1, axis=2)[:, :, :count]
+        else:
+            best = np.broadcast_to(np.arange(len(_STEPS)), cost.shape)
+        if np.abs(cells).max(initial=0) < 255:  # the code of a sum is the sum of the codes
+            return self.codes(cells)[:, :, None] + _MOVES[best]
+        return self.codes(cells[:, :, None] + _STEPS[best])
 
 
 def _in_shard(tables: Tables, base: pd.DataFrame, queries: pd.DataFrame, k: int, count: int) -> pd.DataFrame:
     """The k best candidates of one shard for one block of queries."""
     vectors = np.array(base["vector"].tolist(), float)
     codes = tables.codes(np.floor(tables.places(tables.lift(vectors))))
-    orders = np.argsort(codes, axis=0, kind="stable")
-    sorted_codes = np.take_along_axis(codes, orders, axis=0)
+    buckets = [np.unique(codes[:, t], return_inverse=True) for t in range(TABLES)]
     ids = base["ids"].tolist()
     longest = np.sqrt((vectors**2).sum(axis=1).max())
+    keys, asked = queries["query"].tolist(), np.array(queries["vector"].tolist(), float)
     out_query, out_id, out_score = [], [], []
-    for key, query in zip(queries["query"], queries["vector"]):
-        query = np.asarray(query, float)
-        hit = np.zeros(len(vectors), bool)
-        for t, wanted in enumerate(tables.probes(query, count)):
-            left = np.searchsorted(sorted_codes[:, t], wanted, "left")
-            right = np.searchsorted(sorted_codes[:, t], wanted, "right")
-            for a, b in zip(left[right > left], right[right > left]):
-                hit[orders[a:b, t]] = True
+    for start in range(0, len(asked), TOGETHER):
+        some = asked[start : start + TOGETHER]
+        hit = _visited(buckets, tables.probes(some, count))
         # Where the visited buckets hold too few, the rest of the shard is visited too.
-        at = np.flatnonzero(hit) if hit.sum() >= k else np.arange(len(vectors))
-        rough = vectors[at] @ query
-        if len(at) > k:  # all that can be among the k best in spite of rounding, however many tie
-            error = 4 * (len(query) + 2) * np.finfo(float).eps * longest * np.sqrt(query @ query)
-            at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * error]
-        exact = (vectors[at] * query).sum(axis=1)
-        pairs = sorted((-s, i) for s, v in zip(exact, at) for i in ids[v])[:k]
-        out_query += [key] * len(pairs)
-        out_id += [i for _, i in pairs]
-        out_score += [-s for s, _ in pairs]
+        hit[hit.sum(axis=1) < k] = True
+        products = some @ vectors.T if hit.mean() >= DENSE else None
+        for i, query in enumerate(some):
+            at = np.flatnonzero(hit[i])
+            rough = vectors[at] @ query if products is None else products[i, at]
+            if len(at) > k:  # all that can be among the k best in spite of rounding, however many tie
+                error = 4 * (len(query) + 2) * np.finfo(float).eps * longest * np.sqrt(query @ query)
+                at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * error]
+            exact = (vectors[at] * query).sum(axis=1)
+            pairs = sorted((-s, i) for s, v in zip(exact, at) for i in ids[v])[:k]
+            out_query += [keys[start + i]] * len(pairs)
+            out_id += [i for _, i in pairs]
+            out_score += [-s for s, _ in pairs]
     return pd.DataFrame({"query": out_query, "vec_id": out_id, "score": out_score}).astype(
         {"query": "int64", "vec_id": "int64", "score": "float64"}
     )
 
 
+def _visited(buckets: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray) -> np.ndarray:
+    """Queries x vectors: whether a vector's bucket (of each table: distinct codes, bucket of each vector) is among the wanted ones."""
+    hit = np.zeros((len(wanted), len(buckets[0][1])), bool)
+    for t, (distinct, bucket) in enumerate(buckets):
+        query = np.repeat(np.arange(len(wanted)), wanted.shape[2])
+        codes = wanted[:, t].ravel()
+        place = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
+        there = distinct[place] == codes
+        chosen = np.zeros((len(wanted), len(distinct)), bool)
+        chosen[query[there], place[there]] = True
+        hit |= chosen[:, bucket]
+    return hit
+
+
 def usable(frame: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector is not null, not zero, and has finite components only, as array<double>."""
     doubles = F.col(vector).cast("array<double>")

@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -481,6 +482,30 @@ def test_nearest_neighbours(spark):
     assert len(neighbours.nearest(frame.where("vec_id < 5"), frame.where("vec_id = 0")).collect()) == 4
 
 
+@pytest.mark.parametrize("count", [40, len(neighbours._STEPS)])
+def test_queries_looked_up_together_visit_what_each_visits_alone(monkeypatch, count):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((400, 6))
+    tables = neighbours.Tables(6, float(np.sqrt((vectors**2).sum(axis=1)).max()), vectors)
+    base = pd.DataFrame({"vector": list(vectors), "ids": [[i] for i in range(400)]})
+    asked = pd.DataFrame({"query": range(30), "vector": list(vectors[:30])})
+    codes = tables.codes(np.floor(tables.places(tables.lift(vectors))))
+    wanted = tables.probes(vectors[:30], count)
+    assert wanted.shape == (30, neighbours.TABLES, count)
+    near = []  # for each query the best of the vectors in its buckets, or of all where these are few
+    for i in range(30):
+        at = [v for v in range(400) if any(codes[v, t] in wanted[i, t] for t in range(neighbours.TABLES))]
+        scored = sorted((-(vectors[v] * vectors[i]).sum(), v) for v in (at if len(at) >= 5 else range(400)))
+        near += [(i, v, -s) for s, v in scored[:5]]
+    for dense in (0.0, 2.0):
+        monkeypatch.setattr(neighbours, "DENSE", dense)
+        for together in (1, 7, 100):
+            monkeypatch.setattr(neighbours, "TOGETHER", together)
+            found = neighbours._in_shard(tables, base, asked, 5, count)
+            assert found[["query", "vec_id"]].values.tolist() == [[q, v] for q, v, _ in near]
+            assert found["score"].tolist() == pytest.approx([s for _, _, s in near])
+
+
 # --- 1: hierarchical Pitman-Yor ----------------------------------------------------------------
 
 
