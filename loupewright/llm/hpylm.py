@@ -19,6 +19,7 @@ to where their restaurants are; frequent tokens are spread over several copies o
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ SEED = 1
 SLICES = 16
 
 #: The end token; no word has a space.
-END = np.uint64(xxh64_intdigest(b" end", SEED))
+_END = b" end"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -59,17 +60,45 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _EMPTY = _mixed(np.zeros(1, np.uint64))[0]
 
 
+def _put_together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in ascending order, (place there, context) of each token as one number, and its text's number.
+
+    Each distinct word is hashed once.
+    """
+    places: defaultdict[bytes, int] = defaultdict()
+    places.default_factory = places.__len__
+    places[_END]  # noqa: B018 - the first
+    found: list[int] = []
+    lengths = []
+    for text in texts:
+        words = text.lower().split()
+        words.append(_END)
+        found.extend(map(places.__getitem__, words))
+        lengths.append(len(words))
+    words = list(places)
+    hashes = np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    endings = np.full(len(words), _EMPTY)
+    tails = np.frombuffer(b"".join([w[-3:].rjust(3, b" ") for w in words[1:]]), np.uint8).reshape(-1, 3).astype(np.uint64)
+    endings[1:] = _mixed(tails[:, 0] + (tails[:, 1] << np.uint64(8)) + (tails[:, 2] << np.uint64(16)) + np.uint64(1))
+    parent = endings >> np.uint64(64 - PARENT_BITS)
+    address = ((parent << np.uint64(_WITHIN)) | (_mixed(hashes) >> np.uint64(64 - _WITHIN))).astype(np.int64)
+    tokens, rank = np.unique(hashes, return_inverse=True)
+    place = np.array(found, np.int64)
+    before = np.zeros_like(place)  # the first word of a text comes after the end of the one before
+    before[1:] = place[:-1]
+    pair = (rank.astype(np.int64) << CONTEXT_BITS)[place] | address[before]
+    return tokens, pair, np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+
+
+def _apart(tokens: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and contexts of the numbers of :func:`_put_together`."""
+    return tokens[pair >> CONTEXT_BITS], (pair & (_CONTEXTS - 1)).astype(np.int32)
+
+
 def _tokens_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of one text (hashes, the end last) and the context address of each."""
-    words = text.lower().split()
-    tokens = np.append(np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64), END)
-    endings = np.full(len(words) + 1, _EMPTY)
-    if words:
-        tails = np.frombuffer(b"".join([w[-3:].rjust(3, b" ") for w in words]), np.uint8).reshape(-1, 3).astype(np.uint64)
-        endings[1:] = _mixed(tails[:, 0] + (tails[:, 1] << np.uint64(8)) + (tails[:, 2] << np.uint64(16)) + np.uint64(1))
-    before = np.append(END, tokens[:-1])
-    parent = endings >> np.uint64(64 - PARENT_BITS)
-    return tokens, ((parent << np.uint64(_WITHIN)) | (_mixed(before) >> np.uint64(64 - _WITHIN))).astype(np.int32)
+    tokens, pair, _ = _put_together([text])
+    return _apart(tokens, pair)
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -89,13 +118,6 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield ids, texts
 
 
-def _put_together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, contexts and text numbers of several texts."""
-    made = [_tokens_of(t) for t in texts]
-    number = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t, _ in made])
-    return np.concatenate([t for t, _ in made]), np.concatenate([c for _, c in made]), number
-
-
 def _by_pair(token: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of n for each (token, context), in ascending order of both."""
     order = np.lexsort((context, token))
@@ -249,8 +271,8 @@ _NOTHING = np.zeros(0)
 
 
 def _tagged(kind: str, batch_id: int, rows: list) -> pa.RecordBatch:
-    """Rows of a kind; those whose size grows with the texts are compressed."""
-    n, zipped = len(rows), kind in ("seats", "asked")
+    """Rows of a kind; large ones are compressed."""
+    n, zipped = len(rows), kind in ("seats", "asked", "totals")
     columns = packed_batch(rows, _ARRAYS, zipped).columns
     if not zipped:
         columns = [*columns, pa.array([None] * n, pa.binary())]
@@ -288,8 +310,9 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _steps(stream):
-            token, context, _ = _put_together(texts)
-            token, context, n = _by_pair(token, context, np.ones(len(token), np.int64))
+            tokens, pair, _ = _put_together(texts)
+            pair, n = np.unique(pair, return_counts=True)
+            token, context = _apart(tokens, pair)
             rows = []
             for part, (t, c, k) in dealt((token % np.uint64(parts)).astype(np.int64), token, context, n):
                 first = _starts(t)
@@ -336,10 +359,10 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
     def summed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
-        for batch in stream:
-            for part, n, few in zip(*(batch.column(name).to_pylist() for name in ("part", "n", "docs"))):
-                now = [np.frombuffer(n, np.int64), np.frombuffer(few, np.float64)]
-                sums[part] = [x + y for x, y in zip(sums[part], now)] if part in sums else now
+        for row in _one_by_one(stream):
+            part = row.column(0)[0].as_py()
+            now = list(unpacked(iter([row]), {"n": np.int64, "docs": np.float64}).values())
+            sums[part] = [x + y for x, y in zip(sums[part], now)] if part in sums else now
         if sums:
             yield packed_batch(list(sums.items()), ["n", "few"])
 
@@ -347,7 +370,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         path = work_folder(spark, "seats")
         frame.write.parquet(path)
         found, sums = spark.read.schema(_SCHEMA).parquet(path), Sums()
-        slices = found.where("kind = 'totals'").select("part", "n", "docs").repartition("part")
+        slices = found.where("kind = 'totals'").select("part", *_ARRAYS, "sizes").repartition("part")
         for row in slices.mapInArrow(summed, "part int, n binary, few binary").toLocalIterator():  # fixed size
             sums.take(*row)
         return path, found, sums
@@ -460,22 +483,19 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         times = np.array([copies[int(w)] for w in often], np.int64)
         for step, (ids, texts) in enumerate(_steps(stream)):
             batch_id = (TaskContext.get().partitionId() << 32) + step
-            token, context, number = _put_together(texts)
+            tokens, pair, number = _put_together(texts)
+            lengths = np.bincount(number, minlength=len(texts)).astype(np.int32)
+            pair, count = np.unique(pair * len(texts) + number, return_counts=True)
+            pair, number = np.divmod(pair, len(texts))
+            (token, context), number, count = _apart(tokens, pair), number.astype(np.int32), count.astype(np.int32)
             copy = np.zeros(len(token), np.int64)
             at, frequent = _find(often, token)
             if frequent.any():
                 copy[frequent] = number[frequent] % times[at[frequent]]
-            order = np.lexsort((number, context, token))
-            token, context, number, copy = token[order], context[order], number[order], copy[order]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1]) | (number[1:] != number[:-1])])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(token))).astype(np.int32)
-            token, context, number, copy = token[first], context[first], number[first], copy[first]
             rows = []
             for part, (t, c, n, k) in dealt(_place(token, copy, parts), token, context, number, count):
                 f = _starts(t)
                 rows.append((part, [t[f], np.diff(np.append(f, len(t))).astype(np.int32), c, *[_NOTHING] * 5, n, k]))
-            lengths = np.bincount(number, count, len(texts)).astype(np.int32)
             unknown = np.array([i is None for i in ids], np.uint8)
             plain = np.array([i or 0 for i in ids], np.int64)
             meta = [_NOTHING, _NOTHING, _NOTHING, plain, _NOTHING, _NOTHING, _NOTHING, unknown, lengths, _NOTHING]
@@ -501,9 +521,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 token = got["token"][i : i + 1]
                 p, q = slice(cut[i], cut[i + 1]), slice(parents[i], parents[i + 1])
                 own = [token, got["pairs"][i : i + 1], got["context"][p], got["n"][p], a[p], b[q], r[i], _NOTHING, _NOTHING, _NOTHING]
-                rows = [(int(_place(token, np.array([k]), parts)[0]), own) for k in range(1, copies[int(token[0])])]
-                for k in range(0, len(rows), 8):
-                    yield _tagged("seats", 0, rows[k : k + 8])
+                one = _tagged("seats", 0, [(0, own)])
+                for part in _place(token, np.arange(1, copies[int(token[0])]), parts):
+                    yield one.set_column(2, "part", pa.array([part], pa.int32()))
 
     def answered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows stay packed until their part's turn, so one part's seats are unpacked at a time.

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -559,6 +560,22 @@ def test_seats_take_less_memory_than_their_values(docs):
     assert got["pairs"].sum() == len(got["context"]) == len(got["n"]) and got["n"].min() > 0
 
 
+def test_texts_put_together_have_the_tokens_of_each():
+    some = [b"The of  the\x0bOF", b"", b" ", "été the \u00a0x".encode(), b"a b a b the of"]
+    tokens, pair, number = hpylm._put_together(some)
+    token, context = hpylm._apart(tokens, pair)
+    hashes = {}
+    for k, text in enumerate(some):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text.decode().translate({c: c + 32 for c in range(65, 91)}))]
+        hashes[k] = [hpylm.xxh64_intdigest(w, hpylm.SEED) for w in [*words, b" end"]]
+        alone = hpylm._tokens_of(text)
+        assert token[number == k].tolist() == hashes[k] == alone[0].tolist()
+        assert context[number == k].tolist() == alone[1].tolist()
+    # A context is that of the word before, in whatever text.
+    before = [h for k in hashes for h in [hashes[k][-1], *hashes[k][:-1]]]
+    assert len(set(zip(before, context.tolist()))) == len(set(before)) and (np.diff(tokens.astype(object)) > 0).all()
+
+
 def test_zipped_values_come_back():
     rows = [(3, [np.arange(5000), np.zeros(0, np.int32)]), (1, [np.zeros(7, np.int64), np.ones(2, np.int32)])]
     kinds = {"x": np.int64, "y": np.int32}
