@@ -371,7 +371,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         frame.write.parquet(path)
         found, sums = spark.read.schema(_SCHEMA).parquet(path), Sums()
         slices = found.where("kind = 'totals'").select("part", *_ARRAYS, "sizes").repartition("part")
-        for row in slices.mapInArrow(summed, "part int, n binary, few binary").toLocalIterator():  # fixed size
+        for row in slices.mapInArrow(summed, "part int, n binary, few binary").collect():  # of fixed size; one job
             sums.take(*row)
         return path, found, sums
 
@@ -390,7 +390,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     totals = Totals(kept)
     copies: dict[int, int] = {}
-    for row in found.where("kind = 'often'").select("token", "n").toLocalIterator():  # at most 2 x parts tokens are kept
+    for row in found.where("kind = 'often'").select("token", "n").collect():  # at most 2 x parts tokens; one job
         for token, n in zip(np.frombuffer(row.token, np.uint64), np.frombuffer(row.n, np.int64)):
             wanted = -(-2 * parts * int(n) // max(1, totals.tokens))
             if wanted > 1:

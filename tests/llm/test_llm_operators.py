@@ -560,6 +560,25 @@ def test_seats_take_less_memory_than_their_values(docs):
     assert got["pairs"].sum() == len(got["context"]) == len(got["n"]) and got["n"].min() > 0
 
 
+def test_jobs_of_a_fit_do_not_grow_with_the_partitions(spark, docs):
+    names, jobs = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": None}, []
+    tracker = spark.sparkContext.statusTracker()
+    for partitions in ("2", "12"):
+        names = {key: names[key] or spark.conf.get(key) for key in names}
+        group = f"fit-{partitions}"
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            for key, value in zip(names, (partitions, "false")):
+                spark.conf.set(key, value)
+            hpylm.fit(docs.limit(20))
+            jobs.append(len(tracker.getJobIdsForGroup(group)))
+        finally:
+            for key, value in names.items():
+                spark.conf.set(key, value)
+            spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs[1] <= jobs[0] + 7
+
+
 def test_texts_put_together_have_the_tokens_of_each():
     some = [b"The of  the\x0bOF", b"", b" ", "été the \u00a0x".encode(), b"a b a b the of"]
     tokens, pair, number = hpylm._put_together(some)
