@@ -368,7 +368,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
     def written(frame: DataFrame) -> tuple[str, DataFrame, Sums]:
         path = work_folder(spark, "seats")
-        frame.write.parquet(path)
+        frame.write.option("compression", "none").parquet(path)  # its values are compressed
         found, sums = spark.read.schema(_SCHEMA).parquet(path), Sums()
         slices = found.where("kind = 'totals'").select("part", *_ARRAYS, "sizes").repartition("part")
         for row in slices.mapInArrow(summed, "part int, n binary, few binary").collect():  # of fixed size; one job
