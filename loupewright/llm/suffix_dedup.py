@@ -8,14 +8,15 @@ distance, and every window has one.
 1. Count the k-grams at anchors (one number each). Those seen once can start no repeat.
 2. Cut out the surroundings of the others and bring those of one k-gram together.
 3. Sort the suffixes that start at the anchors, and the reversed prefixes that end there, by merge
-   sort: two are compared by the length of their common extension, found by binary search on prefix
-   polynomial hashes, so a comparison takes a logarithmic number of steps. The common extensions of
-   neighbours are then verified byte by byte.
+   sort; where all of the surroundings are equal byte by byte, one is sorted for all. Two are compared
+   by the length of their common extension, found by binary search on prefix polynomial hashes, so a
+   comparison takes a logarithmic number of steps. The common extensions of neighbours are then
+   verified byte by byte.
 4. Two windows with the anchor at distance d are equal if their reversed prefixes share a class at
    depth d and their suffixes one at depth LENGTH - d. Classes are the stretches of the sorted order
    whose neighbouring extensions are at least as long.
 5. K-grams with very many anchors do not go to one task. Their windows are hashed (128 bits), equal
-   ones of a batch are settled on the spot, and one of each is counted by its hash.
+   ones of some hundred thousand are settled on the spot, and one of each is counted by its hash.
 """
 
 from __future__ import annotations
@@ -40,7 +41,12 @@ GROUP = 4096
 MAP_BITS = 26
 #: Surroundings that are put together, and compressed, before they are sent.
 GATHER = 8 << 20
-_SEGMENT = 1 << 20
+#: Windows of crowded k-grams that are compared with each other before they are sent.
+TOGETHER = 1 << 18
+#: Texts are hashed in segments that stay in a core's cache.
+_SEGMENT = 1 << 17
+#: Powers that a worker keeps.
+_POWERS = 1 << 21
 _PLACE_BITS = np.uint64(21)
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -60,9 +66,9 @@ class PrefixHash:
         known = kept("suffix_dedup")
         up, down = known.get(base, (np.zeros(0), np.zeros(0)))
         if len(up) < len(data) + 1:
-            n = max(len(data) + 1, 1 << 16)
+            n = max(len(data) + 1, min(1 << max(len(data).bit_length(), 16), _POWERS))
             up, down = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-            if n <= 2 * _SEGMENT:
+            if n <= _POWERS:
                 known[base] = (up, down)
         self.up = up
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -71,6 +77,12 @@ class PrefixHash:
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.up[start]
 
+    def of_all(self, length: int) -> np.ndarray:
+        """Hashes of the substrings of that length at all places."""
+        found = self.sums[length:] - self.sums[:-length]
+        found *= self.up[: len(found)]
+        return found
+
     def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common extension of each pair of places, at most ``most``, by binary search."""
         low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
@@ -83,9 +95,12 @@ class PrefixHash:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(32))
+    h *= _MIX[0]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +122,7 @@ def anchors(data: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndar
     found = []
     for start in range(0, max(0, len(data) - LENGTH + 1), _SEGMENT):
         part = data[start : start + _SEGMENT + LENGTH - 1]
-        kgrams = _mixed(PrefixHash(part).of(np.arange(len(part) - KGRAM + 1), KGRAM))
+        kgrams = _mixed(PrefixHash(part).of_all(KGRAM))
         marked = (kgrams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(kgrams), dtype=np.uint64)
         place = (_least(marked, _WINDOW) & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
         windows = np.arange(len(place))
@@ -216,18 +231,27 @@ def _verified(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order:
     return bool((a < b).all() and (lengths[one] <= lengths[two])[~differ].all())
 
 
-def repeated_windows(groups, before, after, offsets, data) -> np.ndarray:
+def first_alike(before: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each member the first one with the same bytes around its anchor, the k-gram included; bytes are compared."""
+    whole, first = data.tobytes(), {}
+    members = zip(before.tolist(), offsets.tolist(), (offsets + sizes).tolist())
+    return np.array([first.setdefault((b, whole[i:j]), m) for m, (b, i, j) in enumerate(members)], np.int64)
+
+
+def repeated_windows(groups, before, after, offsets, data, copied) -> np.ndarray:
     """Member x distance: whether that member's window with its anchor at that distance has an equal.
 
     Member m's bytes are data[offsets[m] : ...], its anchor ``before[m]`` bytes after their start; its
-    windows have the distances after[m] .. before[m].
+    windows have the distances after[m] .. before[m]. ``copied`` members stand for several that are alike,
+    so each of their windows has an equal.
     """
     n = len(groups)
     anchor = offsets + before
     right, right_common = suffix_sort(data, anchor, LENGTH - after, groups)
     back = np.ascontiguousarray(data[::-1])
     left, left_common = suffix_sort(back, len(data) - anchor, before, groups)
-    found = np.zeros((n, _WINDOW), bool)
+    distance = np.arange(_WINDOW)
+    found = copied[:, None] & (after[:, None] <= distance) & (distance <= before[:, None])
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(int(after.min()), int(before.max()) + 1):
         has = np.flatnonzero((after <= d) & (d <= before))
@@ -259,14 +283,26 @@ def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
-def _ranges(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive window starts of a row: row, first, last."""
+def _ranges(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of window starts, none of which lies within another, put together where they meet in a row."""
     if not len(row):
-        return row, at, at
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(at) > 1)]))
-    return row[new], at[new], at[np.append(new[1:], len(at)) - 1]
+        return row, low, high
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (low[1:] - high[:-1] > 1)]))
+    return row[new], low[new], high[np.append(new[1:], len(high)) - 1]
+
+
+def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of distances found for a member: member, least, greatest."""
+    padded = np.zeros((len(found), found.shape[1] + 1), bool)
+    padded[:, :-1] = found
+    flat = padded.ravel()
+    change = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    if len(flat) and flat[0]:
+        change = np.concatenate([[0], change])
+    (member, least), stop = np.divmod(change[::2], padded.shape[1]), change[1::2]
+    return member, least, least + stop - change[::2] - 1
 
 
 def _range_batch(row, low, high) -> pa.RecordBatch:
@@ -277,6 +313,40 @@ _PACKED = ["hash", "second", "row", "low", "before", "after", "data"]
 _KINDS = {"hash": np.uint64, "second": np.uint64, "row": np.int64, "low": np.int64, "before": np.int16, "after": np.int16, "data": np.uint8}
 
 
+def sorted_groups(got: dict[str, np.ndarray], group: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of packed surroundings, about ``group`` at a time; those that are alike are sorted as one."""
+    before, after = got["before"].astype(np.int64), got["after"].astype(np.int64)
+    size = before - after + LENGTH
+    offset = np.cumsum(size) - size
+    alike = first_alike(before, offset, size, got["data"])
+    copies = np.bincount(alike, minlength=len(alike))
+    members = np.argsort(alike, kind="stable")
+    begin = np.cumsum(copies) - copies
+    order = np.flatnonzero(copies)
+    order = order[np.argsort(got["hash"][order], kind="stable")]
+    hashes = got["hash"][order]
+    same = hashes[1:] == hashes[:-1]
+    several_ = (copies[order] > 1) | np.concatenate([[False], same])[: len(order)] | np.append(same, False)[: len(order)]
+    order, hashes = order[several_], hashes[several_]
+    group_of = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(order):
+        stop = min(len(order), at + group)
+        while stop < len(order) and group_of[stop] == group_of[stop - 1]:
+            stop += 1
+        some = order[at:stop]
+        n = size[some]
+        data = _cut_out(got["data"], offset[some], n)
+        found = repeated_windows(group_of[at:stop], before[some], after[some], np.cumsum(n) - n, data, copies[some] > 1)
+        member, least, greatest = _runs(found)
+        one = some[member]
+        times = copies[one]
+        every = members[np.repeat(begin[one] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+        start = (got["low"] + before)[every]
+        yield _range_batch(*_ranges(got["row"][every], start - np.repeat(greatest, times), start - np.repeat(least, times)))
+        at = stop
+
+
 def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """row, low, high: the windows low .. high (byte offsets) of a row that also start elsewhere.
 
@@ -313,6 +383,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, crowded = sent.value
+        windows: list[list[np.ndarray]] = []
         for batch in stream:
             rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held: list[list[np.ndarray]] = []
@@ -328,8 +399,13 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 if sum(len(h[-1]) for h in held) > GATHER:
                     yield from _sent(held)
                     held = []
-                yield from _windows(data, crowd, low, high, row[doc], starts[doc])
+                if crowd.any():
+                    windows.append(_windows(data, *(c[crowd] for c in (low, high, row[doc], starts[doc]))))
+                    if sum(len(w[0]) for w in windows) > TOGETHER:
+                        yield from _settled(windows)
+                        windows = []
             yield from _sent(held)
+        yield from _settled(windows)
 
     def _contexts(data, on, place, hashes, low, high, row, start):
         place, hashes, low, high, row, start = (c[on] for c in (place, hashes, low, high, row, start))
@@ -350,19 +426,21 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         if out:
             yield _tagged("context", out)
 
-    def _windows(data, on, low, high, row, start):
-        low, high, row, start = (c[on] for c in (low, high, row, start))
-        if not len(low):
-            return
+    def _windows(data, low, high, row, start):
         size = high - low + 1
         at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        row, local = np.repeat(row, size), at - np.repeat(start, size)
         h1, h2 = (_mixed(PrefixHash(data, base).of(at, LENGTH)) for base in _BASES)
+        return [h1, h2, np.repeat(row, size), at - np.repeat(start, size)]
+
+    def _settled(windows):
+        if not windows:
+            return
+        h1, h2, row, local = (np.concatenate(c) for c in zip(*windows))
         order = np.lexsort((h2, h1))
         h1, h2, row, local = h1[order], h2[order], row[order], local[order]
         first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         alone = first & np.append(first[1:], True)
-        settled = _ranges(row[~alone], local[~alone])
+        settled = _ranges(row[~alone], local[~alone], local[~alone])
         nothing = np.zeros(0)
         if len(settled[0]):
             yield _tagged("range", [(int(settled[0][0] % parts), [nothing, nothing, *settled[:2], nothing, nothing, settled[2]])])
@@ -397,30 +475,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
             if kind == "context":
                 columns["data"] = [unpack.decompress(value) for value in columns["data"]]
             whole = {name: np.frombuffer(b"".join(columns.pop(name)), _KINDS[name]) for name in _PACKED}
-            yield from (sorted_groups if kind == "context" else counted_windows)(whole)
-
-    def sorted_groups(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        size = got["before"].astype(np.int64) - got["after"] + LENGTH
-        offset = np.cumsum(size) - size
-        order = np.argsort(got["hash"], kind="stable")
-        hashes = got["hash"][order]
-        same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-        several_ = same | np.append(same[1:], False) if len(hashes) else same
-        order, hashes = order[several_], hashes[several_]
-        group_of = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        at = 0
-        while at < len(order):
-            stop = min(len(order), at + 3 * group)
-            while stop < len(order) and group_of[stop] == group_of[stop - 1]:
-                stop += 1
-            some = order[at:stop]
-            n = size[some]
-            before, after = got["before"][some].astype(np.int64), got["after"][some].astype(np.int64)
-            found = repeated_windows(group_of[at:stop], before, after, np.cumsum(n) - n, _cut_out(got["data"], offset[some], n))
-            member, distance = np.nonzero(found)
-            row, low = got["row"][some], got["low"][some]
-            yield _range_batch(*_ranges(row[member], (low + before)[member] - distance))
-            at = stop
+            yield from sorted_groups(whole, group) if kind == "context" else counted_windows(whole)
 
     def counted_windows(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((got["second"], got["hash"]))
@@ -429,7 +484,7 @@ def repeat_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
             group_of = np.cumsum(np.concatenate([[0], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
             weight = np.bincount(group_of, np.where(row < 0, 2, 1))
             hit = (weight[group_of] >= 2) & (row >= 0)
-            yield _range_batch(*_ranges(row[hit], low[hit]))
+            yield _range_batch(*_ranges(row[hit], low[hit], low[hit]))
 
     return pieces.mapInArrow(gathered, "row long, low long, high long")
 

@@ -436,6 +436,47 @@ def test_suffix_sort_orders_within_groups():
         assert common[k] == (same if groups[order[k - 1]] == groups[order[k]] else -1)
 
 
+def test_alike_surroundings_are_sorted_once(monkeypatch):
+    # Copies of a passage used to be sorted one by one, so the work per byte grew with their number.
+    rng = random.Random(6)
+    core = prose(rng, 60).encode()[:240]
+    other = core[:100] + b"#" + core[101:]  # the k-gram at 120 is the same, the windows over place 100 are not
+    short = core[40:]
+    rows = [(core, 120)] * 500 + [(other, 120)] + [(short, 80)] * 3 + [(prose(rng, 60).encode()[:240], 50)]
+    hashes = [7] * 504 + [9]
+    sorted_ = []
+    sort = suffix_dedup.suffix_sort
+    monkeypatch.setattr(suffix_dedup, "suffix_sort", lambda data, starts, *rest: sorted_.append(len(starts)) or sort(data, starts, *rest))
+    got = {
+        "hash": np.array(hashes, np.uint64), "row": np.arange(len(rows)), "low": np.arange(len(rows)) % 5,
+        "before": np.array([b for _, b in rows], np.int16),
+        "after": np.array([b - (len(t) - 200) for t, b in rows], np.int16),
+        "data": np.frombuffer(b"".join(t for t, _ in rows), np.uint8),
+    }
+    count = Counter()
+    for (text, _), h in zip(rows, hashes):
+        count.update((h, text[s : s + 200]) for s in range(len(text) - 199))
+    wanted = Counter(
+        (i, i % 5 + s) for i, ((text, _), h) in enumerate(zip(rows, hashes)) for s in range(len(text) - 199) if count[(h, text[s : s + 200])] > 1
+    )
+    found = Counter()
+    for batch in suffix_dedup.sorted_groups(got, 4096):
+        for row, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+            found.update((row, at) for at in range(low, high + 1))
+    assert found == wanted
+    assert sorted_ == [3, 3]
+
+
+def test_hashes_of_all_places_and_runs():
+    data = np.random.default_rng(3).integers(0, 256, 1000).astype(np.uint8)
+    hashes = suffix_dedup.PrefixHash(data)
+    assert (hashes.of_all(40) == hashes.of(np.arange(961), 40)).all()
+    found = np.array([[1, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1], [1, 0, 0, 1], [0, 1, 1, 0]], bool)
+    runs = list(zip(*(c.tolist() for c in suffix_dedup._runs(found))))
+    assert runs == [(0, 0, 1), (0, 3, 3), (2, 0, 3), (3, 0, 0), (3, 3, 3), (4, 1, 2)]
+    assert not len(suffix_dedup._runs(np.zeros((0, 4), bool))[0])
+
+
 def test_hash_collisions_are_found_by_their_bytes(monkeypatch):
     monkeypatch.setattr(suffix_dedup.PrefixHash, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
     data = np.frombuffer(b"bananabandana", np.uint8)
