@@ -362,6 +362,8 @@ DEALT_BY: dict[str, dict[str, str]] = {
     },
 }
 _DEALT = {name: (key, column) for key, tables in DEALT_BY.items() for name, column in tables.items()}
+#: Tables that :meth:`Workshop.dealt` can also deal by the order they name, since their rows go there first.
+ALSO_DEALT = {(name, "OrderNumber"): _ON for name in ("qa_bill_master", "qa_bill_detail")}
 
 BASE_TABLES = tuple(SCHEMAS)
 _NAME = re.compile(r"\$(\w+)")
@@ -404,14 +406,21 @@ class Workshop:
             if name in SCHEMAS:
                 self._frames[name] = load(self.spark, self.folder, name)
             elif name in PROXIES:
-                text = PROXIES[name].strip()
-                inputs = {n: getattr(self, n) for n in names_in(text)}
-                if name in _DEALT:
-                    # The key depends on the grouping columns alone, so one more grouping column changes no group.
-                    key, column = _DEALT[name]
-                    text = text.replace(f"{key} as {column}", f"_key as {column}", 1) + ", _key"
-                    inputs["lineitem"] = inputs["lineitem"].withColumn("_key", F.expr(key)).repartition("_key")
-                self._frames[name] = self.spark.sql(_NAME.sub(r"{\1}", text), **inputs)
+                self._frames[name] = self._derived(name, _DEALT[name][0] if name in _DEALT else None)
             else:
                 raise AttributeError(name)
         return self._frames[name]
+
+    def _derived(self, name: str, key: str | None) -> DataFrame:
+        text = PROXIES[name].strip()
+        inputs = {n: getattr(self, n) for n in names_in(text)}
+        if key is not None:
+            # The key depends on the grouping columns alone, so one more grouping column changes no group.
+            # It is not moved: each side of the shuffle works it out.
+            text += f", {key}"
+            inputs["lineitem"] = inputs["lineitem"].repartition(F.expr(key))
+        return self.spark.sql(_NAME.sub(r"{\1}", text), **inputs)
+
+    def dealt(self, name: str, column: str) -> DataFrame:
+        """A derived table whose line items are dealt by another of its columns than usual; the same rows."""
+        return self._derived(name, ALSO_DEALT[name, column])

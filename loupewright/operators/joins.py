@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def restrict(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in the key set."""
+def restrict(df: DataFrame, keys: DataFrame, on: Sequence[str], here: bool = False) -> DataFrame:
+    """Rows whose key is in the key set.
+
+    The planner moves this down towards the scan, which pays where the keys are few. ``here`` keeps it where
+    it is written (an inner join with the distinct keys): for a key set that holds most rows, if the rows
+    are dealt by the key at this place anyway.
+    """
+    if here:
+        return df.join(keys.select(*on).distinct(), list(on))
     return df.join(keys.select(*on), list(on), "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +19,24 @@ def long_form(child: DataFrame, keys: Sequence[str], fields: Sequence[str], ordi
     return number_rows(child.select(*keys, *fields), keys, list(fields), ordinal).select(*keys, ordinal, *fields)
 
 
-def collect_children(child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
+def collect_children(
+    child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, only: Column | None = None,
+    totals: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """One row per key, with the children as an array of structs sorted by ``fields`` from left to right.
 
     An array is one value of one row: use it where the key bounds the number of children (items of a
-    bill, days of a calendar, processes of a job), and :func:`long_form` where it does not.
+    bill, days of a calendar, processes of a job), and :func:`long_form` where it does not. With ``only``
+    other rows stay out of the array; ``totals`` are aggregates over all rows in the same pass.
     """
-    return child.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    entry = F.struct(*fields) if only is None else F.when(only, F.struct(*fields))
+    sums = [c.alias(n) for n, c in (totals or {}).items()]
+    return child.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name), *sums)
+
+
+def _attach(parent: DataFrame, packed: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    kind = packed.schema[name].dataType
+    return parent.join(packed, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
 def nest_many(
@@ -37,16 +48,19 @@ def nest_many(
     """
     nested = parent
     for child, fields, name in children:
-        packed = collect_children(child, keys, fields, name)
-        kind = packed.schema[name].dataType
-        nested = nested.join(packed, list(keys), "left")
-        nested = nested.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+        nested = _attach(nested, collect_children(child, keys, fields, name), keys, name)
     return nested
 
 
-def nest(parent: DataFrame, child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
-    """Each parent once, with one child table as an array."""
-    return nest_many(parent, [(child, fields, name)], keys)
+def nest(
+    parent: DataFrame, child: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str, only: Column | None = None,
+    totals: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Each parent once, with one child table as an array.
+
+    ``only`` and ``totals`` as in :func:`collect_children`; the totals of a parent without children are NULL.
+    """
+    return _attach(parent, collect_children(child, keys, fields, name, only, totals), keys, name)
 
 
 def column_to_array(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:

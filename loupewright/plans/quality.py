@@ -22,6 +22,8 @@ from loupewright.operators.sorting import status_rank, top_n
 FINISHED, SENT_BACK = "3", "2"
 OPEN_REPAIR = ("", SENT_BACK)
 CLOCK_SHIFT = -7
+#: Rows that meet at their bill: lines, further rows of a line, lines without a product, and pieces of an item.
+LINE, AGAIN, UNLISTED, PASSED, TAKEN, WAITING = range(1, 7)
 #: Sales team folded into another one in the summary of passed pieces.
 FOLDED_TEAM = {"3": "1"}
 
@@ -211,76 +213,94 @@ def qa_bills(
     as_of: date,
     unfinished_only: bool = True,
     focus_job: str | None = None,
+    most: bool = False,
 ) -> DataFrame:
     """Inspection bills of a key set with totals and their items nested.
 
-    The key set restricts each of the five fact tables before it is summed.
+    The key set restricts each of the fact tables before anything is summed. With ``most`` (the keys hold
+    most bills) no row goes to its bill only for that: bills and lines go to their order first, and other
+    bills are left out where bills, lines, passed and repaired pieces meet. The result is the same.
     """
-    bills = restrict(qa_bill_master, keys, ["qaBill_ID"])
-    lines = restrict(qa_bill_detail, keys, ["qaBill_ID"])
-    passed = restrict(qa_finish_master, keys, ["qaBill_ID"]).select("qaFinish_ID", "qaBill_ID").join(
+    bill, item = ["qaBill_ID"], ["qaBill_ID", "bill_Item"]
+    if not most:
+        qa_bill_master, qa_bill_detail, qa_finish_master, qa_repair_master = (
+            restrict(d, keys, bill) for d in (qa_bill_master, qa_bill_detail, qa_finish_master, qa_repair_master)
+        )
+    ordered = order_master.select("OrderNumber", "CusCode", "ProductionTeam", "DueDate", "FactoryDue").join(customer, "CusCode", "left")
+    rows = qa_bill_master.join(ordered, "OrderNumber")
+    if most:
+        rows = restrict(rows, keys, bill, here=True)
+    roles = {"s": ("SenderNew", {"sender_name": _person()}), "r": ("ReceiverNew", {"receiver_name": _person()})}
+    rows = role_join(rows, employee, "EmpCode", roles).withColumnRenamed("qaBill_ID", "bill_id")
+    # Lines go to their order and to their product; one that meets several rows there is listed again, but counts once.
+    known = order_detail.select("OrderNumber", F.col("ItemNo").alias("OrderItemNo"))
+    same = Window.partitionBy("OrderNumber", "OrderItemNo").orderBy("OrderItemNo")
+    products = product_master.select("ProductID", "ProductCode", "NewPict")
+    products = number_rows(products, ["ProductID"], ["ProductCode", "NewPict"], "_product")
+    lines = qa_bill_detail.select(*item, "OrderNumber", "OrderItemNo", "ProductID", "Qty", "QCPerson", "qaJobNumber")
+    lines = lines.join(known.withColumn("_known", F.row_number().over(same)), ["OrderNumber", "OrderItemNo"], "left")
+    lines = lines.join(products, "ProductID", "left")
+    first = (F.coalesce("_known", F.lit(1)) == 1) & (F.coalesce("_product", F.lit(1)) == 1)
+    listed = F.col("_product").isNotNull()
+    lines = lines.select(
+        *item, "OrderItemNo", "Qty", "QCPerson", "qaJobNumber", "NewPict",
+        F.when(F.col("_known").isNotNull(), F.col("ProductCode")).alias("ProductCode"),
+        F.when(first & listed, LINE).when(first, UNLISTED).when(listed, AGAIN).alias("_kind"),
+    )
+    passed = qa_finish_master.select("qaFinish_ID", "qaBill_ID").join(
         qa_finish_detail.select("qaFinish_ID", "bill_Item", "Qty"), "qaFinish_ID"
     )
-    repairs = restrict(qa_repair_master, keys, ["qaBill_ID"]).select("qaRepair_ID", "qaBill_ID", "qaRepairStatus").join(
+    repairs = qa_repair_master.select("qaRepair_ID", "qaBill_ID", "qaRepairStatus").join(
         qa_repair_detail.select("qaRepair_ID", "bill_Item", "Qty", "RepairFinish"), "qaRepair_ID"
     )
-    # Dealt by bill once: the sums per item, the totals and the nesting all stay there.
-    passed, repairs = passed.repartition("qaBill_ID"), repairs.repartition("qaBill_ID")
     taken = F.col("qaRepairStatus") != ""
-    item = ["qaBill_ID", "bill_Item"]
-    passed_items = passed.groupBy(*item).agg(F.sum("Qty").alias("qty_pass"))
-    repair_items = repairs.groupBy(*item).agg(
-        F.coalesce(F.sum(F.when(taken, F.col("Qty"))), F.lit(0)).alias("qty_in_repair"),
-        F.coalesce(F.sum(F.when(taken, F.col("RepairFinish"))), F.lit(0)).alias("qty_repair_finish"),
-        F.coalesce(F.sum(F.when(~taken, F.col("Qty"))), F.lit(0)).alias("qty_repair_wait"),
+    repairs = repairs.select(
+        *item, "Qty", F.col("RepairFinish").alias("_done"), F.when(taken, TAKEN).when(~taken, WAITING).alias("_kind")
     )
-    totals = lines.groupBy("qaBill_ID").agg(F.sum("Qty").alias("total_qty"))
-    passed_totals = passed_items.groupBy("qaBill_ID").agg(F.sum("qty_pass").alias("total_finish"))
-    repair_totals = repair_items.groupBy("qaBill_ID").agg(
-        F.sum("qty_in_repair").alias("total_repair"), F.sum("qty_repair_finish").alias("total_repair_finish")
+    # All of a bill is dealt once; sums per item, totals and nesting stay there.
+    met = lines.unionByName(passed.select(*item, "Qty", F.lit(PASSED).alias("_kind")), True).unionByName(repairs, True)
+    met = met.repartition("qaBill_ID")
+    of = lambda kinds, c="Qty": F.sum(F.when(F.col("_kind").isin(*kinds), F.col(c)))
+    sums = {
+        "qty_in_repair": of([TAKEN]), "qty_repair_finish": of([TAKEN], "_done"), "qty_repair_wait": of([WAITING]),
+        "qty_pass": of([PASSED]),
+    }
+    totals = {
+        "total_qty": of([LINE, UNLISTED]), "total_finish": of([PASSED]), "total_repair": of([TAKEN]),
+        "total_repair_finish": of([TAKEN], "_done"),
+    }
+    per_item = lambda c: F.coalesce(F.when(F.col("bill_Item").isNotNull(), c.over(Window.partitionBy(*item))), F.lit(0))
+    met = met.withColumns({name: per_item(c) for name, c in sums.items()})
+    met = role_join(met, employee, "EmpCode", {"q": ("QCPerson", {"qc_person": _person()})})
+    met = met.withColumnsRenamed(
+        {"qaBill_ID": "bill_id", "bill_Item": "bill_item", "ProductCode": "product_code", "OrderItemNo": "item_no", "qaJobNumber": "qa_job_number"}
+    ).withColumns(
+        {
+            "picture": picture_url(F.col("NewPict")),
+            "qty": F.col("Qty"),
+            "focus": F.when(F.col("qa_job_number") == F.lit(focus_job), 1).otherwise(0),
+        }
     )
-    ordered = order_master.select("OrderNumber", "CusCode", "ProductionTeam", "DueDate", "FactoryDue").join(customer, "CusCode", "left")
-    rows = bills.join(ordered, "OrderNumber")
-    rows = left_default(rows, totals, ["qaBill_ID"], {"total_qty": 0})
-    rows = left_default(rows, passed_totals, ["qaBill_ID"], {"total_finish": 0})
-    rows = left_default(rows, repair_totals, ["qaBill_ID"], {"total_repair": 0, "total_repair_finish": 0})
+    fields = ["bill_item", "product_code", "item_no", "qa_job_number", "qc_person", "picture", "qty", *sums, "focus"]
+    rows = nest(rows, met, ["bill_id"], fields, "items", F.col("_kind").isin(LINE, AGAIN), totals)
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(0)) for name in totals})
     if unfinished_only:
         rows = rows.where(F.col("total_qty") > F.col("total_finish"))
-    roles = {"s": ("SenderNew", {"sender_name": _person()}), "r": ("ReceiverNew", {"receiver_name": _person()})}
-    rows = role_join(rows, employee, "EmpCode", roles).select(
-        F.col("qaBill_ID").alias("bill_id"),
+    return rows.select(
+        "bill_id",
         F.col("qaDocNumber").alias("doc_number"),
         shift_hours(F.col("billDate"), CLOCK_SHIFT).alias("bill_date"),
         F.col("OrderNumber").alias("order_number"),
         F.col("CusStatus").alias("sales_team"),
         shift_hours(F.col("receiveDate"), CLOCK_SHIFT).alias("receive_date"),
-        "total_qty", "total_finish", "total_repair", "total_repair_finish", "sender_name", "receiver_name",
+        *totals, "sender_name", "receiver_name",
         F.col("ProductionTeam").alias("team"),
         days_until(as_of, F.col("DueDate")).alias("late_due"),
         F.col("qaBillStatus").alias("status"),
         F.col("FactoryDue").alias("customer_due"),
         days_until(as_of, F.col("FactoryDue")).alias("late_customer_due"),
+        "items",
     )
-    # Narrow lines go to their order first, then to their product; wide ones only back to their bill.
-    known = order_detail.select("OrderNumber", F.col("ItemNo").alias("OrderItemNo"), F.lit(1).alias("_known"))
-    detail = lines.join(known, ["OrderNumber", "OrderItemNo"], "left").drop("OrderNumber")
-    detail = detail.join(product_master.select("ProductID", "ProductCode", "NewPict"), "ProductID")
-    detail = left_default(detail, passed_items, item, {"qty_pass": 0})
-    detail = left_default(detail, repair_items, item, dict.fromkeys(["qty_in_repair", "qty_repair_finish", "qty_repair_wait"], 0))
-    detail = role_join(detail, employee, "EmpCode", {"q": ("QCPerson", {"qc_person": _person()})}).select(
-        F.col("qaBill_ID").alias("bill_id"),
-        F.col("bill_Item").alias("bill_item"),
-        F.when(F.col("_known") == 1, F.col("ProductCode")).alias("product_code"),
-        F.col("OrderItemNo").alias("item_no"),
-        F.col("qaJobNumber").alias("qa_job_number"),
-        "qc_person",
-        picture_url(F.col("NewPict")).alias("picture"),
-        F.col("Qty").alias("qty"),
-        "qty_in_repair", "qty_repair_finish", "qty_repair_wait", "qty_pass",
-        F.when(F.col("qaJobNumber") == F.lit(focus_job), 1).otherwise(0).alias("focus"),
-    )
-    fields = ["bill_item", *[c for c in detail.columns if c not in ("bill_id", "bill_item")]]
-    return nest(rows, detail, ["bill_id"], fields, "items")
 
 
 def repair_keys(

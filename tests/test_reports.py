@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from loupewright.functions import labels as L
@@ -295,3 +296,63 @@ def test_documents_nest_everything(spark):
     assert [e.balance for e in got["A"].calendar] == [8, 5]
     assert (got["A"].total_to_qa, got["A"].material_state.is_finish, got["A"].postponements) == (5, 1, 1)
     assert (got["B"].calendar, got["B"].processes, got["B"].total_to_qa, got["B"].material_state.is_finish) == ([], [], 0, 0)
+
+
+def bill_tables(spark):
+    """Two rows of one order item, of one product and of one bill line; items and keys that are NULL; bills without lines."""
+    day = datetime(2022, 6, 10, 9)
+    master = table(
+        spark, "OrderNumber string, CusCode string, ProductionTeam string, DueDate date, FactoryDue date",
+        ("CH-1", "c1", "1", date(2022, 6, 20), date(2022, 6, 18)), ("CH-2", "nobody", "2", date(2022, 6, 10), None),
+    )
+    customer = table(spark, "CusCode string, CusStatus string", ("c1", "1"))
+    detail = table(spark, "OrderNumber string, ItemNo int", ("CH-1", 1), ("CH-1", 1), ("CH-1", 2), ("CH-2", None), (None, 1))
+    product = table(spark, "ProductID string, ProductCode string, NewPict string", ("p", "P1", "D:\\a.jpg"), ("q", "Q1", None), ("q", "Q2", None), (None, "N", None))
+    employee = table(spark, "EmpCode int, EmpFName string, NickName string", (7, "Ann", "A"), (8, "Bea", None))
+    heads = table(
+        spark,
+        "qaBill_ID int, qaDocNumber string, billDate timestamp_ntz, OrderNumber string, qaBillStatus string, SenderNew int, ReceiverNew int, receiveDate timestamp_ntz",
+        (1, "B1", day, "CH-1", "", 7, None, None), (2, "B2", day, "CH-2", "1", 8, 7, day), (3, "B3", day, "CH-1", "3", 7, 7, None),
+        (4, "B4", day, "CH-9", "1", 7, 7, None), (None, "B5", day, "CH-1", "1", 7, 7, None),
+    )
+    lines = table(
+        spark,
+        "qaBill_ID int, bill_Item int, OrderNumber string, OrderItemNo int, ProductID string, Qty bigint, QCPerson int, qaJobNumber string",
+        (1, 1, "CH-1", 1, "p", 5, 7, "J1"), (1, 2, "CH-1", 2, "q", 6, None, "J2"), (1, 2, "CH-1", 2, "q", 6, None, "J2"),
+        (1, 3, "CH-1", 3, "gone", 9, 7, "J3"), (1, None, "CH-1", 9, "p", 2, 7, None), (2, 1, None, None, "p", 4, 7, "J1"),
+        (2, 4, "CH-2", None, None, 1, 7, ""), (4, 1, "CH-1", 1, "p", 1, 7, "J4"), (None, 1, "CH-1", 1, "p", 1, 7, "J5"),
+    )
+    finish = table(spark, "qaFinish_ID int, qaBill_ID int", (10, 1), (11, 1), (12, 3), (13, None), (14, 9))
+    finished = table(
+        spark, "qaFinish_ID int, bill_Item int, Qty bigint",
+        (10, 1, 2), (11, 1, 1), (11, 8, 4), (10, None, 7), (12, 1, 3), (13, 1, 1), (14, 1, 1), (10, 2, None),
+    )
+    repair = table(spark, "qaRepair_ID int, qaBill_ID int, qaRepairStatus string", (20, 1, ""), (21, 1, "2"), (22, 2, None), (23, 3, "1"))
+    repaired = table(
+        spark, "qaRepair_ID int, bill_Item int, Qty bigint, RepairFinish bigint",
+        (20, 1, 1, 1), (21, 1, 2, 1), (21, 2, 3, None), (22, 1, 9, 9), (23, 5, 4, 2), (21, None, 5, 5),
+    )
+    return master, customer, detail, product, employee, heads, lines, finish, finished, repair, repaired
+
+
+@pytest.mark.parametrize("most", [False, True])
+def test_bills_with_repeated_unknown_and_missing_rows(spark, most):
+    keys = table(spark, "qaBill_ID int", *[(n,) for n in (1, 1, 2, 3, 4, 5, None)])
+    got = quality.qa_bills(keys, *bill_tables(spark), AS_OF, unfinished_only=False, focus_job="J1", most=most)
+    assert rows(got, "bill_id", "sales_team", "total_qty", "total_finish", "total_repair", "total_repair_finish", "sender_name", "late_due") == [
+        (1, "1", 28, 14, 10, 6, "Ann (A)", 5), (2, None, 5, 0, 0, 0, None, -5), (3, "1", 0, 3, 4, 2, "Ann (A)", 5),
+    ]
+    assert got.columns[:2] == ["bill_id", "doc_number"] and got.columns[-1] == "items"
+    items = {r.bill_id: [(i.bill_item, i.product_code, i.qty, i.qty_in_repair, i.qty_repair_finish, i.qty_repair_wait, i.qty_pass, i.focus) for i in r["items"]] for r in got.collect()}
+    once = [(1, "P1", 5, 2, 1, 1, 3, 1)]
+    assert items == {
+        1: [(None, None, 2, 0, 0, 0, 0, 0), *once * 2, *[(2, c, 6, 3, 0, 0, 0, 0) for c in ("Q1", "Q1", "Q2", "Q2")]],
+        2: [(1, None, 4, 0, 0, 0, 0, 1)],
+        3: [],
+    }
+    named = got.where("bill_id = 1").selectExpr("inline(items)")
+    assert rows(named.where("bill_item = 1").select("item_no", "qa_job_number", "qc_person")) == [(1, "J1", "Ann (A)")] * 2
+    some = quality.qa_bills(keys.where("qaBill_ID = 3"), *bill_tables(spark), AS_OF, unfinished_only=False, most=most)
+    assert [r.bill_id for r in some.collect()] == [3]
+    unfinished = quality.qa_bills(keys, *bill_tables(spark), AS_OF, most=most)
+    assert sorted(r.bill_id for r in unfinished.collect()) == [1, 2]

@@ -9,6 +9,7 @@ import pytest
 
 from check import rows_of
 from loupewright.catalog import all_oracles, all_queries
+from loupewright.catalog.proxies import Workshop
 from loupewright.plans.quality import promised_targets
 from loupewright.sources.tables import SCHEMAS
 
@@ -92,3 +93,21 @@ def test_targets_of_some_orders(spark):
     wanted = spark.sql("select 'A' as OrderNumber union all select 'A' union all select null")
     found = promised_targets(due, bills, detail, wanted)
     assert [tuple(r) for r in found.collect()] == [("A", date(2022, 1, 2), 6, 4, 6)]
+
+
+def test_bills_of_most_keys_move_each_table_once(spark, folder, no_broadcast):
+    frame = all_queries()["rpt_qa_bills_by_job"](spark, folder)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<l_orderkey") == 8  # bills, their keys, lines, order items, and two tables each of passed and repaired pieces
+    assert plan.count("Exchange hashpartitioning") <= 26
+    assert "LeftSemi" not in plan
+
+
+@pytest.mark.parametrize("name,column", [("qa_bill_master", "OrderNumber"), ("qa_bill_detail", "OrderNumber")])
+def test_tables_dealt_otherwise_have_the_same_rows(spark, folder, name, column):
+    workshop = Workshop(spark, folder)
+    usual, other = getattr(workshop, name), workshop.dealt(name, column)
+    assert rows_of(usual.columns, usual.collect()) == rows_of(other.columns, other.collect())
+    # The grouping and a join on that column share the shuffle, and the key itself is not moved.
+    plan = other.groupBy(column).count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(concat(" in plan
