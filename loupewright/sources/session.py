@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Tables dealt by a bill or order join on (bill, item) or (order, item) where they are.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Children that lie in the order of their key already are collected as they come; a hash aggregate would sort them again.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 
