@@ -271,6 +271,9 @@ def qa_bills(
     }
     per_item = lambda c: F.coalesce(F.when(F.col("bill_Item").isNotNull(), c.over(Window.partitionBy(*item))), F.lit(0))
     met = met.withColumns({name: per_item(c) for name, c in sums.items()})
+    # Summed before the names are joined, which may repeat a line; in the same order, so nothing is sorted again.
+    of_bill = Window.partitionBy("qaBill_ID").orderBy("bill_Item").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = met.withColumns({name: c.over(of_bill) for name, c in totals.items()})
     met = role_join(met, employee, "EmpCode", {"q": ("QCPerson", {"qc_person": _person()})})
     met = met.withColumnsRenamed(
         {"qaBill_ID": "bill_id", "bill_Item": "bill_item", "ProductCode": "product_code", "OrderItemNo": "item_no", "qaJobNumber": "qa_job_number"}
@@ -282,7 +285,7 @@ def qa_bills(
         }
     )
     fields = ["bill_item", "product_code", "item_no", "qa_job_number", "qc_person", "picture", "qty", *sums, "focus"]
-    rows = nest(rows, met, ["bill_id"], fields, "items", F.col("_kind").isin(LINE, AGAIN), totals)
+    rows = nest(rows, met, ["bill_id"], fields, "items", F.col("_kind").isin(LINE, AGAIN), {name: F.max(name) for name in totals})
     rows = rows.withColumns({name: F.coalesce(name, F.lit(0)) for name in totals})
     if unfinished_only:
         rows = rows.where(F.col("total_qty") > F.col("total_finish"))

@@ -299,7 +299,7 @@ def test_documents_nest_everything(spark):
 
 
 def bill_tables(spark):
-    """Two rows of one order item, of one product and of one bill line; items and keys that are NULL; bills without lines."""
+    """Two rows of one order item, of one product, of one person and of one bill line; items and keys that are NULL; bills without lines."""
     day = datetime(2022, 6, 10, 9)
     master = table(
         spark, "OrderNumber string, CusCode string, ProductionTeam string, DueDate date, FactoryDue date",
@@ -308,7 +308,7 @@ def bill_tables(spark):
     customer = table(spark, "CusCode string, CusStatus string", ("c1", "1"))
     detail = table(spark, "OrderNumber string, ItemNo int", ("CH-1", 1), ("CH-1", 1), ("CH-1", 2), ("CH-2", None), (None, 1))
     product = table(spark, "ProductID string, ProductCode string, NewPict string", ("p", "P1", "D:\\a.jpg"), ("q", "Q1", None), ("q", "Q2", None), (None, "N", None))
-    employee = table(spark, "EmpCode int, EmpFName string, NickName string", (7, "Ann", "A"), (8, "Bea", None))
+    employee = table(spark, "EmpCode int, EmpFName string, NickName string", (7, "Ann", "A"), (8, "Bea", None), (9, "Cy", "C"), (9, "Cy", "D"))
     heads = table(
         spark,
         "qaBill_ID int, qaDocNumber string, billDate timestamp_ntz, OrderNumber string, qaBillStatus string, SenderNew int, ReceiverNew int, receiveDate timestamp_ntz",
@@ -319,7 +319,7 @@ def bill_tables(spark):
         spark,
         "qaBill_ID int, bill_Item int, OrderNumber string, OrderItemNo int, ProductID string, Qty bigint, QCPerson int, qaJobNumber string",
         (1, 1, "CH-1", 1, "p", 5, 7, "J1"), (1, 2, "CH-1", 2, "q", 6, None, "J2"), (1, 2, "CH-1", 2, "q", 6, None, "J2"),
-        (1, 3, "CH-1", 3, "gone", 9, 7, "J3"), (1, None, "CH-1", 9, "p", 2, 7, None), (2, 1, None, None, "p", 4, 7, "J1"),
+        (1, 3, "CH-1", 3, "gone", 9, 7, "J3"), (1, None, "CH-1", 9, "p", 2, 7, None), (2, 1, None, None, "p", 4, 9, "J1"),
         (2, 4, "CH-2", None, None, 1, 7, ""), (4, 1, "CH-1", 1, "p", 1, 7, "J4"), (None, 1, "CH-1", 1, "p", 1, 7, "J5"),
     )
     finish = table(spark, "qaFinish_ID int, qaBill_ID int", (10, 1), (11, 1), (12, 3), (13, None), (14, 9))
@@ -347,7 +347,7 @@ def test_bills_with_repeated_unknown_and_missing_rows(spark, most):
     once = [(1, "P1", 5, 2, 1, 1, 3, 1)]
     assert items == {
         1: [(None, None, 2, 0, 0, 0, 0, 0), *once * 2, *[(2, c, 6, 3, 0, 0, 0, 0) for c in ("Q1", "Q1", "Q2", "Q2")]],
-        2: [(1, None, 4, 0, 0, 0, 0, 1)],
+        2: [(1, None, 4, 0, 0, 0, 0, 1)] * 2,
         3: [],
     }
     named = got.where("bill_id = 1").selectExpr("inline(items)")
